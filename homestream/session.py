@@ -17,6 +17,7 @@ def local_session(cpus=None, app="homestream", shuffle_partitions=None, memory="
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,3 +30,16 @@ def shared_dir(spark, *parts):
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return "/".join([root.rstrip("/"), *parts])
+
+
+def cut_lineage(df):
+    """Materialise a frame that several jobs read, in the shared checkpoint folder.
+
+    Without such a folder the frame is returned as it is and simply computed again.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return df
+    spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint()
