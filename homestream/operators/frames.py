@@ -28,7 +28,7 @@ def rescale_boxes(df: DataFrame, factor=BOX_FACTOR) -> DataFrame:
 
 def label_text(df: DataFrame, out="label") -> DataFrame:
     """Overlay text 'name (0.00)'. DecimalFormat rounds the exact binary value, printf of the JVM does not."""
-    shown = F.format_number(F.col("confidence").cast("double"), "0.00")
+    shown = F.call_function("format_number", F.col("confidence").cast("double"), F.lit("0.00"))
     return df.withColumn(out, F.concat(F.col("name"), F.lit(" ("), shown, F.lit(")")))
 
 

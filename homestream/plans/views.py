@@ -158,3 +158,32 @@ def probes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("probe_id"), F.reverse("embedding").alias("encoding"),
     )
+
+
+def stamps(spark, sf_dir):
+    """Wire timestamps as a careless producer writes them: short fractions, none, junk, missing."""
+    return _events(spark, sf_dir).select(
+        F.col("event_id").alias("seq"),
+        F.when(_every(37), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(_every(41), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+        .when(_every(43), F.concat(F.lit("at "), F.col("user_id").cast("string")))
+        .when(~_every(47), wire_text(F.col("at"))).alias("timestamp"),
+    )
+
+
+def lights(spark, sf_dir):
+    """A Light table that is already there: named, placed lamps, some of which never report."""
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("led-"), (F.col("n_nationkey") * 3).cast("string")).alias("device_id"),
+        F.col("n_name").alias("name"), (F.col("n_regionkey") == 1).alias("status"),
+        F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("location"),
+    )
+
+
+def event_kinds(spark, sf_dir):
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        F.when(kind == "click", "led").when(kind == "view", "fan").when(kind == "purchase", "door")
+        .when(kind == "signup", "humidity").when(kind == "error", "temperature").alias("kind"),
+    )
