@@ -22,7 +22,10 @@ ORDER = ("event_ts", "seq")
 
 def changes_only(df: DataFrame, key, steady=(), nullable=None, order=ORDER, null_mode="sticky",
                  chunk=DEFAULT_WIDTH) -> DataFrame:
-    """Rows that change ``steady`` (fields never null here) or ``nullable`` (at most one field)."""
+    """Rows that change ``steady`` (fields never null here) or ``nullable`` (at most one field).
+
+    On a streaming frame this is :func:`homestream.streaming.changes.stream_changes`.
+    """
     if df.isStreaming:
         from homestream.streaming.changes import stream_changes
         return stream_changes(df, key, [*cols(steady), *([nullable] if nullable else [])], order,
