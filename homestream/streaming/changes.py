@@ -12,12 +12,12 @@ from homestream.operators.timeline import cols
 
 
 def stream_changes(df: DataFrame, key, watch, order=("event_ts", "seq"), null_mode="sticky",
-                   state_ttl=None, last_change=None, refresh=True) -> DataFrame:
+                   state_ttl=None, last_change=None, refresh=True, watermark="1 second") -> DataFrame:
     """Rows that differ from the key's last kept row in any watched field.
 
     ``last_change`` names an output column with the event time of the key's latest change
-    (``refresh=False``: of its first). ``state_ttl`` forgets a key that stays silent that long; by
-    default nothing is forgotten.
+    (``refresh=False``: of its first). ``state_ttl`` forgets a key that stays silent that long in event
+    time, and then rows older than the watermark are late and left out; by default nothing is forgotten.
     """
     if null_mode not in ("sticky", "ignore"):
         raise ValueError("null_mode must be 'sticky' or 'ignore'")
@@ -28,6 +28,8 @@ def stream_changes(df: DataFrame, key, watch, order=("event_ts", "seq"), null_mo
     state_schema = T.StructType(
         [T.StructField(c, df.schema[c].dataType) for c in watch] + [T.StructField("changed_at", T.LongType())])
     ttl_ms = duration_micros(state_ttl) // 1000 if state_ttl else None
+    if state_ttl:
+        df = df.withWatermark(ts, watermark)
 
     def run(_, batches, state):
         import pandas as pd
@@ -57,7 +59,7 @@ def stream_changes(df: DataFrame, key, watch, order=("event_ts", "seq"), null_mo
         if last is not None:
             state.update((*last, at))
             if ttl_ms:
-                state.setTimeoutDuration(ttl_ms)
+                state.setTimeoutTimestamp(max(max(times) // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
         out = rows.iloc[kept][names]
         if last_change:
             out = out.assign(**{last_change: pd.to_datetime(pd.Series(changed_at, index=out.index, dtype="int64"), unit="us")})
@@ -65,4 +67,4 @@ def stream_changes(df: DataFrame, key, watch, order=("event_ts", "seq"), null_mo
 
     return df.groupBy(*key).applyInPandasWithState(
         run, T.StructType(df.schema.fields + extra), state_schema, "append",
-        "ProcessingTimeTimeout" if state_ttl else "NoTimeout")
+        "EventTimeTimeout" if state_ttl else "NoTimeout")

@@ -121,5 +121,5 @@ def run_devices(sources: dict, tables: Tables, checkpoint_root=None, trigger=CHE
 
 def late_rows(query):
     """Rows the watermark of a query has dropped so far in its kept progress reports."""
-    return sum(op.get("numRowsDroppedByWatermark", 0)
+    return sum(op["numRowsDroppedByWatermark"]
                for p in query.recentProgress for op in p["stateOperators"])
