@@ -12,7 +12,7 @@ value. A plain ``lag`` is wrong as soon as nulls occur. All windows share one (k
 from pyspark.sql import DataFrame, functions as F
 
 from homestream.operators.timeline import (
-    CHUNK, DEFAULT_WIDTH, before, cols, last_known, last_known_before, spec, upto, with_chunk,
+    CHUNK, DEFAULT_WIDTH, before, cols, known_keys, last_known, last_known_before, spec, upto, with_chunk,
 )
 from homestream.functions.columns import differs
 from homestream.schemas import KINDS
@@ -37,7 +37,7 @@ def changes_only(df: DataFrame, key, steady=(), nullable=None, order=ORDER, null
 
     key, order = cols(key), cols(order)
     c, f = F.col("_c"), F.col("_f")
-    rows = with_chunk(df, order, chunk).withColumns({
+    rows = with_chunk(known_keys(df, key), order, chunk).withColumns({
         "_c": F.struct(*cols(steady)) if cols(steady) else F.struct(F.lit(1)),
         "_f": F.col(nullable) if nullable else F.lit(None).cast("string"),
     })
@@ -92,7 +92,7 @@ def _carry(tails: DataFrame, key) -> DataFrame:
 
 
 def _changes_of_known(df, key, watch, order, chunk):
-    prev = last_known_before(df, key, order, {f"_known_{c}": F.col(c) for c in watch}, chunk)
+    prev = last_known_before(known_keys(df, key), key, order, {f"_known_{c}": F.col(c) for c in watch}, chunk)
     fresh = F.lit(False)
     for c in watch:
         fresh = fresh | (F.col(c).isNotNull() & ~F.coalesce(F.col(f"_known_{c}") == F.col(c), F.lit(False)))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from homestream.operators.timeline import (
-    CHUNK, DEFAULT_ROWS, before, carry_forward as _carry_forward, cols, last_known, spec, upto, with_chunk,
+    CHUNK, DEFAULT_ROWS, carry_forward as _carry_forward, cols, known_keys, last_known, spec, upto, with_chunk,
 )
 
 # Recognition settings.
@@ -49,7 +49,8 @@ def confirm_runs(df: DataFrame, session="session", order=("frame_no",), n=CONFIR
     Unknown and unsure frames neither count nor break a run. One row per confirmed session.
     """
     session, order = cols(session), cols(order)
-    rows = with_chunk(confident_only(df, min_confidence, unknown), order, chunk)
+    rows = with_chunk(known_keys(confident_only(df, min_confidence, unknown), session), order, chunk)
+    rows = rows.select(*session, *order, "name", CHUNK)
     w = spec([*session, CHUNK], order)
     now = upto(w)
     local = (

@@ -7,7 +7,8 @@ chunk needs from the past is a constant-size carry, computed from one summary ro
 are reduced map-side where possible, scanned in chunk order per key, and joined back on (key, chunk).
 The join finds the rows already partitioned and sorted by these columns.
 
-Keys must not be null; every caller filters them first.
+A join never pairs null keys. :func:`known_keys` leaves rows without a key out where the operator has
+no use for them; :func:`with_key` wraps the key in a struct, which is never null, where they must stay.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from homestream.functions.columns import duration_micros
 
 CHUNK = "_chunk"
+KEY = "_key"
 DEFAULT_WIDTH = "1 hour"
 DEFAULT_ROWS = 100_000
 
@@ -38,6 +40,17 @@ def chunk_column(df: DataFrame, order, chunk) -> Column:
     raise TypeError(f"cannot cut {first} of type {dtype.simpleString()} into chunks")
 
 
+def known_keys(df: DataFrame, key) -> DataFrame:
+    """Rows whose key is known. Both sides of the carry join filter alike, so that they can share one exchange."""
+    for k in cols(key):
+        df = df.filter(F.col(k).isNotNull())
+    return df
+
+
+def with_key(df: DataFrame, key) -> DataFrame:
+    return df.withColumn(KEY, F.struct(*cols(key)))
+
+
 def with_chunk(df: DataFrame, order, chunk) -> DataFrame:
     return df.withColumn(CHUNK, chunk_column(df, order, chunk))
 
@@ -60,25 +73,24 @@ def last_known(value: Column, w) -> Column:
 
 def last_known_before(df: DataFrame, key, order, values: dict, chunk) -> DataFrame:
     """Add, per named expression, its last non-null value strictly before the row."""
-    key, order = cols(key), cols(order)
-    rows = with_chunk(df, order, chunk).withColumns({f"_v_{n}": v for n, v in values.items()})
-    past = before(spec([*key, CHUNK], order))
+    order = cols(order)
+    rows = with_chunk(with_key(df, key), order, chunk).withColumns({f"_v_{n}": v for n, v in values.items()})
+    past = before(spec([KEY, CHUNK], order))
     local = rows.withColumns({n: last_known(F.col(f"_v_{n}"), past) for n in values})
     if chunk is None:
-        return local.drop(CHUNK, *[f"_v_{n}" for n in values])
+        return local.select(*df.columns, *values)
 
     at = F.struct(*order)
-    tails = rows.groupBy(*key, CHUNK).agg(*[
+    tails = rows.groupBy(KEY, CHUNK).agg(*[
         F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in values
     ])
-    earlier = before(spec(key, CHUNK))
-    carry = tails.select(*key, CHUNK, *[
+    earlier = before(spec(KEY, CHUNK))
+    carry = tails.select(KEY, CHUNK, *[
         last_known(F.col(f"_t_{n}"), earlier).alias(f"_in_{n}") for n in values
     ])
     return (
-        local.join(carry, [*key, CHUNK], "left")
+        local.join(carry, [KEY, CHUNK], "left")
         .withColumns({n: F.coalesce(n, f"_in_{n}") for n in values})
-        .drop(CHUNK, *[f"_v_{n}" for n in values], *[f"_in_{n}" for n in values])
         .select(*df.columns, *values)
     )
 
@@ -94,15 +106,15 @@ def carry_forward(df: DataFrame, key, order, values, chunk=DEFAULT_ROWS) -> Data
 
 def number_rows(df: DataFrame, key, order, out, chunk=DEFAULT_WIDTH) -> DataFrame:
     """0-based position of each row in its key's timeline; (key, order) must be unique."""
-    key, order = cols(key), cols(order)
-    rows = with_chunk(df, order, chunk)
-    local = rows.withColumn(out, (F.row_number().over(spec([*key, CHUNK], order)) - 1).cast("long"))
+    order = cols(order)
+    rows = with_chunk(with_key(df, key), order, chunk)
+    local = rows.withColumn(out, (F.row_number().over(spec([KEY, CHUNK], order)) - 1).cast("long"))
     if chunk is None:
-        return local.drop(CHUNK)
-    sizes = rows.groupBy(*key, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    skip = sizes.select(*key, CHUNK, F.sum("_n").over(before(spec(key, CHUNK))).alias("_skip"))
+        return local.select(*df.columns, out)
+    sizes = rows.groupBy(KEY, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    skip = sizes.select(KEY, CHUNK, F.sum("_n").over(before(spec(KEY, CHUNK))).alias("_skip"))
     return (
-        local.join(skip, [*key, CHUNK], "left")
+        local.join(skip, [KEY, CHUNK], "left")
         .withColumn(out, F.col(out) + F.coalesce("_skip", F.lit(0)))
         .select(*df.columns, out)
     )

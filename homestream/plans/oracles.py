@@ -259,6 +259,11 @@ BODIES = {
   CASE WHEN event_type NOT IN ('click', 'view') THEN CAST(value AS VARCHAR) END AS bbc_servo FROM events""",
     "frame_schema_id": """SELECT k AS kind, event_id AS seq, CAST(id AS BIGINT) AS schema_id
   FROM events, (VALUES ('led', 300), ('fan', 301), ('door', 302), ('humidity', 303), ('temperature', 304)) AS v(k, id)""",
+    **{f"stream_{n}_changes": f"SELECT * EXCLUDE (event_ts) FROM {n}_chg" for n in ("led", "fan", "door")},
+    "stream_control_log": "SELECT DISTINCT * FROM control_events",
+    "training_run": """SELECT lang AS name, count(*) FILTER (WHERE strlen(text) > 0) AS faces,
+  CAST(sum(strlen(text)) FILTER (WHERE strlen(text) > 0) AS DOUBLE) AS bytes,
+  count(*) FILTER (WHERE text IS NULL OR strlen(text) = 0) AS failed FROM documents GROUP BY lang""",
     "wire_round_trip_fan": "SELECT * EXCLUDE (event_ts) FROM fan",
     "wire_round_trip_temp": "SELECT * EXCLUDE (event_ts) FROM temp",
 }

@@ -4,6 +4,8 @@ Times leave as text so that every engine prints the same value; ``event_ts`` and
 inside the operators.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from homestream.functions.columns import speed_value, status_flag, zip_to_map
@@ -11,6 +13,8 @@ from homestream.operators import (
     changes, clean, commands, documents, feeds, frames, keyed, match, people, readings, timeline, wire,
 )
 from homestream.plans import views
+from homestream.session import shared_dir
+from homestream.streaming import pipeline
 from homestream.schemas import (
     CONTROL_LOG, DOCUMENT, FAN_STATE, KINDS, LIGHT_STATE, LOCK_STATE, READING_LOG,
 )
@@ -299,6 +303,39 @@ def _documents(kind):
     return run
 
 
+def training_run(s, d):
+    """Every document taken as a person's picture; the stand-in model sees its bytes."""
+    def encode(content):
+        return [[float(len(content))]] if content else []
+
+    pictures = views.images(s, d, content=True)
+    return people.encode_images(pictures, encode).groupBy("name").agg(
+        F.count("encoding").alias("faces"), F.sum(F.col("encoding")[0].cast("double")).alias("bytes"),
+        F.count("error").alias("failed"))
+
+
+def _streamed(kind):
+    """The change stream of a device kind, run to the end of its input through a real streaming query."""
+    def run(s, d):
+        out = shared_dir(s, "runs", uuid.uuid4().hex)
+        changes_ = pipeline.device_output(views.DEVICES[kind](s, d, stream=True), kind)
+        pipeline.start(
+            changes_, None, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/changes/batch_id={n}"),
+            f"{out}/checkpoint", trigger=None).awaitTermination()
+        return s.read.parquet(f"{out}/changes").drop("event_ts", "batch_id")
+    return run
+
+
+def stream_control_log(s, d):
+    """All three change streams into one Control table, through the whole pipeline."""
+    out = shared_dir(s, "runs", uuid.uuid4().hex)
+    tables = pipeline.Tables(s, f"{out}/tables")
+    for kind in ("fan", "door", "led"):
+        rows = pipeline.device_output(views.DEVICES[kind](s, d, stream=True), kind)
+        pipeline.start(rows, None, pipeline.fan_out(tables, kind), f"{out}/{kind}", trigger=None).awaitTermination()
+    return tables.control().read()
+
+
 QUERIES = {
     "led_clean": _plain(cleaned("led")),
     "fan_clean": _plain(cleaned("fan")),
@@ -352,6 +389,7 @@ QUERIES = {
     "route_commands": route_commands,
     "gallery_stats": gallery_stats,
     "remove_person": remove_person,
+    "training_run": training_run,
     "list_people": list_people,
     "image_labels": image_labels,
     "validate_uploads": validate_uploads,
@@ -370,4 +408,8 @@ QUERIES = {
     "frame_schema_id": frame_schema_id,
     "wire_round_trip_fan": _wire_round_trip("fan"),
     "wire_round_trip_temp": _wire_round_trip("temperature"),
+    "stream_led_changes": _streamed("led"),
+    "stream_fan_changes": _streamed("fan"),
+    "stream_door_changes": _streamed("door"),
+    "stream_control_log": stream_control_log,
 }

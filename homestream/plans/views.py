@@ -14,8 +14,15 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+def event_stream(spark, sf_dir):
+    """The events table as a stream of its files."""
+    schema = table(spark, sf_dir, "events").schema
+    # a pattern, because a file source takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def _events(spark, sf_dir, stream=False):
+    e = event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events")
     return e.withColumn("at", F.col("ts").cast("timestamp"))
 
 
@@ -50,16 +57,16 @@ def _password():
     return F.concat(F.lit("pw-"), (F.col("user_id") % 3).cast("string"))
 
 
-def led(spark, sf_dir):
-    return _events(spark, sf_dir).select(
+def led(spark, sf_dir, stream=False):
+    return _events(spark, sf_dir, stream).select(
         _device_id("led-", 50, 101).alias("id_led"),
         F.when(_every(13), None).otherwise(_flag(_on())).alias("bbc_led"),
         *_common(),
     )
 
 
-def fan(spark, sf_dir):
-    return _events(spark, sf_dir).select(
+def fan(spark, sf_dir, stream=False):
+    return _events(spark, sf_dir, stream).select(
         _device_id("fan-", 20, 101).alias("id_fan"),
         F.when(_every(11), None).otherwise(_flag(_on())).alias("bbc_fan"),
         F.when(_every(23), None).when(_every(29), "-5").when(_every(97), "abc")
@@ -68,24 +75,24 @@ def fan(spark, sf_dir):
     )
 
 
-def door(spark, sf_dir):
-    return _events(spark, sf_dir).select(
+def door(spark, sf_dir, stream=False):
+    return _events(spark, sf_dir, stream).select(
         _device_id("door-", 20, 101).alias("id_door"),
         F.when(_every(31), None).otherwise(_flag(F.col("event_type") == "signup")).alias("bbc_servo"),
         *_common(F.when(~_every(7), _password())),
     )
 
 
-def temperature(spark, sf_dir):
-    return _events(spark, sf_dir).select(
+def temperature(spark, sf_dir, stream=False):
+    return _events(spark, sf_dir, stream).select(
         _device_id("temp-", 20, 101).alias("id_temp"),
         F.when(~_every(19), F.col("value").cast("float")).alias("bbc_temp"),
         *_common(),
     )
 
 
-def humidity(spark, sf_dir):
-    return _events(spark, sf_dir).select(
+def humidity(spark, sf_dir, stream=False):
+    return _events(spark, sf_dir, stream).select(
         _device_id("hum-", 10, 103).alias("id_hum"),
         F.when(~_every(17), (F.col("value") * 0.5 - 5).cast("float")).alias("bbc_hum"),
         *_common(),
@@ -139,8 +146,9 @@ def uploads(spark, sf_dir):
     )
 
 
-def images(spark, sf_dir):
+def images(spark, sf_dir, content=False):
     return table(spark, sf_dir, "documents").select(
+        *([F.col("text").cast("binary").alias("content")] if content else []),
         F.concat(F.lit("dataset/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"),
         F.col("n_chars").alias("length"),
     )

@@ -1,6 +1,7 @@
 """Session defaults. On a cluster the submitted configuration wins; nothing here overrides it."""
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,10 +26,16 @@ def local_session(cpus=None, app="homestream", shuffle_partitions=None, memory="
 
 
 def shared_dir(spark, *parts):
-    """A path below the shared checkpoint folder that the cluster names in the session."""
+    """A path below the shared checkpoint folder that the cluster names in the session.
+
+    Only a local session, where every task runs on this machine, may do without the setting.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="homestream-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return "/".join([root.rstrip("/"), *parts])
 
 

@@ -91,8 +91,8 @@ def fan_out(tables: Tables, kind):
 def start(df: DataFrame, name, on_batch, checkpoint=None, trigger=CHECKPOINT_EVERY, output_mode="append"):
     """Start a query. ``trigger=None`` works off what is there and stops."""
     checkpoint = checkpoint or shared_dir(df.sparkSession, "streams", name)
-    writer = (df.writeStream.queryName(name).outputMode(output_mode)
-              .option("checkpointLocation", checkpoint).foreachBatch(on_batch))
+    writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch)
+    writer = writer.queryName(name) if name else writer
     writer = writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)
     return writer.start()
 

@@ -23,10 +23,14 @@ class KeyedTable:
     """One row per key, kept as complete versions; a version counts once its _SUCCESS marker exists.
 
     Meant for tables whose size follows the number of devices or people, not the number of events.
+    The last ``keep`` versions stay, for readers that opened one and for replays.
     """
 
-    def __init__(self, spark, path, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark, path, schema, keep=10):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, max(keep, 2)
+
+    def _dir(self, version):
+        return f"{self.path}/v={version:012d}"
 
     def versions(self):
         names = [n for n in _children(self.spark, self.path) if n.startswith("v=")]
@@ -37,37 +41,45 @@ class KeyedTable:
         done = [v for v in self.versions() if before is None or v < before]
         if not done:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={done[-1]:012d}")
+        return self.spark.read.schema(self.schema).parquet(self._dir(done[-1]))
 
     def write(self, df: DataFrame, version=None):
-        if version is None:
-            version = max(self.versions(), default=-1) + 1
-        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v={version:012d}")
+        done = self.versions()
+        version = max(done, default=-1) + 1 if version is None else version
+        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._dir(version))
+        for old in [v for v in done if v < version][:-self.keep + 1]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self._dir(old))
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def upsert(self, rows: DataFrame, key, values, batch_id, order=("event_ts", "seq")):
         self.write(coalesce_upsert(self.read(before=batch_id), rows, key, values, order), batch_id)
 
 
 class AppendLog:
-    """Rows that are only ever added, partitioned by source, micro-batch and day.
+    """Rows that are only ever added, partitioned by day, source and micro-batch.
 
-    Insert-if-absent looks only at the days its own rows fall on, so its cost follows the batch and
-    those days and not the whole history.
+    Insert-if-absent lists and reads only the days its own rows fall on, so its cost follows the batch
+    and those days and not the whole history.
     """
 
     def __init__(self, spark, path, schema, time_col):
         self.spark, self.path, self.schema, self.time_col = spark, path.rstrip("/"), schema, time_col
         self._stored = T.StructType(schema.fields + [
-            T.StructField("source", T.StringType()), T.StructField("batch_id", T.LongType()),
-            T.StructField("day", T.StringType())])
+            T.StructField("day", T.StringType()), T.StructField("source", T.StringType()),
+            T.StructField("batch_id", T.LongType())])
 
     def _day(self):
         return F.substring(F.col(self.time_col), 1, 10)
 
-    def stored(self) -> DataFrame:
-        if not _children(self.spark, self.path):
+    def stored(self, lo=None, hi=None) -> DataFrame:
+        """Stored rows with their partition columns, of all days or of those from ``lo`` to ``hi``."""
+        days = [n for n in _children(self.spark, self.path) if n.startswith("day=")]
+        if lo is not None:
+            days = [n for n in days if lo <= n[4:] <= hi]
+        if not days:
             return self.spark.createDataFrame([], self._stored)
-        return self.spark.read.schema(self._stored).parquet(self.path)
+        return (self.spark.read.schema(self._stored).option("basePath", self.path)
+                .parquet(*[f"{self.path}/{n}" for n in days]))
 
     def read(self) -> DataFrame:
         return self.stored().select(*self.schema.fieldNames())
@@ -77,15 +89,23 @@ class AppendLog:
         return latest_documents(self.stored().drop("source", "day"), key, ("batch_id",))
 
     def append(self, rows: DataFrame, batch_id, source="stream"):
-        (rows.select(*self.schema.fieldNames(), self._day().alias("day"))
-         .write.mode("overwrite").partitionBy("day")
-         .parquet(f"{self.path}/source={source}/batch_id={batch_id}"))
+        """A replay brings the same rows, so it overwrites exactly the partitions of its first run.
+
+        Rebalancing by day keeps the file count low and still splits a day that is too large for one task.
+        """
+        (rows.select(*self.schema.fieldNames(), self._day().alias("day"), F.lit(source).alias("source"),
+                     F.lit(batch_id).cast("long").alias("batch_id"))
+         .hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "source", "batch_id").parquet(self.path))
 
     def insert_if_absent(self, rows: DataFrame, keys, batch_id, source="stream", order=None):
         days = rows.agg(F.min(self._day()).alias("lo"), F.max(self._day()).alias("hi")).first()
-        mine = (F.col("source") == source) & (F.col("batch_id") >= batch_id)
-        target = self.stored().filter(~mine).filter(F.col("day").between(days["lo"], days["hi"]))
-        self.append(absent_rows(target.select(*self.schema.fieldNames()), rows, keys, order), batch_id, source)
+        if days["lo"] is None:       # no row, or none with a time: nothing stored can equal them
+            target = self.spark.createDataFrame([], self.schema)
+        else:
+            own = (F.col("source") == source) & (F.col("batch_id") >= batch_id)
+            target = self.stored(days["lo"], days["hi"]).filter(~own).select(*self.schema.fieldNames())
+        self.append(absent_rows(target, rows, keys, order), batch_id, source)
 
 
 @dataclass(frozen=True)
