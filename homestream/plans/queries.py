@@ -314,6 +314,12 @@ def training_run(s, d):
         F.count("error").alias("failed"))
 
 
+def _state_partitions(s, d):
+    """As many as the input has splits, at least 8, at most what the session shuffles into."""
+    splits = views.table(s, d, "events").rdd.getNumPartitions()
+    return max(8, min(splits, int(s.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _streamed(kind):
     """The change stream of a device kind, run to the end of its input through a real streaming query."""
     def run(s, d):
@@ -321,7 +327,7 @@ def _streamed(kind):
         changes_ = pipeline.device_output(views.DEVICES[kind](s, d, stream=True), kind)
         pipeline.start(
             changes_, None, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/changes/batch_id={n}"),
-            f"{out}/checkpoint", trigger=None).awaitTermination()
+            f"{out}/checkpoint", trigger=None, state_partitions=_state_partitions(s, d)).awaitTermination()
         return s.read.parquet(f"{out}/changes").drop("event_ts", "batch_id")
     return run
 
@@ -332,7 +338,8 @@ def stream_control_log(s, d):
     tables = pipeline.Tables(s, f"{out}/tables")
     for kind in ("fan", "door", "led"):
         rows = pipeline.device_output(views.DEVICES[kind](s, d, stream=True), kind)
-        pipeline.start(rows, None, pipeline.fan_out(tables, kind), f"{out}/{kind}", trigger=None).awaitTermination()
+        pipeline.start(rows, None, pipeline.fan_out(tables, kind), f"{out}/{kind}", trigger=None,
+                       state_partitions=_state_partitions(s, d)).awaitTermination()
     return tables.control().read()
 
 

@@ -88,17 +88,31 @@ def fan_out(tables: Tables, kind):
     return write
 
 
-def start(df: DataFrame, name, on_batch, checkpoint=None, trigger=CHECKPOINT_EVERY, output_mode="append"):
-    """Start a query. ``trigger=None`` works off what is there and stops."""
+def start(df: DataFrame, name, on_batch, checkpoint=None, trigger=CHECKPOINT_EVERY, output_mode="append",
+          state_partitions=None):
+    """Start a query. ``trigger=None`` works off what is there and stops.
+
+    ``state_partitions`` replaces the session's shuffle partitions for this query. It is fixed with the
+    first start of a checkpoint and every micro-batch pays for each partition, so size it by the rows
+    and keys of a micro-batch, not by those of the whole history.
+    """
     checkpoint = checkpoint or shared_dir(df.sparkSession, "streams", name)
     writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     writer = writer.queryName(name) if name else writer
     writer = writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)
-    return writer.start()
+    conf, key = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    try:
+        conf.set(key, str(state_partitions or before))
+        return writer.start()          # the query keeps its own copy of the settings
+    finally:
+        conf.set(key, before)
 
 
-def start_device(df: DataFrame, kind, tables: Tables, checkpoint=None, trigger=CHECKPOINT_EVERY, **options):
-    return start(device_output(df, kind, **options), kind, fan_out(tables, kind), checkpoint, trigger)
+def start_device(df: DataFrame, kind, tables: Tables, checkpoint=None, trigger=CHECKPOINT_EVERY,
+                 state_partitions=None, **options):
+    return start(device_output(df, kind, **options), kind, fan_out(tables, kind), checkpoint, trigger,
+                 state_partitions=state_partitions)
 
 
 def start_quarantine(df: DataFrame, kind, path, checkpoint=None, trigger=CHECKPOINT_EVERY):
@@ -111,10 +125,11 @@ def start_quarantine(df: DataFrame, kind, path, checkpoint=None, trigger=CHECKPO
     return start(rejects, f"{kind}_rejects", write, checkpoint, trigger)
 
 
-def run_devices(sources: dict, tables: Tables, checkpoint_root=None, trigger=CHECKPOINT_EVERY):
+def run_devices(sources: dict, tables: Tables, checkpoint_root=None, trigger=CHECKPOINT_EVERY, state_partitions=None):
     """All device queries: ``sources`` maps a kind to its streaming frame."""
     return [
-        start_device(df, kind, tables, f"{checkpoint_root}/{kind}" if checkpoint_root else None, trigger)
+        start_device(df, kind, tables, f"{checkpoint_root}/{kind}" if checkpoint_root else None, trigger,
+                     state_partitions)
         for kind, df in sources.items()
     ]
 
