@@ -102,6 +102,10 @@ VIEWS.update({
   CASE WHEN distance <= 1.1 THEN gallery_idx END AS gallery_idx,
   CASE WHEN distance <= 1.1 THEN distance END AS distance,
   CASE WHEN distance <= 1.1 THEN 1 - distance ELSE 0 END AS confidence FROM pairwise WHERE rn = 1""",
+    "sighted": """SELECT label AS session, vec_id AS frame_no, m.name FROM embeddings JOIN matched m ON probe_id = vec_id
+  WHERE vec_id % 2 = 0 AND m.name <> 'Unknown' AND m.confidence > -0.1""",
+    "sighted_lag": "SELECT *, lag(name) OVER (PARTITION BY session ORDER BY frame_no) AS pn FROM sighted",
+    "sighted_twice": "SELECT session, arg_min(name, frame_no) AS name FROM sighted_lag WHERE name = pn GROUP BY session",
     "sure": "SELECT * FROM detections WHERE name <> 'Unknown' AND confidence > 0.1",
     "sure_lag": "SELECT *, lag(name) OVER (PARTITION BY session ORDER BY frame_no) AS pn FROM sure",
     "sure_runs": """SELECT *, sum(CASE WHEN pn IS NULL OR pn <> name THEN 1 ELSE 0 END)
@@ -215,6 +219,8 @@ BODIES = {
     "confirm_runs": "SELECT session, frame_no, name FROM confirmed3",
     "trigger_messages": """SELECT session, 1 AS step, name AS payload FROM confirmed3
   UNION ALL SELECT session, 2, 'Unknown' FROM confirmed3""",
+    "recognition": """SELECT session, 1 AS step, name AS payload FROM sighted_twice
+  UNION ALL SELECT session, 2, 'Unknown' FROM sighted_twice""",
     "detection_outcome": """SELECT s.session, coalesce(c.name, 'Unknown') AS name
   FROM (SELECT DISTINCT session FROM detections) s LEFT JOIN confirmed5 c ON c.session = s.session""",
     "carry_forward": """SELECT session, frame_no,

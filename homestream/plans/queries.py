@@ -13,7 +13,7 @@ from homestream.operators import (
     changes, clean, commands, documents, feeds, frames, keyed, match, people, readings, timeline, wire,
 )
 from homestream.plans import views
-from homestream.session import shared_dir
+from homestream.session import cut_lineage, shared_dir
 from homestream.streaming import pipeline
 from homestream.schemas import (
     CONTROL_LOG, DOCUMENT, FAN_STATE, KINDS, LIGHT_STATE, LOCK_STATE, READING_LOG,
@@ -168,6 +168,16 @@ def _confirmed(s, d, n=3):
     return frames.confirm_runs(views.detections(s, d), n=n, min_confidence=0.1)
 
 
+def recognition(s, d):
+    """The whole detection job: sampled frames, nearest person, two sightings in a row, feed messages."""
+    seen = views.probes(s, d).join(
+        views.table(s, d, "embeddings").select(F.col("vec_id").alias("probe_id"), F.col("label").alias("session")), "probe_id"
+    ).withColumnRenamed("probe_id", "frame_no")
+    named = match.nearest_match(frames.sample_frames(seen), views.gallery(s, d), ["session", "frame_no"], MATCH_TOLERANCE)
+    named = cut_lineage(named)         # confirmation reads its input twice
+    return frames.trigger_messages(frames.confirm_runs(named, n=2, min_confidence=-0.1))
+
+
 def trigger_messages(s, d):
     return frames.trigger_messages(_confirmed(s, d))
 
@@ -384,6 +394,7 @@ QUERIES = {
     "nearest_match": _nearest(),
     "nearest_match_blocks": _nearest(broadcast_rows=0),
     "confident_match": confident_match,
+    "recognition": recognition,
     "frame_numbers": frame_numbers,
     "confirm_runs": _confirmed,
     "trigger_messages": trigger_messages,

@@ -81,5 +81,5 @@ def test_commands_parse_once(spark):
 def test_no_query_runs_python_where_expressions_do(spark):
     python = {n for n, q in queries.QUERIES.items() if not n.startswith("stream_")
               and re.search(r"InArrow|InPandas|PythonUDF", plan(q(spark, SF)))}
-    assert python == {"nearest_match", "nearest_match_blocks", "confident_match", "frame_schema_id", "training_run",
+    assert python == {"nearest_match", "nearest_match_blocks", "confident_match", "recognition", "frame_schema_id", "training_run",
                       "wire_round_trip_fan", "wire_round_trip_temp"}
