@@ -142,7 +142,7 @@ def test_late_rows_are_counted(spark, tmp_path):
 def test_quarantine(spark, tmp_path):
     path = feed(spark, tmp_path, "fan", 2)
     out = str(tmp_path / "rejects")
-    pipeline.start_quarantine(source(spark, "fan", path), "fan", out, trigger=None).awaitTermination()
+    pipeline.start_quarantine(source(spark, "fan", path), "fan", out, str(tmp_path / "cp"), trigger=None).awaitTermination()
     want = clean.rejected(pipeline.validated(read_device_table(spark, "fan", path, SEQ), "fan", "quarantine"))
     got = spark.read.parquet(out)
     assert got.count() == want.count() > 0 and {r[0] for r in got.select(clean.REASON).collect()} == {"bbc_control_fan"}
