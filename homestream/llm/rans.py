@@ -41,7 +41,14 @@ def _rows(n):
 def encode(ids):
     """ids (uint32) -> dict with symbols, freq, and per block: states, word offsets, crc; and the words."""
     ids = np.ascontiguousarray(ids, "<u4")
-    symbols, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < 1 << 20:    # a vocabulary's ids: counted without sorting
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        rank = np.zeros(len(counts), np.int64)
+        rank[symbols] = np.arange(len(symbols))
+        at, counts = rank[ids], counts[symbols]
+    else:
+        symbols, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
     if not len(ids):
         none = np.zeros(0, np.int64)
         return {"n": 0, "symbols": symbols, "freq": none, "states": np.zeros((0, LANES), U), "words": np.zeros(0, "<u4"), "offsets": np.zeros(1, np.int64), "crc": []}

@@ -15,7 +15,7 @@ from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from homestream.llm.bytebpe import PATTERN, SPECIAL, Memory, words_of
+from homestream.llm.bytebpe import PATTERN, SPECIAL, Memory, plain, words_of
 
 LIMIT = 512
 
@@ -80,18 +80,18 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, merges.special)) or r"(?!)")
         self.token = Memory(lambda t: merges.count(t.encode()))
         # a word with its punctuation: the sum over its pre-tokens
-        self.word = Memory(self.plain)
+        self.word = Memory(lambda w: self.uncut(plain(w)))
 
-    def plain(self, text):
+    def uncut(self, text):
         return sum(map(self.token.__getitem__, self.split(text)))
 
     def count(self, text: str) -> int:
         words = words_of(text)
         if words is not None:
-            return sum(map(self.word.__getitem__, words))
+            return self.uncut(words[0]) + sum(map(self.word.__getitem__, words[1:]))
         if SPECIAL not in text and not self.special.search(text):
-            return self.plain(text)
-        return len(self.special.findall(text)) + sum(map(self.plain, self.special.split(text)))
+            return self.uncut(text)
+        return len(self.special.findall(text)) + sum(map(self.uncut, self.special.split(text)))
 
 
 @lru_cache(maxsize=2)

@@ -16,38 +16,72 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from homestream.llm.bytebpe import REMEMBERED, words_of
+from homestream.llm.bytebpe import plain, words_of
 from homestream.llm.common import shared_folder
 
 SEGMENT = 2_000_000
+#: Remembered words above which a task starts anew.
+WORDS = 600_000
 END = 2
 SEGMENTS = "part int, segment int, first bigint, n bigint, doc_ids array<bigint>, lengths array<bigint>, data binary"
 
 
 class Encoder:
-    """The library's ids of texts as packed little-endian 32-bit integers. It sees each word once."""
+    """The library's ids of texts as packed little-endian 32-bit integers. It sees each word once.
+
+    New words go to the library as one text. Each starts with its only white space, a space or a line
+    feed, and so with the only token of its own that does: there the ids are cut.
+    """
 
     def __init__(self, path):
+        import numpy as np
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.known = {}
+        self.sign = {c: self._ids(c).tobytes() for c in ",."}
+        size = self.library.get_vocab_size()
+        self.opens = np.array([(self.library.id_to_token(i) or "")[:1] in ("\u0120", "\u010a") for i in range(size)])
 
-    def _ids(self, texts):
+    def _ids(self, text):
         import numpy as np
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words):
+        import numpy as np
+        known = self.known
+        # letters and one sign after them are separate pre-tokens
+        signed = [w for w in words if w[-1:] in (",", ".") and w[:-1].isalpha()]
+        fresh = list({*words}.difference(signed).union(w[:-1] for w in signed).difference(known))
+        if fresh:
+            ids = self._ids("".join(map(plain, fresh)))
+            cut = np.flatnonzero(self.opens[ids]) * 4
+            data = ids.tobytes()
+            if len(cut) != len(fresh):
+                known.update((w, self._ids(plain(w)).tobytes()) for w in fresh)
+            else:
+                known.update(zip(fresh, [data[s:e] for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(data)])]))
+        known.update((w, known[w[:-1]] + self.sign[w[-1]]) for w in signed)
 
     def encode(self, texts) -> list:
-        words = [words_of(t) for t in texts]
-        new = list({w for ws in words if ws is not None for w in ws}.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED and self.known:
+        import numpy as np
+        if len(self.known) > WORDS:
             self.known.clear()
-            new = list({w for ws in words if ws is not None for w in ws})
-        self.known.update(zip(new, self._ids(new)))
-        whole = [i for i, ws in enumerate(words) if ws is None]
-        odd = dict(zip(whole, self._ids([texts[i] for i in whole])))
-        get = self.known.__getitem__
-        return [odd[i] if ws is None else b"".join(map(get, ws)) for i, ws in enumerate(words)]
+        cut = [words_of(t) for t in texts]
+        get = self.known.get
+        parts = [None if ws is None else list(map(get, ws)) for ws in cut]
+        both = [(ws, part) for ws, part in zip(cut, parts) if ws is not None]
+        # a first word follows no space
+        for (_, part), e in zip(both, self.library.encode_batch_fast([ws[0] for ws, _ in both], add_special_tokens=False)):
+            part[0] = np.array(e.ids, "<u4").tobytes()
+        gaps = [(ws, part, [i for i, p in enumerate(part) if p is None]) for ws, part in both]
+        new = {ws[i] for ws, _, at in gaps for i in at}
+        if new:
+            self._learn(new)
+        for ws, part, at in gaps:
+            for i in at:
+                part[i] = get(ws[i])
+        return [self._ids(t).tobytes() if part is None else b"".join(part) for t, part in zip(texts, parts)]
 
 
 @lru_cache(maxsize=2)
