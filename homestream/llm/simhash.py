@@ -65,8 +65,8 @@ def fingerprints(df: DataFrame, doc_id="doc_id", text="text", words=4) -> DataFr
 
 
 def ring(limit: int):
-    """(shift, width) of each of the limit + 1 segments, low bits first."""
-    m = limit + 1
+    """(shift, width) of each of the limit + 1 segments, three at least, low bits first."""
+    m = max(3, limit + 1)
     widths = [64 // m + (i < 64 % m) for i in range(m)]
     return [(sum(widths[:i]), widths[i]) for i in range(m)]
 
@@ -136,8 +136,8 @@ def _meet(limit: int, fp, key, role):
             for at in range(0, len(y), 4096):
                 diff = x[lo:lo + 1024, None] ^ y[None, at:at + 4096]
                 near = diff != 0
-                for size in range(3, limit + 1):   # the chains that lengths 1 and 2, the key, leave open
-                    near &= np.bitwise_count(diff & np.uint64(chains[size - 1])) <= size * limit // (limit + 1)
+                for size in range(3, len(masks)):   # the chains that lengths 1 and 2, the key, leave open
+                    near &= np.bitwise_count(diff & np.uint64(chains[size - 1])) <= size * limit // len(masks)
                 near &= np.bitwise_count(diff) <= limit
                 i, j = np.nonzero(near)
                 if len(i):

@@ -1,0 +1,343 @@
+"""The operators against brute force on small inputs, with nulls, empty and long texts, ties, repeats."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from homestream.llm import (
+    components, decontaminate, exact, language, pieces, pii, quality, rans, secret_ledger, simhash, token_counts,
+    token_files,
+)
+from homestream.llm.queries import BYTE_BPE, PIECE_BPE, QUERIES, tokenizer
+
+DOCS = "doc_id bigint, text string, value string, blob string, kind string"
+ODD = [None, "", " ", "\n", "a  b\n\n c\t d", "x", "é😀漢字 ١٢ ½ x", "<|endoftext|> a<|endoftext|>", "a▁b </s> <s>",
+       "don't I'LL", "\r\nfoo\r\n", "lorem ipsum, dolor.\nSit amet " * 400]
+
+
+def docs(spark, texts):
+    """One row per text with columns whose names an operator might use itself."""
+    return spark.createDataFrame([(i, t, "v", "b", "k") for i, t in enumerate(texts)], DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# personal data and secrets -------------------------------------------------------------------
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(rules, text):
+    out = []
+    for order, (kind, pattern, ok) in enumerate(rules):
+        out += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if ok(m)]
+    return [s for _, _, s in sorted(out)]
+
+
+def only_digits(m):
+    return re.sub("[^0-9]", "", m.group())
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.group().split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(only_digits(m)) <= 19 and luhn(only_digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(only_digits(m)) <= 15),
+]
+SECRETS = [
+    ("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 6),
+    ("access", "AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 20),
+    ("hex", "[0-9a-f]+", lambda m: len(m.group()) >= 24),
+]
+
+
+def soup(words, n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ["pii", "secrets"])
+def test_spans(spark, name):
+    if name == "pii":
+        words = ["a", "@", ".", "b.c", "@x.y", "1", "4111 1111 1111 1111", "4111-1111-1111-1111", "255", "256", "1.2.3.4", "+1 (202) 555-0143",
+                 " ", "-", "😀", "é", "_", "%", "0001"]
+        texts = ODD + soup(words, 400, 1) + ["1" * 30_000, "a@b" + ".c" * 5_000, "4 " * 9_000, "+1" + "(" * 5000, "a" * 40_000]
+        found, rules = pii.digest(pii.find_pii(docs(spark, texts))), PII
+    else:
+        words = ["password", "PassWD", "secret", "toKen", "api_key", "APIKEY", "=", ":", " ", "\"", "'", "abc123", "AKIA", "ABCDEFGH01234567", "deadbeef",
+                 "0123456789abcdef", "ſ", "K", "é", "x", "\n"]
+        texts = ODD + soup(words, 400, 2) + ["f" * 50_000, "token" + " " * 9_000 + "=abcdefgh", "secret=" + "A" * 30_000]
+        found, rules = secret_ledger.digest(secret_ledger.find_secrets(docs(spark, texts)), "doc_id"), SECRETS
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = base_spans(rules, t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (t, want, got[i].spans)
+        assert set(want) <= set(got[i].spans.split(",") if got[i].spans else [])
+
+
+def test_added_kinds(spark):
+    texts = ["iban: DE89 3704 0044 0532 0130 00.", "DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "part 123-45-6789"]
+    got = [r.spans for r in pii.digest(pii.find_pii(docs(spark, texts))).orderBy("doc_id").collect()]
+    assert "iban:6:33" in got[0] and "iban" not in got[1] and "ssn:4:15" in got[2] and "ssn" not in got[3]
+    assert pii.find_pii(empty(spark)).count() == 0
+
+
+def test_ledger_scans_only_new_blobs(spark, tmp_path):
+    ledger = secret_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    first = docs(spark, ["token=abcdefgh", "token=abcdefgh", "plain", None, ""])
+    assert ledger.update(first).count() == 3            # null and empty are one blob
+    second = docs(spark, ["token=abcdefgh", "secret=abcdefgh"])
+    assert [r.n_assign for r in secret_ledger.digest(secret_ledger.find_secrets(second, ledger=ledger)).orderBy("doc_id").collect()] == [1, 1]
+    assert ledger.entries().count() == 4                # one new
+    assert ledger.update(first, rules="next").count() == 3 and ledger.entries().count() == 4
+    assert secret_ledger.find_secrets(empty(spark)).count() == 0
+
+
+# duplicates ------------------------------------------------------------------------------------
+
+def test_exact(spark):
+    r = random.Random(4)
+    texts = ODD + [r.choice(["a b", "ab", " a\tb ", "abc", "", None, " ab"]) for _ in range(300)]
+    rows = [(None if i % 50 == 7 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0))
+    want = []
+    for norm, g in groups.items():
+        _, none, keep = min(g)
+        want += [(None if x[1] else x[2], None if none else keep, len(g), (None if x[1] else x[2]) == (None if none else keep), hashlib.sha256(norm.encode()).hexdigest())
+                 for x in g]
+    for n in (1, 7):
+        got = exact.exact_duplicates(df, partitions=n).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert exact.exact_duplicates(empty(spark)).count() == 0
+
+
+def brute_print(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    from xxhash import xxh64_intdigest
+    h = [xxh64_intdigest(" ".join(w[i:i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))] if w else []
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_simhash_fingerprint():
+    for t in [x or "" for x in ODD] + soup(["Ab ", "c ", " ", "É ", "\x1c", "\n"], 100, 5):
+        assert simhash.fingerprint(t.encode(), 4) == brute_print(t, 4)
+
+
+@pytest.mark.parametrize("limit", [1, 4, 8])
+def test_simhash_links(spark, limit):
+    r = random.Random(limit)
+    fps = {0, (1 << 64) - 1}
+    for _ in range(30):
+        x = r.getrandbits(64)
+        for _ in range(12):
+            fps.add(x)
+            for b in r.sample(range(64), r.randint(0, limit + 1)):
+                x ^= 1 << b
+    fps = sorted(fps)
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= limit:
+                parent[find(a)] = find(b)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), limit)
+    found = {(np.int64(x.node).view(np.uint64).item()): x.root for x in components.components(links).collect()}
+    groups = {}
+    for f in fps:
+        groups.setdefault(find(f), set()).add(f)
+    got = {}
+    for f in fps:
+        got.setdefault(found.get(f, ("alone", f)), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
+
+
+def test_simhash_hot_key(spark, monkeypatch):
+    """A key dealt out in cells finds the same components."""
+    monkeypatch.setattr(simhash, "CELL", 64)
+    base = 0x123456789ABCDEF0
+    fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(40, 64) for b in range(24, 40)})
+    links = simhash.links(spark.createDataFrame([(f,) for f in np.array(fps, np.uint64).view(np.int64).tolist()], "fp bigint"), 4)
+    got = components.components(links).collect()
+    assert len(got) == len(fps) and len({x.root for x in got}) == 1
+
+
+def test_near_duplicates(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    texts = [None, "", "  ", long, long.upper(), long + " tail", "one two", "one two three four five"]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i].component_id for i in range(8)] == [0, 0, 0, 3, 3, 3, 6, 7]
+    assert [got[i].fingerprint for i in range(8)] == [f"{brute_print(t, 4):016x}" for t in texts]
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts)).collect()} == {0, 3, 6, 7}
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_components_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "a bigint, b bigint")
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+# tokens ----------------------------------------------------------------------------------------
+
+def library_ids(texts):
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(tokenizer(BYTE_BPE))
+    return [e.ids for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+TEXTS = ODD + soup(list("aB1 \n\t'.,!é漢😀s") + ["<|endoftext|>", "the ", "ing", " th", "▁", "  "], 500, 6)
+
+
+def test_token_counts(spark):
+    got = token_counts.count_tokens(docs(spark, TEXTS), tokenizer(BYTE_BPE)).orderBy("doc_id").collect()
+    want = library_ids(TEXTS)
+    assert [r.n_tokens for r in got] == [len(w) for w in want]
+    assert [r.n_bytes for r in got] == [len((t or "").encode()) for t in TEXTS]
+    assert all(r.over_limit == (r.n_tokens > 512) and r.value == "v" for r in got)
+    assert token_counts.count_tokens(empty(spark), tokenizer(BYTE_BPE)).count() == 0
+
+
+def test_token_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT", 700)
+    df = docs(spark, TEXTS).repartition(5)
+    got = token_files.token_files(df, tokenizer(BYTE_BPE), target=str(tmp_path / "ids")).orderBy("doc_id").collect()
+    want = [[*w, 2] for w in library_ids(TEXTS)]
+    at = 0
+    for r, w in zip(got, want, strict=True):
+        assert r.start == at and np.frombuffer(r.ids, "<u4").tolist() == w
+        at += len(w)
+    assert token_files.token_files(empty(spark), tokenizer(BYTE_BPE)).count() == 0
+
+
+def test_rans():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 65, 5000, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK):
+        ids = (rng.zipf(1.3, n) % 50257).astype("<u4")
+        part = rans.unpack(rans.pack(rans.encode(ids)))
+        assert (rans.decode(part) == ids).all()
+    assert (rans.decode(part, [2]) == ids[2 * rans.BLOCK:]).all()      # one block alone, from its checkpoint
+    part["words"] = part["words"].copy()
+    part["words"][10] ^= 1
+    with pytest.raises(ValueError):
+        rans.decode(part)
+    assert (rans.decode(rans.encode(np.full(9, 70_000_000, "<u4"))) == 70_000_000).all()
+
+
+def test_pieces(spark):
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer(PIECE_BPE))
+    texts = TEXTS + [" " * 40 + "x", "hello" + " " * 17 + "world", "a\x00b"]
+    got = pieces.encode_decode(docs(spark, texts), tokenizer(PIECE_BPE)).orderBy("doc_id").collect()
+    want = [[*lib.encode(t or ""), lib.eos_id()] for t in texts]
+    assert [list(r.ids) for r in got] == want
+    assert [r.decoded for r in got] == [lib.decode(w) for w in want]
+    row = pieces.digest(pieces.encode_decode(docs(spark, ["ab c"]), tokenizer(PIECE_BPE))).first()
+    ids = [*lib.encode("ab c"), lib.eos_id()]
+    assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and row.n_tokens == len(ids)
+    assert pieces.encode_decode(empty(spark), tokenizer(PIECE_BPE)).count() == 0
+
+
+# learnt operators ------------------------------------------------------------------------------
+
+def test_quality(spark, sf_dir):
+    got = QUERIES["op7_quality"](spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = got.join(labels, "doc_id").filter("held_out").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got.collect())
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.93
+    assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_quality_without_labels(spark):
+    none = spark.createDataFrame([(None, 1), (3, None)], "doc_id bigint, quality int")
+    got = quality.classify(docs(spark, ODD), none).collect()
+    assert len(got) == len(ODD) and {r.score for r in got} == {0.5}
+    assert quality.classify(empty(spark), none).count() == 0
+
+
+def test_language(spark, sf_dir):
+    got = QUERIES["op8_language"](spark, sf_dir)
+    rows = got.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+
+
+def test_language_edges(spark):
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(
+        [("der die das und ist", "de"), ("the cat and the dog", "en")] * 20 + [(None, "de"), ("12 !", "en"), ("the dog", None)])],
+        "doc_id bigint, text string, lang string")
+    got = [(r.lang_pred, r.score) for r in language.predict(df).orderBy("doc_id").collect()]
+    assert got[-3][0] == got[-2][0] == "und" and got[-3][1] == 0 and got[-1][0] == "en" and got[0][0] == "de"
+    assert {r.lang_pred for r in language.identify(docs(spark, ODD), ()).collect()} == {"und"}
+    assert language.predict(df.limit(0)).count() == 0
+
+
+def test_suffix_automaton():
+    r = random.Random(7)
+    text = "".join(r.choice("abc") for _ in range(60))
+    a = language.SuffixAutomaton(text)
+    for _ in range(200):
+        word = "".join(r.choice("abcd") for _ in range(r.randint(0, 12)))
+        at = count = 0
+        while at < len(word):
+            n = max((n for n in range(1, len(word) - at + 1) if word[at:at + n] in text), default=1)
+            at, count = at + n, count + 1
+        assert a.phrases(word) == count
+
+
+# decontamination -------------------------------------------------------------------------------
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def brute_leaks(items, text):
+    w = words_of(text)
+    hit, found = [0] * len(w), set()
+    for item, t in items:
+        v = words_of(t)
+        size = min(10, len(v))
+        for j in range(len(v) - size + 1 if v else 0):
+            for p in range(len(w) - size + 1):
+                if w[p:p + size] == v[j:j + size]:
+                    hit[p:p + size] = [1] * size
+                    found.add(item)
+    return len(w), sum(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block", [40, decontaminate.BLOCK])
+def test_leaks(spark, block):
+    r = random.Random(8)
+    vocabulary = ["a", "B", "cé", "d1", "e"]
+
+    def make(n):
+        return " ".join(r.choice(vocabulary) for _ in range(n))
+
+    items = [(str(i), make(n)) for i, n in enumerate([0, 1, 3, 9, 10, 11, 14, 30])]
+    items[1] = ("1", "unique")
+    items += [("7", items[7][1]), ("9", None), ("", items[6][1])]
+    texts = ODD + [make(r.randint(0, 80)) for _ in range(40)] + [f"x, {items[7][1]}! y", "Unique", items[6][1] * 20]
+    bench = spark.createDataFrame([(i or None, t) for i, t in items], "item_id string, text string")
+    got = decontaminate.find_leaks(docs(spark, texts), bench, block=block).orderBy("doc_id").collect()
+    for row, t in zip(got, texts, strict=True):
+        assert (row.n_words, row.n_hit, sorted(row["items"])) == brute_leaks(items, t), t
+    clean = decontaminate.decontaminate(docs(spark, texts), bench)
+    assert clean.columns == docs(spark, []).columns and clean.count() == sum(r.n_hit == 0 for r in got)
+    assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).agg({"n_hit": "sum"}).first()[0] == 0
+    assert decontaminate.find_leaks(empty(spark), bench).count() == 0
