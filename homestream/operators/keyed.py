@@ -47,14 +47,19 @@ def absent_rows(target: DataFrame, rows: DataFrame, keys, order=None) -> DataFra
     """
     keys = cols(keys)
     rest = [c for c in target.columns if c not in keys]
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    keyed = rows.filter(known)
-    if rest:
-        first = keyed.groupBy(*keys).agg(*[F.min_by(c, _at(order)).alias(c) for c in rest])
-    else:
-        first = keyed.select(*keys).distinct()
-    fresh = first.join(target.select(*keys), keys, "left_anti").select(*target.columns)
-    return fresh.unionByName(rows.filter(~known).select(*target.columns))
+    unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    # One pass: rows with a known key fold per key; the others fold only with their own copies, counted
+    # per partition so that no count grows with the input, and are repeated afterwards.
+    apart = F.when(unknown, F.struct(F.spark_partition_id().alias("_p"), *rest)).alias("_apart")
+    first = rows.select(*keys, *rest, apart, *([_at(order).alias("_at")] if rest else [])).groupBy(*keys, "_apart").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.min_by(c, "_at").alias(c) for c in rest])
+    values = [F.when(unknown, F.col(f"_apart.{c}")).otherwise(F.col(c)).alias(c) if c in rest else F.col(c)
+              for c in target.columns]
+    return (
+        first.join(target.select(*keys), keys, "left_anti")      # a null equals nothing, so it stays
+        .select(*values, F.explode(F.sequence(F.lit(1), F.when(unknown, F.col("_n")).otherwise(1))).alias("_copy"))
+        .drop("_copy")
+    )
 
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys, order=None) -> DataFrame:

@@ -267,6 +267,7 @@ BODIES = {
   FROM events, (VALUES ('led', 300), ('fan', 301), ('door', 302), ('humidity', 303), ('temperature', 304)) AS v(k, id)""",
     **{f"stream_{n}_changes": f"SELECT * EXCLUDE (event_ts) FROM {n}_chg" for n in ("led", "fan", "door")},
     "stream_control_log": "SELECT DISTINCT * FROM control_events",
+    "stream_control_log_restart": "SELECT DISTINCT * FROM control_events",
     "training_run": """SELECT lang AS name, count(*) FILTER (WHERE strlen(text) > 0) AS faces,
   CAST(sum(strlen(text)) FILTER (WHERE strlen(text) > 0) AS DOUBLE) AS bytes,
   count(*) FILTER (WHERE text IS NULL OR strlen(text) = 0) AS failed FROM documents GROUP BY lang""",
@@ -274,6 +275,8 @@ BODIES = {
     "wire_round_trip_temp": "SELECT * EXCLUDE (event_ts) FROM temp",
 }
 
+BODIES["stream_light_merge_existing"] = BODIES["light_state_merge_existing"]
+
 
 def _needed(sql, found):
     """Views a text mentions, dependencies first."""

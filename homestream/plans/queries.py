@@ -353,6 +353,33 @@ def stream_control_log(s, d):
     return tables.control().read()
 
 
+def stream_light_merge_existing(s, d):
+    """The led stream into a Light table that already holds rows."""
+    out = shared_dir(s, "runs", uuid.uuid4().hex)
+    tables = pipeline.Tables(s, f"{out}/tables")
+    tables.state("led").write(views.lights(s, d))
+    rows = pipeline.device_output(views.DEVICES["led"](s, d, stream=True), "led")
+    pipeline.start(rows, None, pipeline.fan_out(tables, "led"), f"{out}/led", trigger=None,
+                   state_partitions=_state_partitions(s, d)).awaitTermination()
+    return tables.state("led").read()
+
+
+def stream_control_log_restart(s, d):
+    """The change streams twice into one Control table, the second time under new checkpoints: nothing
+    is lost and nothing is added twice."""
+    out = shared_dir(s, "runs", uuid.uuid4().hex)
+    tables = pipeline.Tables(s, f"{out}/tables")
+    for again in range(2):
+        started = [
+            pipeline.start(pipeline.device_output(views.DEVICES[kind](s, d, stream=True), kind), None,
+                           pipeline.fan_out(tables, kind), f"{out}/{kind}-{again}", trigger=None,
+                           state_partitions=_state_partitions(s, d))
+            for kind in ("fan", "door", "led")]
+        for q in started:
+            q.awaitTermination()
+    return tables.control().read()
+
+
 QUERIES = {
     "led_clean": _plain(cleaned("led")),
     "fan_clean": _plain(cleaned("fan")),
@@ -430,4 +457,6 @@ QUERIES = {
     "stream_fan_changes": _streamed("fan"),
     "stream_door_changes": _streamed("door"),
     "stream_control_log": stream_control_log,
+    "stream_light_merge_existing": stream_light_merge_existing,
+    "stream_control_log_restart": stream_control_log_restart,
 }

@@ -2,14 +2,16 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus=None, app="homestream", shuffle_partitions=None, memory="8g"):
-    """A session for tests and the benchmark."""
+def local_session(cpus=None, app="homestream", shuffle_partitions=None, memory="8g", shared=None):
+    """A session for tests and the benchmark. ``shared``: its checkpoint folder, by default a fresh
+    temporary one unless the environment sets ``spark.checkpoint.dir``."""
     cpus = int(cpus or os.cpu_count() or 4)
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
@@ -19,34 +21,36 @@ def local_session(cpus=None, app="homestream", shuffle_partitions=None, memory="
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not checkpoint_root(spark):
+        # not a runtime setting in every version, so given to the context, where checkpoint_root reads it
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="homestream-"))
     return spark
 
 
-def shared_dir(spark, *parts):
-    """A path below the shared checkpoint folder that the cluster names in the session.
-
-    Only a local session, where every task runs on this machine, may do without the setting.
-    """
+def checkpoint_root(spark):
+    """The shared folder: the session's setting, else what the context was given; None without either."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="homestream-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        given = spark._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else None
+    return root
+
+
+def shared_dir(spark, *parts):
+    """A path below the shared checkpoint folder. It is only read here, never set."""
+    root = checkpoint_root(spark)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return "/".join([root.rstrip("/"), *parts])
 
 
 def cut_lineage(df):
-    """Materialise a frame that several jobs read, in the shared checkpoint folder.
-
-    Without such a folder the frame is returned as it is and simply computed again.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return df
-    spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint()
+    """Write a frame that several jobs read to the shared folder and read it back."""
+    path = shared_dir(df.sparkSession, "cut", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,8 @@ def scan_images(spark: SparkSession, folder) -> DataFrame:
 
 
 def _store(spark, path):
-    return KeyedTable(spark, path, GALLERY)
+    # one version only: a removed person's vectors must not stay readable in older ones
+    return KeyedTable(spark, path, GALLERY, keep=1)
 
 
 def load_gallery(spark: SparkSession, path) -> DataFrame:

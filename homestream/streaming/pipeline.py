@@ -12,7 +12,7 @@ from homestream.schemas import (
 )
 from homestream.session import shared_dir
 from homestream.streaming.changes import stream_changes
-from homestream.streaming.sinks import AppendLog, KeyedTable
+from homestream.streaming.sinks import AppendLog, KeyedTable, run_of
 
 STATE_TABLES = {
     "fan": ("Fan", FAN_STATE, keyed.fan_rows),
@@ -63,25 +63,29 @@ def device_output(df: DataFrame, kind, size="2 minutes", slide="1 minute", time=
 
 
 def fan_out(tables: Tables, kind):
-    """foreachBatch writer: the batch is computed once and feeds every table of its kind."""
+    """foreachBatch writer: the batch is computed once and feeds every table of its kind.
+
+    Called outside a stream, every batch counts as a run of its own.
+    """
     k = KINDS[kind]
 
     def write(batch: DataFrame, batch_id: int):
+        run = run_of(batch)
         batch = batch.persist()
         try:
             if k.reading:
                 tables.readings(kind).insert_if_absent(
-                    readings.reading_rows(batch), ["location", "record_time"], batch_id, kind, "window_start")
+                    readings.reading_rows(batch), ["location", "record_time"], batch_id, kind, "window_start", run)
                 if kind == "temperature":
                     docs = keyed.latest_documents(readings.average_documents(batch))
-                    tables.documents().append(docs, batch_id, kind)
+                    tables.documents().append(docs, batch_id, kind, run)
             else:
                 _, schema, to_rows = STATE_TABLES[kind]
                 values = [c for c in schema.fieldNames() if c != "device_id"]
                 order = [c for c in ORDER if c in batch.columns]
-                tables.state(kind).upsert(to_rows(batch), "device_id", values, batch_id, order)
+                tables.state(kind).upsert(to_rows(batch), "device_id", values, batch_id, order, run)
                 tables.control().insert_if_absent(
-                    keyed.control_rows(batch, k.key), CONTROL_LOG.fieldNames(), batch_id, kind)
+                    keyed.control_rows(batch, k.key), CONTROL_LOG.fieldNames(), batch_id, kind, run=run)
         finally:
             batch.unpersist()
 

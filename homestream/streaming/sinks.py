@@ -1,9 +1,11 @@
 """Writers: versioned keyed tables, append-only logs, and guarded external connectors.
 
-All file writers are idempotent per micro-batch: the batch id names the directory that the batch
-overwrites, and a batch never sees its own earlier output. A replay after a failure leaves the same rows.
+A micro-batch is known by its query's run and its batch id. The run is the identity that a checkpoint
+keeps across restarts, so a replay after a failure comes under the same pair and replaces exactly what it
+wrote before, while a query with a new checkpoint adds to what is there, whoever wrote it.
 """
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -11,101 +13,132 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from homestream.operators.keyed import absent_rows, coalesce_upsert, latest_documents
 
 
+def _fs(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _children(spark, path):
     """Names below a directory of any Hadoop file system; empty when it is not there."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    p, fs = _fs(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def run_of(batch: DataFrame):
+    """The identity of the streaming query that a micro-batch belongs to; a fresh one outside a stream."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or uuid.uuid4().hex
+
+
 class KeyedTable:
     """One row per key, kept as complete versions; a version counts once its _SUCCESS marker exists.
 
     Meant for tables whose size follows the number of devices or people, not the number of events.
-    The last ``keep`` versions stay, for readers that opened one and for replays.
+    Versions grow by one; a version that a micro-batch wrote carries its run and batch id in its name. The
+    last ``keep`` versions stay, for readers that opened one and for replays, which need two.
     """
 
     def __init__(self, spark, path, schema, keep=10):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, max(keep, 2)
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, max(keep, 1)
 
-    def _dir(self, version):
-        return f"{self.path}/v={version:012d}"
+    def _done(self):
+        """Number -> folder name of every complete version."""
+        names = [n for n in _children(self.spark, self.path) if n.startswith("v=")]
+        return {int(n[2:14]): n for n in names if "_SUCCESS" in _children(self.spark, f"{self.path}/{n}")}
 
     def versions(self):
-        names = [n for n in _children(self.spark, self.path) if n.startswith("v=")]
-        done = [int(n[2:]) for n in names if "_SUCCESS" in _children(self.spark, f"{self.path}/{n}")]
-        return sorted(done)
+        return sorted(self._done())
 
-    def read(self, before=None) -> DataFrame:
-        done = [v for v in self.versions() if before is None or v < before]
-        if not done:
+    def _read(self, name):
+        if name is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._dir(done[-1]))
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
 
-    def write(self, df: DataFrame, version=None):
-        done = self.versions()
-        version = max(done, default=-1) + 1 if version is None else version
-        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._dir(version))
-        for old in [v for v in done if v < version][:-self.keep + 1]:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self._dir(old))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    def upsert(self, rows: DataFrame, key, values, batch_id, order=("event_ts", "seq")):
-        self.write(coalesce_upsert(self.read(before=batch_id), rows, key, values, order), batch_id)
+    def read(self) -> DataFrame:
+        done = self._done()
+        return self._read(done[max(done)] if done else None)
+
+    def write(self, df: DataFrame, name=None):
+        """A new version with these rows; ``name`` repeats a version that a replay writes again."""
+        done = self._done()
+        name = name or f"v={max(done, default=-1) + 1:012d}"
+        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        old = sorted(v for v in done if v < int(name[2:14]))
+        for v in old[:max(0, len(old) - self.keep + 1)]:
+            p, fs = _fs(self.spark, f"{self.path}/{done[v]}")
+            fs.delete(p, True)
+
+    def upsert(self, rows: DataFrame, key, values, batch_id, order=("event_ts", "seq"), run="stream"):
+        """Merge a micro-batch into the newest version; a replay starts from the version before its own."""
+        done, mark = self._done(), f"-{run}-{batch_id}"
+        newest = max(done, default=-1)
+        if newest >= 0 and done[newest][14:] == mark:
+            name, base = done[newest], done[max([v for v in done if v < newest])] if len(done) > 1 else None
+        else:
+            name, base = f"v={newest + 1:012d}{mark}", done.get(newest)
+        self.write(coalesce_upsert(self._read(base), rows, key, values, order), name)
 
 
 class AppendLog:
-    """Rows that are only ever added, partitioned by day, source and micro-batch.
+    """Rows that are only ever added, partitioned by day, source, run and micro-batch.
 
     Insert-if-absent lists and reads only the days its own rows fall on, so its cost follows the batch
-    and those days and not the whole history.
+    and those days and not the whole history. Runs are numbered in the order in which they first wrote.
     """
 
+    PARTITIONS = ("day", "source", "run")
+
     def __init__(self, spark, path, schema, time_col):
         self.spark, self.path, self.schema, self.time_col = spark, path.rstrip("/"), schema, time_col
-        self._stored = T.StructType(schema.fields + [
-            T.StructField("day", T.StringType()), T.StructField("source", T.StringType()),
+        self._stored = T.StructType(schema.fields + [T.StructField(c, T.StringType()) for c in self.PARTITIONS] + [
             T.StructField("batch_id", T.LongType())])
 
     def _day(self):
         return F.substring(F.col(self.time_col), 1, 10)
 
-    def stored(self, lo=None, hi=None) -> DataFrame:
-        """Stored rows with their partition columns, of all days or of those from ``lo`` to ``hi``."""
-        days = [n for n in _children(self.spark, self.path) if n.startswith("day=")]
-        if lo is not None:
-            days = [n for n in days if lo <= n[4:] <= hi]
-        if not days:
+    def _run(self, run):
+        """The run's name with its number in front; a run that writes for the first time gets the next one."""
+        known = _children(self.spark, f"{self.path}/_runs")
+        name = next((n for n in known if n[7:] == run), None)
+        if name is None:
+            name = f"{max((int(n[:6]) for n in known), default=0) + 1:06d}-{run}"
+            p, fs = _fs(self.spark, f"{self.path}/_runs/{name}")
+            fs.mkdirs(p)
+        return name
+
+    def stored(self, days=None) -> DataFrame:
+        """Stored rows with their partition columns, of all days or of those listed."""
+        names = [n for n in _children(self.spark, self.path) if n.startswith("day=")]
+        if days is not None:
+            names = [n for n in names if n[4:] in days]
+        if not names:
             return self.spark.createDataFrame([], self._stored)
         return (self.spark.read.schema(self._stored).option("basePath", self.path)
-                .parquet(*[f"{self.path}/{n}" for n in days]))
+                .parquet(*[f"{self.path}/{n}" for n in names]))
 
     def read(self) -> DataFrame:
         return self.stored().select(*self.schema.fieldNames())
 
     def latest(self, key) -> DataFrame:
-        """Last write wins: the row of the latest micro-batch per key."""
-        return latest_documents(self.stored().drop("source", "day"), key, ("batch_id",))
+        """Last write wins: the row of the latest micro-batch of the latest run per key."""
+        return latest_documents(self.stored().drop("source", "day"), key, ("run", "batch_id"))
 
-    def append(self, rows: DataFrame, batch_id, source="stream"):
+    def append(self, rows: DataFrame, batch_id, source="stream", run="stream"):
         """A replay brings the same rows, so it overwrites exactly the partitions of its first run.
 
         Rebalancing by day keeps the file count low and still splits a day that is too large for one task.
         """
         (rows.select(*self.schema.fieldNames(), self._day().alias("day"), F.lit(source).alias("source"),
-                     F.lit(batch_id).cast("long").alias("batch_id"))
+                     F.lit(self._run(run)).alias("run"), F.lit(batch_id).cast("long").alias("batch_id"))
          .hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("day", "source", "batch_id").parquet(self.path))
+         .partitionBy(*self.PARTITIONS, "batch_id").parquet(self.path))
 
-    def insert_if_absent(self, rows: DataFrame, keys, batch_id, source="stream", order=None):
-        days = rows.agg(F.min(self._day()).alias("lo"), F.max(self._day()).alias("hi")).first()
-        if days["lo"] is None:       # no row, or none with a time: nothing stored can equal them
-            target = self.spark.createDataFrame([], self.schema)
-        else:
-            own = (F.col("source") == source) & (F.col("batch_id") >= batch_id)
-            target = self.stored(days["lo"], days["hi"]).filter(~own).select(*self.schema.fieldNames())
-        self.append(absent_rows(target, rows, keys, order), batch_id, source)
+    def insert_if_absent(self, rows: DataFrame, keys, batch_id, source="stream", order=None, run="stream"):
+        """Only what this very micro-batch wrote before is left out of the comparison."""
+        # as many days as the micro-batch touches, each once
+        days = {r.day for r in rows.select(self._day().alias("day")).dropna().distinct().toLocalIterator()}
+        own = (F.col("source") == source) & (F.col("run") == self._run(run)) & (F.col("batch_id") == batch_id)
+        target = self.stored(days).filter(~own).select(*self.schema.fieldNames())
+        self.append(absent_rows(target, rows, keys, order), batch_id, source, run)
 
 
 @dataclass(frozen=True)
@@ -134,15 +167,16 @@ INDEX_SINK = SinkOptions(batch_size=50, interval="5 seconds", max_retries=5, par
 
 def write_jdbc(df: DataFrame, url, table, mode, options=SinkOptions(), **properties):
     """Database copy of a result: ``overwrite`` a merged keyed table (truncate, not drop) or ``append``
-    the absent rows of a log. Needs the driver on the class path."""
-    (df.coalesce(options.parallelism).write.format("jdbc").mode(mode)
+    the absent rows of a log. Needs the driver on the class path. Spark itself writes with at most
+    ``parallelism`` connections; the tasks that compute the rows stay as they are."""
+    (df.write.format("jdbc").mode(mode)
      .option("url", url).option("dbtable", table).option("truncate", "true")
      .options(**options.jdbc()).options(**properties).save())
 
 
 def write_index(df: DataFrame, index, options=INDEX_SINK, **properties):
     """External document index, one document per doc_id. Needs the connector on the class path."""
-    (df.coalesce(options.parallelism).write.format("org.elasticsearch.spark.sql").mode("append")
+    (df.write.format("org.elasticsearch.spark.sql").mode("append")
      .option("es.mapping.id", "doc_id").option("es.mapping.exclude", "doc_id")
      .options(**options.index()).options(**properties).save(index))
 

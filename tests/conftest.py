@@ -9,7 +9,5 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from homestream.session import local_session
-    s = local_session(cpus=min(8, os.cpu_count() or 4), shuffle_partitions=4)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return s
+    return local_session(cpus=min(8, os.cpu_count() or 4), shuffle_partitions=4,
+                         shared=str(tmp_path_factory.mktemp("shared")))

@@ -73,3 +73,67 @@ def test_append_log_latest(spark, tmp_path):
     log.append(spark.createDataFrame([("d1", "d", "1", 1.0), ("e1", "e", "1", 5.0)], DOCUMENT), 0)
     log.append(spark.createDataFrame([("d1", "d", "1", 2.0)], DOCUMENT), 1)
     assert sorted(map(tuple, log.latest("doc_id").collect())) == [("d1", "d", "1", 2.0), ("e1", "e", "1", 5.0)]
+
+
+def test_keyed_table_filled_before(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "Lock"), LOCK_STATE)
+    table.write(spark.createDataFrame([("a", "front", True, "hall", "p"), ("z", "back", True, None, None)], LOCK_STATE))
+    batch = spark.createDataFrame([("a", None, False, None, None, 1)], LOCKS)
+    want = [("a", "front", False, "hall", "p"), ("z", "back", True, None, None)]
+    for _ in range(2):                                            # and replayed
+        table.upsert(batch, "device_id", VALUES, 0, ["seq"], "first")
+        assert sorted(map(tuple, table.read().collect())) == want and table.versions() == [0, 1]
+
+
+def test_keyed_table_new_checkpoint(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "Lock"), LOCK_STATE)
+    for n in range(3):
+        table.upsert(spark.createDataFrame([("a", f"n{n}", True, None, None, n)], LOCKS), "device_id", VALUES, n, ["seq"], "old")
+    table.upsert(spark.createDataFrame([("b", "m", True, None, None, 9)], LOCKS), "device_id", VALUES, 0, ["seq"], "new")
+    assert sorted(r.name for r in table.read().collect()) == ["m", "n2"]
+
+
+def test_keyed_table_keeps_one(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "Lock"), LOCK_STATE, keep=1)
+    for n in range(3):
+        table.write(spark.createDataFrame([("a", f"n{n}", True, None, None)], LOCK_STATE))
+    assert table.versions() == [2] and [r.name for r in table.read().collect()] == ["n2"]
+
+
+def test_append_log_new_checkpoint(spark, tmp_path):
+    log = AppendLog(spark, str(tmp_path / "Control"), CONTROL_LOG, "control_time")
+    keys, rows = CONTROL_LOG.fieldNames(), [("a", "u", f"2024-01-0{d}T1") for d in (1, 2, 3)]
+    for n, r in enumerate(rows):
+        log.insert_if_absent(spark.createDataFrame([r], CONTROL_LOG), keys, n, "led", run="old")
+    late = ("a", "u", "2023-01-01T1")
+    for _ in range(2):
+        # batch 0 of a new run: a row that batch 2 of the old run stored, and a late one
+        log.insert_if_absent(spark.createDataFrame([rows[2], late], CONTROL_LOG), keys, 0, "led", run="new")
+    assert sorted(map(tuple, log.read().collect())) == [late, *rows]
+
+
+def test_append_log_latest_of_runs(spark, tmp_path):
+    log = AppendLog(spark, str(tmp_path / "index"), DOCUMENT, "timestamp")
+    for n in range(2):
+        log.append(spark.createDataFrame([("d1", "d", "1", float(n))], DOCUMENT), n, run="z-old")
+    log.append(spark.createDataFrame([("d1", "d", "1", 7.0)], DOCUMENT), 0, run="a-new")
+    assert [r.value for r in log.latest("doc_id").collect()] == [7.0]
+
+
+def test_absent_rows_keep_unknown_copies(spark):
+    rows = spark.createDataFrame([(None, "t", 1.0, 1), (None, "t", 1.0, 1), (None, "t", 2.0, 2), ("d", "t", 3.0, 1)],
+                                 "location string, record_time string, value double, w int")
+    target = spark.createDataFrame([("d", "t", 0.0)], READING_LOG)
+    got = keyed.absent_rows(target, rows, ["location", "record_time"], "w").collect()
+    assert sorted(r.value for r in got) == [1.0, 1.0, 2.0]
+    plan = keyed.absent_rows(target, rows, ["location", "record_time"], "w")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("w#") and plan.count("LogicalRDD") == 2       # each input once
+
+
+def test_shared_folder_is_only_read(spark, tmp_path):
+    from homestream.session import checkpoint_root, cut_lineage, shared_dir
+    assert shared_dir(spark, "a", "b").startswith(checkpoint_root(spark).rstrip("/") + "/a/")
+    df = spark.range(5)
+    cut = cut_lineage(df)
+    assert cut.count() == 5 and "ParquetScan" not in df._jdf.queryExecution().toString()
+    assert cut.inputFiles()

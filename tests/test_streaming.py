@@ -117,6 +117,9 @@ def test_pipeline_tables(spark, tmp_path):
             assert len(docs) == len(got)
             assert sum(last[k] != v for k, v in docs.items()) <= 2
 
+    # every micro-batch of a query came under the query's own identity
+    assert len(sinks._children(spark, f"{tables.root}/Control/_runs")) == 3
+
     before = sorted(map(str, log))
     pipeline.fan_out(tables, "fan")(changed["fan"], 99)              # everything once more
     assert sorted(map(str, map(tuple, tables.control().read().collect()))) == before
