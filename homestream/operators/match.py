@@ -20,7 +20,7 @@ from homestream.session import cut_lineage
 TOLERANCE = 0.5
 UNKNOWN = "Unknown"
 
-BROADCAST_ROWS = 65_536    # x 128 doubles = 64 MB per executor
+BROADCAST_BYTES = 64 << 20 # vectors and names of a gallery that travels whole
 BLOCK_ROWS = 8_192         # gallery vectors per block
 PROBE_ROWS = 65_536        # probes that meet one copy of a block
 PIVOTS = 128
@@ -102,7 +102,7 @@ def _hits(batch, keys, vector, gallery, names, idx, tolerance, keep_all):
 
 
 def nearest_match(probes: DataFrame, gallery: DataFrame, keys="probe_id", tolerance=TOLERANCE,
-                  unknown=UNKNOWN, vector="encoding", broadcast_rows=BROADCAST_ROWS,
+                  unknown=UNKNOWN, vector="encoding", broadcast_bytes=BROADCAST_BYTES,
                   block_rows=BLOCK_ROWS, probe_rows=PROBE_ROWS) -> DataFrame:
     """(keys, name, gallery_idx, distance, confidence): one row per probe.
 
@@ -113,9 +113,8 @@ def nearest_match(probes: DataFrame, gallery: DataFrame, keys="probe_id", tolera
     probes = probes.select(*keys, F.col(vector).alias("_vec"))
     gallery = gallery.filter(F.col(vector).isNotNull()).select("name", "gallery_idx", F.col(vector).alias("_vec"))
 
-    head = gallery.limit(broadcast_rows + 1).toArrow() if broadcast_rows else None
-    if head is not None and head.num_rows <= broadcast_rows:
-        found = _against_broadcast(probes, head, keys, tolerance)
+    if broadcast_bytes and _size(gallery) <= broadcast_bytes:
+        found = _against_broadcast(probes, gallery.toArrow(), keys, tolerance)
     else:
         found = _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows)
     return found.select(
@@ -124,6 +123,12 @@ def nearest_match(probes: DataFrame, gallery: DataFrame, keys="probe_id", tolera
     )
 
 
+def _size(gallery):
+    """Bytes of a gallery in memory, from an aggregate: nothing is collected before it is known to fit."""
+    row = F.size("_vec").cast("long") * 8 + F.coalesce(F.octet_length("name"), F.lit(0)) + 16
+    return gallery.agg(F.sum(row)).first()[0] or 0
+
+
 def _schema(probes, keys):
     return T.StructType([*[probes.schema[k] for k in keys], T.StructField("name", T.StringType()),
                          T.StructField("gallery_idx", T.LongType()), T.StructField("distance", T.DoubleType())])

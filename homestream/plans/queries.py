@@ -419,7 +419,7 @@ QUERIES = {
     "led_documents": _documents("led"),
     "valid_documents": valid_documents,
     "nearest_match": _nearest(),
-    "nearest_match_blocks": _nearest(broadcast_rows=0),
+    "nearest_match_blocks": _nearest(broadcast_bytes=0),
     "confident_match": confident_match,
     "recognition": recognition,
     "frame_numbers": frame_numbers,

@@ -4,7 +4,7 @@ import pytest
 from homestream.operators.match import nearest_match
 from homestream.schemas import GALLERY
 
-PLANS = [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "block_rows": 7, "probe_rows": 11}]
+PLANS = [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "block_rows": 7, "probe_rows": 11}]
 
 
 def frames(spark, probes, gallery):

@@ -68,7 +68,7 @@ def test_windows_group_by_time_too(spark):
 def test_matching_needs_no_cross_join(spark):
     small = match.nearest_match(views.probes(spark, SF), views.gallery(spark, SF))
     assert "Exchange" not in plan(small)
-    large = match.nearest_match(views.probes(spark, SF), views.gallery(spark, SF), broadcast_rows=0)
+    large = match.nearest_match(views.probes(spark, SF), views.gallery(spark, SF), broadcast_bytes=0)
     for df in (small, large):
         assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
 
