@@ -3,7 +3,10 @@
 source -> event time -> validation -> change filter or sliding average -> foreachBatch(tables)
 """
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQueryListener
 
 from homestream.operators import clean, keyed, readings
 from homestream.operators.changes import ORDER
@@ -138,7 +141,25 @@ def run_devices(sources: dict, tables: Tables, checkpoint_root=None, trigger=CHE
     ]
 
 
-def late_rows(query):
-    """Rows the watermark of a query has dropped so far in its kept progress reports."""
-    return sum(op["numRowsDroppedByWatermark"]
-               for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Rows that watermarks drop, added up per query over all of its progress reports, also those that
+    Spark no longer keeps. Register with ``spark.streams.addListener``; reports arrive a little later."""
+
+    def __init__(self):
+        self.counts = Counter()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.counts[str(p.id)] += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def of(self, query):
+        return self.counts[str(query.id)]

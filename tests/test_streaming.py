@@ -1,5 +1,7 @@
 import random
 
+import time
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -135,10 +137,19 @@ def test_late_rows_are_counted(spark, tmp_path):
          .coalesce(1).write.mode("append").parquet(path))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     rows = []
-    q = pipeline.start(readings.sliding_average(stream), "late", lambda b, _: rows.extend(b.collect()),
-                       str(tmp_path / "cp"), trigger=None)
-    q.awaitTermination()
-    assert pipeline.late_rows(q) > 0
+    late = pipeline.LateRows()
+    spark.streams.addListener(late)
+    try:
+        q = pipeline.start(readings.sliding_average(stream), "late", lambda b, _: rows.extend(b.collect()),
+                           str(tmp_path / "cp"), trigger=None)
+        q.awaitTermination()
+        for _ in range(100):
+            if late.of(q):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(late)
+    assert late.of(q) == sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"]) > 0
     assert "t3" not in {r.timestamp for r in rows}
 
 
