@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus=None, app="homestream", shuffle_partitions=None, memory="8g", shared=None):
-    """A session for tests and the benchmark. ``shared``: its checkpoint folder, by default a fresh
-    temporary one unless the environment sets ``spark.checkpoint.dir``."""
+    """A session for tests and the benchmark. ``shared``: its checkpoint folder, by default what the
+    environment sets, see :func:`shared_dir`."""
     cpus = int(cpus or os.cpu_count() or 4)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -26,9 +26,6 @@ def local_session(cpus=None, app="homestream", shuffle_partitions=None, memory="
         builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not checkpoint_root(spark):
-        # not a runtime setting in every version, so given to the context, where checkpoint_root reads it
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="homestream-"))
     return spark
 
 
@@ -42,10 +39,17 @@ def checkpoint_root(spark):
 
 
 def shared_dir(spark, *parts):
-    """A path below the shared checkpoint folder. It is only read here, never set."""
+    """A path below the shared checkpoint folder, which the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, where every task runs on this machine, may lack it. It then gets a temporary
+    folder, through the context: the setting itself can't be changed at run time.
+    """
     root = checkpoint_root(spark)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="homestream-"))
+        root = checkpoint_root(spark)
     return "/".join([root.rstrip("/"), *parts])
 
 

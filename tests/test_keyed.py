@@ -137,3 +137,20 @@ def test_shared_folder_is_only_read(spark, tmp_path):
     cut = cut_lineage(df)
     assert cut.count() == 5 and "ParquetScan" not in df._jdf.queryExecution().toString()
     assert cut.inputFiles()
+
+
+def test_session_without_shared_folder(tmp_path):
+    """A local session whose configuration names no folder: nothing is set at run time, streams work."""
+    import os
+    import subprocess
+    import sys
+    code = ("from homestream.session import local_session, shared_dir\n"
+            "from homestream.plans.queries import QUERIES\n"
+            "s = local_session(2)\n"
+            "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+            "assert shared_dir(s, 'a') == shared_dir(s, 'a')\n"
+            "print('ROWS', QUERIES['stream_led_changes'](s, '/root/testdata/sf0.001').count())\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200,
+                         env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root, "TMPDIR": str(tmp_path)})
+    assert "ROWS" in got.stdout, got.stderr[-2000:]
