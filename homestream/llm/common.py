@@ -4,19 +4,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from homestream.session import shared_dir
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, the folder that driver and executors share.
-
-    The setting is read from the session. Only a local session, where every task runs on this machine,
-    may lack it; then the folder below the warehouse serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below ``spark.checkpoint.dir``, the folder that driver and executors share."""
+    return shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
