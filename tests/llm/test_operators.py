@@ -15,6 +15,7 @@ from homestream.llm import (
 from homestream.llm.queries import BYTE_BPE, PIECE_BPE, QUERIES, tokenizer
 
 DOCS = "doc_id bigint, text string, value string, blob string, kind string"
+SKETCH_BITS = simhash.SKETCH
 ODD = [None, "", " ", "\n", "a  b\n\n c\t d", "x", "é😀漢字 ١٢ ½ x", "<|endoftext|> a<|endoftext|>", "a▁b </s> <s>",
        "don't I'LL", "\r\nfoo\r\n", "lorem ipsum, dolor.\nSit amet " * 400]
 
@@ -188,6 +189,27 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_are_similar(spark):
+    """Near copies go, also in a chain; texts that only share a repeated passage, or are short, stay."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=1000)
+    near = base[:500] + ["changed"] + base[501:]
+    line = rng.choices(words, k=8)
+    loud = [" ".join(rng.choices(words, k=30) + line * 60 + rng.choices(words, k=30)) for _ in range(3)]
+    short = [" ".join(rng.choices(words, k=6)) for _ in range(300)]
+    texts = [None, "", " ".join(base), " ".join(near), " ".join(near[:800] + ["again"] + near[801:]), *loud, *short]
+    plain = simhash.near_duplicates(docs(spark, texts), words=5, limit=8).select("component_id").distinct().count()
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts)).collect()}
+    assert kept == {0, 2, *range(5, len(texts))} and plain < len(kept)
+    for a, b in ((base, near), (base, base[:100] + base[101:])):
+        one, two = ({*zip(*[w[i:] for i in range(5)])} for w in (a, b))
+        same = SKETCH_BITS - int(sum(np.bitwise_count(x ^ y) for x, y in zip(
+            simhash.sketch(" ".join(a).encode(), 5), simhash.sketch(" ".join(b).encode(), 5))))
+        assert abs(same / SKETCH_BITS - (1 + len(one & two) / len(one | two)) / 2) < 0.1
+    assert simhash.drop_near_duplicates(empty(spark)).count() == 0
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(edges).collect()}
