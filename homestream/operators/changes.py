@@ -6,13 +6,15 @@ changes. ``null_mode="ignore"`` compares with the last known value instead.
 
 Batch form. The steady fields (never null) cut a key's timeline into runs. Inside a run a row is kept
 iff it opens the run, or the nullable field was known at the opening and differs from its last known
-value. A plain ``lag`` is wrong as soon as nulls occur. All windows share one (key, chunk) exchange.
+value. A plain ``lag`` is wrong as soon as nulls occur. All windows share one (key, chunk) exchange, which the
+carries of earlier chunks reuse.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from homestream.operators.timeline import (
-    CHUNK, DEFAULT_WIDTH, before, cols, known_keys, last_known, last_known_before, spec, upto, with_chunk,
+    CHUNK, DEFAULT_WIDTH, NEXT, before, bundled, cols, following, keeps_bundle, known_keys, last_known,
+    last_known_before, spec, unbundled, upto, with_chunk,
 )
 from homestream.functions.columns import differs
 from homestream.schemas import KINDS
@@ -41,6 +43,9 @@ def changes_only(df: DataFrame, key, steady=(), nullable=None, order=ORDER, null
         "_c": F.struct(*cols(steady)) if cols(steady) else F.struct(F.lit(1)),
         "_f": F.col(nullable) if nullable else F.lit(None).cast("string"),
     })
+    apart = [*key, *[o for o in order if o not in key]]
+    rows = bundled(rows, df.columns, apart, CHUNK, "_c", "_f")
+    out = unbundled(df.columns, apart)
     w = spec([*key, CHUNK], order)
     past, now = before(w), upto(w)
 
@@ -52,21 +57,21 @@ def changes_only(df: DataFrame, key, steady=(), nullable=None, order=ORDER, null
             # struct-wrapped, so that a null at the opening is a value and not a gap
             "_f0": last_known(F.when(F.col("_opens"), F.struct(f.alias("v"))), now),
             "_pf": last_known(F.when(F.col("_opens") | f.isNotNull(), F.struct(f.alias("v"))), past),
-            "_tail": F.lead(F.lit(1)).over(w).isNull(),
+            NEXT: following(w),
         })
     )
     f0 = F.col("_f0.v")
     pf = F.when(F.col("_opens"), F.lit(None)).otherwise(F.col("_pf.v"))
     inside = F.col("_opens") | (f0.isNotNull() & differs(pf, f))
     if chunk is None:
-        return local.filter(inside).select(*df.columns)
+        return local.filter(inside).select(*out)
 
-    carry = _carry(local.filter("_tail").select(
+    carry = _carry(local.filter(F.col(NEXT).isNull()).select(
         *key, CHUNK, "_c", F.col("_run").alias("_run"), f0.alias("_f0"), F.coalesce(f, pf).alias("_lf"),
     ), key)
     continues = (F.col("_run") == 0) & F.coalesce(F.col("_c_in") == c, F.lit(False))
     kept = F.when(continues, F.col("_f_in").isNotNull() & differs(F.coalesce(pf, "_f_in"), f)).otherwise(inside)
-    return local.join(carry, [*key, CHUNK], "left").filter(kept).select(*df.columns)
+    return local.filter(keeps_bundle()).join(carry, [*key, CHUNK], "left").filter(kept).select(*out)
 
 
 def _carry(tails: DataFrame, key) -> DataFrame:

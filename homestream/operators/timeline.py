@@ -7,6 +7,10 @@ chunk needs from the past is a constant-size carry, computed from one summary ro
 are reduced map-side where possible, scanned in chunk order per key, and joined back on (key, chunk).
 The join finds the rows already partitioned and sorted by these columns.
 
+Where a chunk's summary is its last row, rows are read and shuffled once: both branches keep the payload,
+bundled by :func:`bundled`, up to the windows, so that the second exchange is the first one reused. (Left to
+column pruning, the summary branch would be narrower and so a scan and a shuffle of its own.)
+
 A join never pairs null keys. :func:`known_keys` leaves rows without a key out where the operator has
 no use for them; :func:`with_key` wraps the key in a struct, which is never null, where they must stay.
 """
@@ -17,6 +21,8 @@ from homestream.functions.columns import duration_micros
 
 CHUNK = "_chunk"
 KEY = "_key"
+ROW = "_row"
+FIRST_CHUNK = -(1 << 63)
 DEFAULT_WIDTH = "1 hour"
 DEFAULT_ROWS = 100_000
 
@@ -26,17 +32,19 @@ def cols(names):
 
 
 def chunk_column(df: DataFrame, order, chunk) -> Column:
-    """Chunk number of a row. ``None`` keeps a key in one piece (small, bounded inputs only)."""
+    """Chunk number of a row, never null: a null order comes first. ``None`` keeps a key in one piece
+    (small, bounded inputs only)."""
     if chunk is None:
         return F.lit(0).cast("long")
     first = cols(order)[0]
     dtype = df.schema[first].dataType
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         width = duration_micros(DEFAULT_WIDTH if isinstance(chunk, int) else chunk)
-        return F.floor(F.unix_micros(F.col(first).cast("timestamp")) / F.lit(width)).cast("long")
+        number = F.floor(F.unix_micros(F.col(first).cast("timestamp")) / F.lit(width)).cast("long")
+        return F.coalesce(number, F.lit(FIRST_CHUNK))
     if isinstance(dtype, T.IntegralType):
         width = chunk if isinstance(chunk, int) else DEFAULT_ROWS
-        return F.floor(F.col(first) / F.lit(width)).cast("long")
+        return F.coalesce(F.floor(F.col(first) / F.lit(width)).cast("long"), F.lit(FIRST_CHUNK))
     raise TypeError(f"cannot cut {first} of type {dtype.simpleString()} into chunks")
 
 
@@ -55,6 +63,30 @@ def with_chunk(df: DataFrame, order, chunk) -> DataFrame:
     return df.withColumn(CHUNK, chunk_column(df, order, chunk))
 
 
+def bundled(df: DataFrame, names, apart, *more) -> DataFrame:
+    """``apart`` and ``more`` as they are, the rest of ``names`` in one struct, see :func:`unbundled`."""
+    rest = [c for c in names if c not in apart]
+    return df.select(*apart, *more, F.struct(*rest, F.lit(True).alias("_")).alias(ROW))
+
+
+def unbundled(names, apart):
+    return [F.col(c) if c in apart else F.col(ROW)[c].alias(c) for c in names]
+
+
+NEXT = "_next"
+
+
+def following(w) -> Column:
+    """The bundle of the next row, as NEXT; null in the last row of a window."""
+    return F.lead(ROW).over(w)
+
+
+def keeps_bundle() -> Column:
+    """True for every row. As it looks at NEXT, whatever later steps leave out, the row branch keeps the same
+    columns as the summary branch and the two share their exchange."""
+    return F.coalesce(F.col(NEXT)["_"], F.lit(True))
+
+
 def spec(key, order, *more):
     return Window.partitionBy(*cols(key), *more).orderBy(*cols(order))
 
@@ -75,23 +107,22 @@ def last_known_before(df: DataFrame, key, order, values: dict, chunk) -> DataFra
     """Add, per named expression, its last non-null value strictly before the row."""
     order = cols(order)
     rows = with_chunk(with_key(df, key), order, chunk).withColumns({f"_v_{n}": v for n, v in values.items()})
-    past = before(spec([KEY, CHUNK], order))
-    local = rows.withColumns({n: last_known(F.col(f"_v_{n}"), past) for n in values})
+    rows = bundled(rows, df.columns, order, KEY, CHUNK, *[f"_v_{n}" for n in values])
+    w = spec([KEY, CHUNK], order)
+    local = rows.withColumns({n: last_known(F.col(f"_v_{n}"), before(w)) for n in values} | {NEXT: following(w)})
+    out = [*unbundled(df.columns, order), *values]
     if chunk is None:
-        return local.select(*df.columns, *values)
+        return local.select(*out)
 
-    at = F.struct(*order)
-    tails = rows.groupBy(KEY, CHUNK).agg(*[
-        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in values
-    ])
+    tails = local.filter(F.col(NEXT).isNull()).select(KEY, CHUNK, *[F.coalesce(f"_v_{n}", n).alias(f"_t_{n}") for n in values])
     earlier = before(spec(KEY, CHUNK))
     carry = tails.select(KEY, CHUNK, *[
         last_known(F.col(f"_t_{n}"), earlier).alias(f"_in_{n}") for n in values
     ])
     return (
-        local.join(carry, [KEY, CHUNK], "left")
+        local.filter(keeps_bundle()).join(carry, [KEY, CHUNK], "left")
         .withColumns({n: F.coalesce(n, f"_in_{n}") for n in values})
-        .select(*df.columns, *values)
+        .select(*out)
     )
 
 
