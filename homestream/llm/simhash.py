@@ -34,42 +34,43 @@ CHUNK = 400_000
 SKETCH, AGREE = 128, 101
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """64-bit SimHash of UTF-8 text: A-Z lower-cased, shingles of ``words`` words with repeats."""
+def shingles(text: bytes, words: int):
+    """Hashes of the shingles of ``words`` words of UTF-8 text, repeats included: A-Z lower-cased; the whole
+    sequence if there are fewer words, nothing for none."""
     import numpy as np
     from xxhash import xxh64_intdigest as digest
     w = text.lower().split()   # on bytes: ASCII letters and ASCII white space only
     n = len(w)
-    if not n:
-        return 0
     joined = b" ".join(w)
     if n <= words:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)] if n else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, n) + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n - words + 1].tolist()
     stops = (ends[words - 1:] - 1).tolist()
-    m, votes = len(starts), np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops)), np.uint64, len(starts))
+
+
+def fingerprint(hashes) -> int:
+    """64-bit SimHash: a bit is set if more than half of the hashes have it."""
+    import numpy as np
+    m, votes = len(hashes), np.zeros(64, np.int64)
     for lo in range(0, m, 65_280):   # 256 rows of 255, so that a byte holds a row's count
-        part = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[lo:lo + 65_280], stops[lo:lo + 65_280])],
-                        np.uint64)
+        part = hashes[lo:lo + 65_280]
         bits = np.zeros((-(-len(part) // 255) * 255, 64), np.uint8)
         bits[:len(part)] = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
     return int(np.packbits(votes * 2 > m, bitorder="little").view("<u8")[0])
 
 
-def sketch(text: bytes, words: int):
-    """SKETCH bits in two 64-bit integers: bit 24 of each minimum over the shingles; zeros for no words."""
+def sketch(hashes):
+    """SKETCH bits in two 64-bit integers: bit 24 of each minimum over the hashes; zeros without any."""
     import numpy as np
-    from xxhash import xxh64_intdigest as digest
-    w = text.lower().split()
-    if not w:
+    if not len(hashes):
         return np.zeros(2, np.uint64)
-    hashes = np.array(list({digest(b" ".join(w[i:i + words]), SEED) for i in range(max(1, len(w) - words + 1))}), np.uint64)
     factors = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
     low = np.full(SKETCH, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[at:at + 2048, None] * factors).min(0))
+    for at in range(0, len(hashes), 512):   # a piece of half a megabyte stays in the cache
+        low = np.minimum(low, (factors[:, None] * hashes[at:at + 512]).min(1))
     return np.packbits((low >> np.uint64(24) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")
 
 
@@ -79,10 +80,11 @@ def fingerprints(df: DataFrame, doc_id="doc_id", text="text", words=4, sketched=
         import numpy as np
         import pyarrow as pa
         for b in batches:
-            texts = utf8(b.column(1))
-            made = [np.array([fingerprint(t, words) for t in texts], np.uint64)]
-            if sketched:
-                made.extend(np.array([sketch(t, words) for t in texts], np.uint64).reshape(-1, 2).T)
+            found = []
+            for t in utf8(b.column(1)):
+                hashes = shingles(t, words)
+                found.append((fingerprint(hashes), *(sketch(hashes) if sketched else ())))
+            made = np.array(found, np.uint64).reshape(-1, 1 + 2 * sketched).T
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array(np.ascontiguousarray(m).view(np.int64)) for m in made]],
                 ["doc_id", "fp", "s0", "s1"][:len(made) + 1])

@@ -132,7 +132,7 @@ def brute_print(text, k):
 
 def test_simhash_fingerprint():
     for t in [x or "" for x in ODD] + soup(["Ab ", "c ", " ", "É ", "\x1c", "\n"], 100, 5):
-        assert simhash.fingerprint(t.encode(), 4) == brute_print(t, 4)
+        assert simhash.fingerprint(simhash.shingles(t.encode(), 4)) == brute_print(t, 4)
 
 
 @pytest.mark.parametrize("limit", [1, 4, 8])
@@ -205,7 +205,7 @@ def test_near_duplicates_are_similar(spark):
     for a, b in ((base, near), (base, base[:100] + base[101:])):
         one, two = ({*zip(*[w[i:] for i in range(5)])} for w in (a, b))
         same = SKETCH_BITS - int(sum(np.bitwise_count(x ^ y) for x, y in zip(
-            simhash.sketch(" ".join(a).encode(), 5), simhash.sketch(" ".join(b).encode(), 5))))
+            simhash.sketch(simhash.shingles(" ".join(a).encode(), 5)), simhash.sketch(simhash.shingles(" ".join(b).encode(), 5)))))
         assert abs(same / SKETCH_BITS - (1 + len(one & two) / len(one | two)) / 2) < 0.1
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
