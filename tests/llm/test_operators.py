@@ -210,6 +210,46 @@ def test_near_duplicates_are_similar(spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_recall(spark):
+    """Pairs with a similarity of 0.8 to 0.87 are found nearly always, those at 0.6 and below hardly ever."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(20000)]
+    near, far = [], []
+    while len(near) < 100 or len(far) < 100:
+        base, edits = rng.choices(words, k=300), rng.choice([5, 6, 15, 18])
+        copy = list(base)
+        for at in rng.sample(range(300), edits):
+            copy[at] = rng.choice(words)
+        one, two = ({*zip(*[w[i:] for i in range(5)])} for w in (base, copy))
+        same = len(one & two) / len(one | two)
+        for group, fits in ((near, 0.8 <= same <= 0.87), (far, same <= 0.6)):
+            if fits and len(group) < 100:
+                group.append((" ".join(base), " ".join(copy)))
+    for group, least, most in ((near, 90, 100), (far, 0, 6)):
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, [t for pair in group for t in pair])).collect()}
+        assert {*range(0, 200, 2)} <= kept and least <= 200 - len(kept) <= most
+
+
+def test_simhash_several_prints(spark):
+    """Links of several fingerprints are those of any of them; a dense group joins whole."""
+    r = random.Random(3)
+    rows = []
+    for g in range(12):
+        x = [r.getrandbits(64) for _ in range(3)]
+        for _ in range(25):
+            rows.append(tuple(f ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 12))) for f in x))
+    rows = [*{f[0]: f for f in rows}.values()]
+    edges = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[:i]
+             if any((p ^ q).bit_count() <= 9 for p, q in zip(a, b))]
+    signed = [tuple(np.array(f, np.uint64).view(np.int64).tolist()) for f in rows]
+    frame = spark.createDataFrame(signed, "fp bigint, f1 bigint, f2 bigint")
+    want = simhash._forest(*zip(*edges))
+    got = {x.node: x.root for x in components.components(simhash.links(frame, 9, prints=3)).collect()}
+    back = lambda v: np.uint64(v).view(np.int64).item()
+    assert all(got[back(a)] == got[back(b)] for a, b in edges)
+    assert len(got) - len({*got.values()}) == len(want)
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(edges).collect()}
