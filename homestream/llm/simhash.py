@@ -206,6 +206,7 @@ def _meet(limit: int, node, fp, key, role, sketches=(), agree=0):
     import numpy as np
     masks = _masks(limit)
     m = len(masks)
+    long = max(3, 2 * m // 3)   # a chain that leaves few pairs for the other checks
     cut = np.flatnonzero(np.diff(key.view(np.int64)) != 0) + 1
     starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
     owned = np.add.reduceat((role == 0).astype(np.int64), starts)
@@ -215,17 +216,17 @@ def _meet(limit: int, node, fp, key, role, sketches=(), agree=0):
         wide = [part[s:e] for part in sketches]
         chains = masks[int(key[s] >> np.uint64(58)) % m]
         group = np.arange(len(y))
-        for lo in range(0, len(own), 1024):
-            x = own[lo:lo + 1024]
+        for lo in range(0, len(own), 256):
+            x = own[lo:lo + 256]
             # where all entries are own ones, earlier rows have met every later one
-            for at in range(lo // 4096 * 4096 if len(own) == len(y) else 0, len(y), 4096):
-                diff = y[x, None] ^ y[None, at:at + 4096]
-                near = np.bitwise_count(diff & np.uint64(chains[2])) <= 3 * limit // m
-                near &= group[x, None] != group[None, at:at + 4096]
+            for at in range(lo // 2048 * 2048 if len(own) == len(y) else 0, len(y), 2048):
+                diff = y[x, None] ^ y[None, at:at + 2048]
+                near = np.bitwise_count(diff & np.uint64(chains[long - 1])) <= long * limit // m
+                near &= group[x, None] != group[None, at:at + 2048]
                 i, j = np.nonzero(near)
                 diff = diff[i, j]
                 ok = np.bitwise_count(diff) <= limit
-                for size in (2, *range(4, m)):
+                for size in range(2, m):
                     ok &= np.bitwise_count(diff & np.uint64(chains[size - 1])) <= size * limit // m
                 i, j = x[i[ok]], at + j[ok]
                 if wide and len(i):
