@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints, pigeonring candidates, components.
 
 A fingerprint has 64 bits; texts link at ``limit`` or fewer differing bits. Documents with one fingerprint
-are folded first, so copies cost one row. The search cuts a fingerprint into a ring of ``limit`` + 1
+(where links are checked: with all fingerprints and the sketch equal) are folded first, so copies cost one row. The search cuts a fingerprint into a ring of ``limit`` + 1
 segments. The pigeonring principle: if two fingerprints differ in at most ``limit`` bits, some segment
 starts a chain in which every first l segments together differ in at most l * limit / (limit + 1) bits:
 0 in the first, 1 in the first two, 2 in the first three, and so on. So each fingerprint is
@@ -15,7 +15,8 @@ followed up again. A task emits no list of pairs but links that join what it has
 per chunk), so a large group of near copies yields about as many rows as it has members. A key that would
 be large is dealt out in cells of its own.
 
-A fingerprint counts votes, so texts that repeat one passage, and very short ones, come near to strangers.
+A fingerprint counts votes, so texts that repeat one passage, and very short ones, come near to strangers; a passage
+repeated often even fixes all 64 bits. Equal fingerprints meet like others, and their link is checked like others.
 Where links stand for a similarity of the texts, ``agree`` checks each link at its meeting: a second
 fingerprint of ``SKETCH`` bits, one for each of as many minimum hashes of the set of shingles, must agree in so many.
 
@@ -243,12 +244,14 @@ def links(distinct: DataFrame, limit=4, partitions=None, agree=0, prints=1) -> D
     """Distinct fingerprints (fp) -> links (a, b) that connect exactly what distances of at most ``limit`` do.
 
     With ``agree``, ``distinct`` holds sketches (s0, s1) too, and links whose sketches agree in fewer bits don't count.
-    With ``prints`` above one it holds f1, f2, ... too: fp names a row, and a distance in any of them links.
+    With ``prints`` above one it holds f1, f2, ... too, and a distance in any of them links. A column node, if there
+    is one, names a row in the links, else its fp does.
     """
     if prints * len(ring(limit)) > 64:
         raise ValueError("prints times segments must not exceed 64")
     extra = ["s0", "s1"] if agree else []
     names = print_names(prints)
+    distinct = distinct.select(F.col("node" if "node" in distinct.columns else "fp").alias("node"), *names, *extra)
     layout = "node bigint, fp bigint, key bigint, role tinyint" + "".join(f", {c} bigint" for c in extra)
     spark = distinct.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -260,12 +263,12 @@ def links(distinct: DataFrame, limit=4, partitions=None, agree=0, prints=1) -> D
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 for k in range(prints):
-                    values = part.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    values = part.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                     of, key, role = _file(limit, values, k * len(ring(limit)))
                     at = pa.array(of)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(at), part.column(k).take(at), pa.array(key.view(np.int64)), pa.array(role),
-                         *[c.take(at) for c in part.columns[prints:]]], ["node", "fp", "key", "role", *extra])
+                        [part.column(0).take(at), part.column(1 + k).take(at), pa.array(key.view(np.int64)), pa.array(role),
+                         *[c.take(at) for c in part.columns[1 + prints:]]], ["node", "fp", "key", "role", *extra])
 
     def meet(batches):
         import numpy as np
@@ -296,9 +299,9 @@ def links(distinct: DataFrame, limit=4, partitions=None, agree=0, prints=1) -> D
         a, b = np.array(out, np.uint64).reshape(-1, 2).view(np.int64).T
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
 
-    filed = distinct.select(*names, *extra).mapInArrow(entries, layout)
-    # Keys that many distinct fingerprints share get cells. The sample steers only where rows go.
-    hot = (distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).select(*names, *extra)
+    filed = distinct.mapInArrow(entries, layout)
+    # Keys that many rows share get cells. The sample steers only where rows go.
+    hot = (distinct.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
            .mapInArrow(entries, layout).groupBy("key").count()
            .filter(F.col("count") > CELL // SAMPLE)
            .select(F.col("key").alias("_hot"), F.ceil(F.col("count") * SAMPLE / CELL).cast("int").alias("_cells")))
@@ -322,17 +325,20 @@ def links(distinct: DataFrame, limit=4, partitions=None, agree=0, prints=1) -> D
 def near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=4, limit=4, agree=0, prints=1) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id (smallest reachable)."""
     found = written(fingerprints(df, doc_id, text, words, agree > 0, prints), "fingerprints")
-    # texts of one fingerprint are one class, with the other fingerprints and the sketch of one of them
-    more = found.columns[2:]
+    # texts of one fingerprint are one class; where links are checked, those with all fingerprints and the sketch equal
+    same = found.columns[1:] if agree else ["fp"]
+    more = [c for c in found.columns[1:] if c not in same]
     one = [F.min(F.struct(*more)).alias("one")] if more else []
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("first"), *one)
-    classes = written(classes.select("fp", "first", *(f"one.{c}" for c in more)), "fingerprint-classes")
-    roots = components(links(classes, limit, agree=agree, prints=prints))
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first")
+    classes = found.groupBy(*same).agg(F.min("doc_id").alias("first"), *one)
+    node = F.monotonically_increasing_id() if agree else F.col("fp")
+    # written, so that a number stays with its class
+    classes = written(classes.select(node.alias("node"), *same, "first", *(f"one.{c}" for c in more)), "fingerprint-classes")
+    roots = components(links(classes, limit, agree=agree, prints=prints)).withColumnRenamed("node", "_node")
+    named = classes.join(roots, F.col("node") == F.col("_node"), "left").select(
+        *same, F.coalesce("root", "node").alias("root"), "first")
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(low, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return found.join(label, F.col("fp") == F.col("_fp")).select(
+    label = named.join(low, "root").select(*same, "component_id")
+    return found.join(label, same).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -210,6 +210,19 @@ def test_near_duplicates_are_similar(spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("length,times", [(7, 60), (9, 60), (9, 20), (3, 40)])
+def test_equal_fingerprints_are_checked(spark, length, times):
+    """A passage that fixes all bits of the fingerprint joins no strangers."""
+    rng = random.Random(length)
+    words = [f"w{i}" for i in range(5000)]
+    line = rng.choices(words, k=length)
+    texts = [" ".join(rng.choices(words, k=30) + line * times + rng.choices(words, k=30)) for _ in range(6)]
+    prints = {simhash.fingerprint(simhash.shingles(t.encode(), 5)) for t in texts}
+    assert len(prints) <= 2
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts + texts[:1])).collect()]
+    assert sorted(kept) == [*range(6)]
+
+
 def test_near_duplicates_recall(spark):
     """Pairs with a similarity of 0.8 to 0.87 are found nearly always, those at 0.6 and below hardly ever."""
     rng = random.Random(11)
