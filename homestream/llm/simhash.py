@@ -19,6 +19,8 @@ A fingerprint counts votes, so texts that repeat one passage, and very short one
 repeated often even fixes all 64 bits. Equal fingerprints meet like others, and their link is checked like others.
 Where links stand for a similarity of the texts, ``agree`` checks each link at its meeting: a second
 fingerprint of ``SKETCH`` bits, one for each of as many minimum hashes of the set of shingles, must agree in so many.
+This only leaves out what is far below: with ``similarity`` the components of such links are rough groups, inside
+which links are decided anew by the whole shingle sets of the texts, and only these make the final components.
 
 The distance of two fingerprints scatters around what the similarity stands for: at 0.8 it is 9.7 bits of 64 with a
 deviation of 2.9. ``prints`` fingerprints from independent hashes give each pair as many chances; all are filed in one
@@ -38,8 +40,10 @@ SEED = 42
 CELL, SAMPLE = 65_536, 64
 CHUNK = 400_000
 #: Minimum hashes of a sketch. Texts of similarity s agree in (1 + s) / 2 of its bits: at 0.8 in 115 with a
-#: deviation of 3.4, at 0.6 in 102, at 0.3 in 83. AGREE lies near two deviations below 115.
-SKETCH, AGREE = 128, 109
+#: deviation of 3.4, at 0.6 in 102, at 0.3 in 83. AGREE lies near four deviations below 115: it only spares work.
+SKETCH, AGREE = 128, 102
+#: Texts and shingles of one part of a rough group; larger groups are dealt out in parts. Expected pivots of those.
+PART, PART_HASHES, PIVOTS = 4096, 4_000_000, 32
 #: Segments of at most so many bits are halved in place of turning their bits.
 HALVED = 10
 
@@ -99,10 +103,17 @@ def sketch(hashes):
     return np.packbits((low >> np.uint64(24) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")
 
 
-def fingerprints(df: DataFrame, doc_id="doc_id", text="text", words=4, sketched=False, prints=1) -> DataFrame:
+def set_mark(hashes):
+    """Size and digest of sorted, distinct hashes."""
+    from xxhash import xxh64_intdigest
+    return len(hashes), xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+
+
+def fingerprints(df: DataFrame, doc_id="doc_id", text="text", words=4, sketched=False, prints=1, hashed=False) -> DataFrame:
     """(doc_id, fp) per row; fp is the fingerprint as a signed long. ``prints`` above one adds f1, f2, ... of other
-    hashes, ``sketched`` the sketch as s0 and s1."""
-    names = print_names(prints) + ["s0", "s1"] * sketched
+    hashes, ``sketched`` the sketch as s0 and s1, and size and digest of the shingle set as n and d,
+    ``hashed`` a hash of the text as h."""
+    names = print_names(prints) + ["s0", "s1", "n", "d"] * sketched
 
     def run(batches):
         import numpy as np
@@ -111,14 +122,16 @@ def fingerprints(df: DataFrame, doc_id="doc_id", text="text", words=4, sketched=
             found = []
             for t in utf8(b.column(1)):
                 hashes = shingles(t, words)
-                found.append((*(fingerprint(mixed(hashes, k)) for k in range(prints)), *(sketch(hashes) if sketched else ())))
+                found.append((*(fingerprint(mixed(hashes, k)) for k in range(prints)), *((*sketch(hashes), *set_mark(np.unique(hashes))) if sketched else ())))
             made = np.array(found, np.uint64).reshape(-1, len(names)).T
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(np.ascontiguousarray(m).view(np.int64)) for m in made]],
-                ["doc_id", *names])
+                [b.column(0), *b.columns[2:], *[pa.array(np.ascontiguousarray(m).view(np.int64)) for m in made]],
+                ["doc_id", *["h"] * hashed, *names])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint" + "".join(f", {c} bigint" for c in names))
+    if hashed:
+        rows = rows.withColumn("h", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id bigint" + "".join(f", {c} bigint" for c in ["h"] * hashed + names))
 
 
 def ring(limit: int):
@@ -322,11 +335,119 @@ def links(distinct: DataFrame, limit=4, partitions=None, agree=0, prints=1) -> D
             .sortWithinPartitions("key", "cell").mapInArrow(meet, "a bigint, b bigint"))
 
 
-def near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=4, limit=4, agree=0, prints=1) -> DataFrame:
-    """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id (smallest reachable)."""
-    found = written(fingerprints(df, doc_id, text, words, agree > 0, prints), "fingerprints")
-    # texts of one fingerprint are one class; where links are checked, those with all fingerprints and the sketch equal
-    same = found.columns[1:] if agree else ["fp"]
+def _similar(label, node, lead, sketches, sets, similarity, agree):
+    """Links among the texts of a cell, each with a similarity of ``similarity`` at least by the sets themselves: they
+    join what such pairs with a lead text in them join. Texts of one label are joined already."""
+    import numpy as np
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(len(ids), bool)
+    group = np.unique(label, return_inverse=True)[1]
+    out = []
+    for x in np.flatnonzero(lead):
+        apart = sum(np.bitwise_count(p ^ p[x]).astype(int) for p in sketches)
+        fits = np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]) - 1e-9
+        near = np.flatnonzero((group != group[x]) & (apart <= SKETCH - agree) & fits & (sizes > 0))
+        own = ids[starts[x]:starts[x] + sizes[x]]
+        marked[own] = True
+        for lo in range(0, len(near), 256):
+            y = near[lo:lo + 256]
+            y = y[group[y] != group[x]]
+            if not len(y):
+                continue
+            first = np.cumsum(sizes[y]) - sizes[y]
+            at = np.arange(sizes[y].sum()) + np.repeat(starts[y] - first, sizes[y])
+            shared = np.add.reduceat(marked[ids[at]].astype(np.int64), first)
+            y = y[shared >= similarity * (sizes[x] + sizes[y] - shared) - 1e-9]
+            groups, some = np.unique(group[y], return_index=True)
+            out += [(node[x], node[z]) for z in y[some]]
+            group[np.isin(group, groups)] = group[x]
+        marked[own] = False
+    return out
+
+
+def _cells(rows: DataFrame, similarity, agree) -> DataFrame:
+    """(root, i, j, lead, label, node, s0, s1, shingles) -> confirmed links (a, b) inside each cell (root, i, j)."""
+    def run(cell):
+        import numpy as np
+        import pyarrow as pa
+        label, node, lead, s0, s1 = (cell.column(c).to_numpy() for c in ("label", "node", "lead", "s0", "s1"))
+        sets = [np.frombuffer(x, "<u8") for x in cell.column("shingles").to_pylist()]
+        out = _similar(label, node, lead, [s0.view(np.uint64), s1.view(np.uint64)], sets, similarity, agree)
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b)})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _confirmed(df: DataFrame, text, words, classes: DataFrame, roots: DataFrame, similarity, agree) -> DataFrame:
+    """Rough groups (node, root) -> links (a, b) that connect what pairs of a group with the similarity connect.
+
+    A group of one part is compared whole. A larger one is first compared with some pivots, which joins most of a
+    group of near copies in a pass that grows with its size. Then whatever isn't in the largest joined part is
+    compared with the whole group, part by part.
+    """
+    def read(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            sets = [np.unique(shingles(t, words)) for t in utf8(b.column(b.num_columns - 1))]
+            marks = np.array([set_mark(x) for x in sets], np.uint64).reshape(-1, 2)
+            # a text that only shares the row's hash is another one
+            at = np.flatnonzero(marks[:, 1] == b.column("d").to_numpy().view(np.uint64))
+            kept = b.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns[:-1], pa.array([sets[i].astype("<u8").tobytes() for i in at], pa.binary())],
+                [*kept.schema.names[:-1], "shingles"])
+
+    members = classes.join(roots, F.col("node") == F.col("_node")).select("node", "root", "s0", "s1", "d", "n", "h")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(
+        F.col("root").alias("_root"), "c",
+        F.greatest(F.ceil(F.col("c") / PART), F.ceil(F.col("t") / PART_HASHES)).cast("int").alias("parts"))
+    members = members.join(sizes, F.col("root") == F.col("_root")).drop("_root")
+    texts = df.select(F.xxhash64(F.col(text).cast("string")).alias("_h"), F.col(text).cast("string").alias("text"))
+    layout = "node bigint, root bigint, s0 bigint, s1 bigint, d bigint, c bigint, parts int"
+    sets = written(
+        members.join(texts, F.col("h") == F.col("_h")).select(*[f.split()[0] for f in layout.split(", ")], "text")
+        .dropDuplicates(["node", "text"]).mapInArrow(read, layout + ", shingles binary"), "shingle-sets")
+    part = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
+    out = ["root", "i", "j", "lead", "label", "node", "s0", "s1", "shingles"]
+
+    pivot = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("c")) < PIVOTS
+    lead = (F.col("parts") <= 1) | pivot
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    first = written(_cells(
+        sets.withColumns({"label": F.col("node"), "lead": lead, "i": F.lit(0)})
+        .withColumn("j", F.explode(F.when(F.col("lead"), everywhere).otherwise(F.array(part(F.col("parts"))))))
+        .select(*out), similarity, agree), "confirmed-links")
+    large = sets.filter("parts > 1")
+    if large.isEmpty():
+        return first
+    joined = components(first).withColumnRenamed("root", "label").withColumnRenamed("node", "_n")
+    narrow = large.select("node", "root", F.octet_length("shingles").alias("bytes")).join(
+        joined, F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("label", "node")).drop("_n").distinct()
+    most = narrow.groupBy("root", "label").count().groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+    labelled = written(narrow.join(most, "root").withColumn("rest", F.col("label") != F.col("most")), "labels")
+    rests = labelled.filter("rest").groupBy("root").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("bytes") / (8 * PART_HASHES))).cast("int").alias("_rests"))
+    both = large.join(labelled.select(F.col("node").alias("_n"), "label", "rest"), F.col("node") == F.col("_n")).join(rests, "root")
+    as_rest = both.filter("rest").withColumns({"lead": F.lit(True), "i": part(F.col("_rests"))}).withColumn("j", F.explode(everywhere))
+    as_any = both.withColumns({"lead": F.lit(False), "j": part(F.col("parts"))}).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.col("_rests") - 1)))
+    return first.unionByName(_cells(as_rest.select(*out).unionByName(as_any.select(*out)), similarity, agree))
+
+
+def near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=4, limit=4, agree=0, prints=1, similarity=0) -> DataFrame:
+    """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id (smallest reachable).
+
+    With ``similarity``, which needs ``agree``, links are confirmed by the shingle sets of the texts.
+    """
+    if similarity and not agree:
+        raise ValueError("similarity needs agree")
+    found = written(fingerprints(df, doc_id, text, words, agree > 0, prints, similarity > 0), "fingerprints")
+    # texts of one fingerprint are one class; where links are checked, those with all fingerprints, sketch and set equal
+    same = [c for c in found.columns[1:] if c != "h"] if agree else ["fp"]
     more = [c for c in found.columns[1:] if c not in same]
     one = [F.min(F.struct(*more)).alias("one")] if more else []
     classes = found.groupBy(*same).agg(F.min("doc_id").alias("first"), *one)
@@ -334,6 +455,9 @@ def near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=4, limit=
     # written, so that a number stays with its class
     classes = written(classes.select(node.alias("node"), *same, "first", *(f"one.{c}" for c in more)), "fingerprint-classes")
     roots = components(links(classes, limit, agree=agree, prints=prints)).withColumnRenamed("node", "_node")
+    if similarity:
+        sure = _confirmed(df, text, words, classes, roots, similarity, agree)
+        roots = components(sure).withColumnRenamed("node", "_node")
     named = classes.join(roots, F.col("node") == F.col("_node"), "left").select(
         *same, F.coalesce("root", "node").alias("root"), "first")
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -342,13 +466,15 @@ def near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=4, limit=
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=5, limit=9, agree=AGREE, prints=4) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=5, limit=9, agree=AGREE, prints=4,
+                         similarity=0.8) -> DataFrame:
     """One document of each component stays, the one with the smallest identifier; all columns.
 
-    Five-word shingles; ``limit`` 9 of 64 bits in one of ``prints`` fingerprints, each link checked by the sketches:
-    of pairs with a similarity of 0.8 about nine in ten link, at 0.85 and more nearly all, at 0.6 one in fifty.
+    Five-word shingles; ``limit`` 9 of 64 bits in one of ``prints`` fingerprints proposes pairs, sketches leave out
+    those far below, and the shingle sets decide: no pair below ``similarity`` links. Of pairs at 0.8 about nine in
+    ten are proposed, at 0.85 and more nearly all. A component may hold pairs below it that a chain of links joins.
     Rows without an identifier stay.
     """
-    found = near_duplicates(df, doc_id, text, words, limit, agree, prints)
+    found = near_duplicates(df, doc_id, text, words, limit, agree, prints, similarity)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return df.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")

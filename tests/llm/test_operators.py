@@ -243,6 +243,43 @@ def test_near_duplicates_recall(spark):
         assert {*range(0, 200, 2)} <= kept and least <= 200 - len(kept) <= most
 
 
+def shingle_set(text):
+    w = text.split()
+    return {*zip(*[w[i:] for i in range(5)])}
+
+
+@pytest.mark.parametrize("part", [4096, 8])
+def test_near_duplicates_below_the_similarity(spark, monkeypatch, part):
+    """Pairs from 0.65 to 0.79 stay, also those of one template, however a group is dealt out; those above go."""
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "PIVOTS", 2 if part == 8 else 32)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(20000)]
+
+    def edited(base, least, most):
+        while True:
+            copy = list(base)
+            for at in rng.sample(range(300), rng.randint(2, 14)):
+                copy[at] = rng.choice(words)
+            one, two = shingle_set(" ".join(base)), shingle_set(" ".join(copy))
+            if least <= len(one & two) / len(one | two) <= most:
+                return copy
+
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=300)
+        texts += [base, edited(base, 0.65, 0.79)]
+    template = rng.choices(words, k=300)
+    texts += [edited(template, 0.82, 0.86) for _ in range(30)]     # about 0.7 among each other
+    texts += [edited(t, 0.88, 1) for t in texts[-3:]]
+    texts = [" ".join(t) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    gone = {max(e) for e in simhash._forest(*zip(*links))}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts)).collect()}
+    assert kept == {*range(len(texts))} - gone and len(gone) == 3
+
+
 def test_simhash_several_prints(spark):
     """Links of several fingerprints are those of any of them; a dense group joins whole."""
     r = random.Random(3)
