@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from homestream.llm import (
-    decontaminate, exact, language, pieces, pii, quality, resample, secret_ledger, simhash, token_counts, token_files,
+    alignment, decontaminate, exact, language, line_rules, pieces, pii, quality, resample, secret_ledger, simhash,
+    token_counts, token_files,
 )
 from homestream.llm.common import table
 
@@ -62,6 +63,15 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.find_leaks(docs, benchmark, keep=["doc_id"]))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), tokenizer(PIECE_BPE))
+
+
+def op12_line_rules(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return line_rules.apply_rules(docs, labels, keep=["doc_id"])
+
+
 def op13_resample(spark, sf_dir):
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return resample.resample(docs, benchmark, keep=["doc_id"]).drop("n_words")
@@ -69,4 +79,5 @@ def op13_resample(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_secret_scan, op3_exact_dedup, op4_simhash, op5_token_files, op6_token_counts, op7_quality,
-    op8_language, op9_sentencepiece, op10_decontamination, op13_resample)}
+    op8_language, op9_sentencepiece, op10_decontamination,
+    op11_alignment, op12_line_rules, op13_resample)}
