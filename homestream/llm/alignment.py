@@ -23,10 +23,11 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from homestream.llm.bytebpe import LONGEST, REMEMBERED
 from homestream.llm.common import shared_folder
 from homestream.llm.token_files import Encoder
 
-CHUNK, PIECE = 4_000_000, 8192
+CHUNK, PIECE = 2_000_000, 8192
 CHUNKS = ("chunk bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
           "groups_sha256 array<string>, groups array<string>, pairs binary, held binary, ends binary, of binary, times binary")
 OUT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -78,13 +79,45 @@ class Plain(Encoder):
         self.library.encode_special_tokens = True
 
 
+class Words:
+    """B's ids of texts as packed little-endian 32-bit integers. The library sees each word once, many at a time.
+
+    A word is what :func:`homestream.llm.pieces.words_of` cuts; the library puts the space mark in front itself.
+    """
+
+    def __init__(self, path):
+        from homestream.llm.pieces import Pieces
+        self.pieces, self.known = Pieces(path), {}
+        self.joins_lines = "\n" in self.pieces.chars
+
+    def _learn(self, words):
+        import numpy as np
+        from homestream.llm.pieces import MARK
+        quick = [w for w in words if w[0] == MARK and len(w) > 1 and MARK not in w[1:] and "\0" not in w]
+        found = zip(quick, self.pieces.library.encode([w[1:] for w in quick]))
+        rest = ((w, self.pieces.word(w)) for w in {*words}.difference(quick))
+        return {w: np.array(ids, "<i4").tobytes() for w, ids in (*found, *rest)}
+
+    def encode(self, texts) -> list:
+        from homestream.llm.pieces import words_of
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        cut = [words_of(t, self.joins_lines) for t in texts]
+        new = {w for ws in cut for w in ws}.difference(self.known)
+        extra = self._learn(sorted(new)) if new else {}
+        self.known.update((w, ids) for w, ids in extra.items() if len(w) <= LONGEST)
+        long = {w: ids for w, ids in extra.items() if len(w) > LONGEST}
+        if not long:
+            return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
+        return [b"".join(self.known[w] if w in self.known else long[w] for w in ws) for ws in cut]
+
+
 class Aligner:
     def __init__(self, a_path, b_path):
         import numpy as np
 
-        from homestream.llm.pieces import coder
         from homestream.llm.token_counts import byte_symbols
-        self.a, self.b = Plain(a_path), coder(b_path)
+        self.a, self.b = Plain(a_path), Words(b_path)
         back = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
         vocab = self.a.library.get_vocab()
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
@@ -95,32 +128,50 @@ class Aligner:
         self.b_bytes = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(sp.get_piece_size())]
         self.a_size, self.b_size = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_all, self.b_all = (np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes))
         # each id as text with what may follow it
         self.label = [f"{i}{end}" for tokens, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(tokens))]
 
-    def tokens(self, text):
-        """Ids of both, or none."""
+    def tokens(self, texts):
+        """(A's ids, their number per text, B's ids, their number per text); none of texts whose joined token bytes
+        differ from a space and the text."""
         import numpy as np
-        none = np.zeros(0, np.int32)
-        if not text:
-            return none, none
-        a = np.frombuffer(self.a.encode([" " + text])[0], "<i4")
-        b = np.frombuffer(self.b.encode(text), "<i4")
-        whole = (" " + text).encode()
-        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
-            if b"".join(map(table.__getitem__, ids.tolist())) != whole:
-                return none, none
-        return a, b
+        some = [(i, t) for i, t in enumerate(texts) if t]
+        whole = [(" " + t).encode() for _, t in some]
+        sides = []
+        for packed, size, every in ((self.a.encode([" " + t for _, t in some]), self.a_size, self.a_all),
+                                    (self.b.encode([t for _, t in some]), self.b_size, self.b_all)):
+            ids = np.frombuffer(b"".join(packed), "<i4").astype(np.int64)
+            n = np.array([len(p) // 4 for p in packed], np.int64)
+            sides.append((ids, n, size, every))
+        sizes = np.array(list(map(len, whole)), np.int64)
+        same = np.ones(len(some), bool)
+        for ids, n, size, _ in sides:
+            same &= np.diff(np.concatenate(([0], np.cumsum(size[ids])))[np.concatenate(([0], np.cumsum(n)))]) == sizes
+        sides = [(ids[np.repeat(same, n)], n * same, size, every) for ids, n, size, every in sides]
+        want = np.frombuffer(b"".join(w for w, ok in zip(whole, same) if ok), np.uint8)
+        doc = np.flatnonzero(same)
+        stops = np.cumsum(sizes[doc])
+        bad = np.zeros(len(some), bool)
+        for ids, _, size, every in sides:
+            n = size[ids]
+            first = np.cumsum(size) - size
+            # every byte of every token: where its token starts among all tokens' bytes, and how far it is into it
+            made = every[np.arange(len(want)) + np.repeat(first[ids] - (np.cumsum(n) - n), n)]
+            bad[doc[np.searchsorted(stops, np.flatnonzero(made != want), "right")]] = True
+        out = []
+        for ids, n, _, _ in sides:
+            total = np.zeros(len(texts), np.int64)
+            total[[i for i, _ in some]] = n * ~bad
+            out += ids[np.repeat(~bad, n)], total
+        return out
 
     def chunk(self, texts, groups=False):
         """Results of a chunk's documents: the columns of CHUNKS after doc_id."""
         import numpy as np
         from hashlib import sha256
         n = len(texts)
-        found = [self.tokens(t) for t in texts]
-        n_a, n_b = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 1))
-        a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) if n else np.zeros(0, np.int64) for k in (0, 1))
-        del found
+        a, n_a, b, n_b = self.tokens(texts)
         # ends over all documents one after the other: where a document ends, both tokenizers end
         link_a, link_b, last_a, last_b = merged(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
         doc_of = np.repeat(np.arange(n), n_a)

@@ -6,8 +6,9 @@ encoded independently, and a task can remember them. Texts with runs of white sp
 than space and line feed, or special strings are not cut.
 """
 
-#: Remembered words of one cache; a full cache starts anew, so memory is bounded.
-REMEMBERED = 300_000
+#: Remembered words of one cache, and their letters at most: a full cache starts anew and longer words (lines of text
+#: without spaces) are worked out each time, so memory is bounded at some 200 MB, usually a fifth of it.
+REMEMBERED, LONGEST = 300_000, 64
 #: White space that keeps a text whole: two in a row, and all that Unicode or Python's re knows but space
 #: and line feed. Plain searches; a regular expression takes ten times as long.
 ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
@@ -33,14 +34,18 @@ def plain(word: str) -> str:
 
 
 class Memory(dict):
-    """word -> work(word), forgetting everything once it holds ``REMEMBERED`` words."""
+    """word -> work(word), forgetting everything once it holds ``REMEMBERED`` words; words above ``LONGEST`` letters are
+    never held. Keys other than text are."""
 
     def __init__(self, work):
         super().__init__()
         self.work = work
 
     def __missing__(self, word):
+        found = self.work(word)
+        if type(word) in (str, bytes) and len(word) > LONGEST:
+            return found
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = self.work(word)
+        self[word] = found
         return found
