@@ -7,7 +7,7 @@ Spark writes to, and a lost task leaves nothing half-written. A segment decodes
 all ids follows from the sum of the parts before it, a table with one row per part.
 
 Null and empty texts have only the end id. A null identifier comes first; repeated identifiers are
-documents of their own, in no stated order among themselves. Other columns aren't read. An empty table
+documents of their own, in the order of their texts' hashes. Other columns aren't read. An empty table
 makes a file without segments.
 """
 
@@ -16,11 +16,11 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from homestream.llm.bytebpe import plain, words_of
+from homestream.llm.bytebpe import LONGEST, plain, words_of
 from homestream.llm.common import shared_folder
 
 SEGMENT = 2_000_000
-#: Remembered words above which a task starts anew.
+#: Remembered words above which a task starts anew. Those above LONGEST letters are not remembered.
 WORDS = 600_000
 END = 2
 SEGMENTS = "part int, segment int, first bigint, n bigint, doc_ids array<bigint>, lengths array<bigint>, data binary"
@@ -76,11 +76,12 @@ class Encoder:
             part[0] = np.array(e.ids, "<u4").tobytes()
         gaps = [(ws, part, [i for i, p in enumerate(part) if p is None]) for ws, part in both]
         new = {ws[i] for ws, _, at in gaps for i in at}
-        if new:
-            self._learn(new)
+        long = {w: self._ids(plain(w)).tobytes() for w in new if len(w) > LONGEST}
+        if len(new) > len(long):
+            self._learn(new.difference(long))
         for ws, part, at in gaps:
             for i in at:
-                part[i] = get(ws[i])
+                part[i] = long[ws[i]] if ws[i] in long else get(ws[i])
         return [self._ids(t).tobytes() if part is None else b"".join(part) for t, part in zip(texts, parts)]
 
 
@@ -125,9 +126,10 @@ def write_ids(df: DataFrame, target: str, tokenizer: str, doc_id="doc_id", text=
         if ids:
             yield segment()
 
+    # ties of an identifier in the order of their texts' hashes, so that a hot identifier is cut and runs agree
     (df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-     .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SEGMENTS)
-     .write.parquet(target))
+     .withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+     .select("doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(target))
 
 
 def read_ids(spark, source: str) -> DataFrame:
