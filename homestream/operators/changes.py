@@ -17,23 +17,26 @@ from homestream.operators.timeline import (
     last_known_before, spec, unbundled, upto, with_chunk,
 )
 from homestream.functions.columns import differs
+from homestream.operators.sticky import sticky_changes
 from homestream.schemas import KINDS
 
 ORDER = ("event_ts", "seq")
 
 
-def changes_only(df: DataFrame, key, steady=(), nullable=None, order=ORDER, null_mode="sticky",
-                 chunk=DEFAULT_WIDTH) -> DataFrame:
-    """Rows that change ``steady`` (fields never null here) or ``nullable`` (at most one field).
+def changes_only(df: DataFrame, key, steady=(), nullable=None, order=ORDER, null_mode="sticky", chunk=DEFAULT_WIDTH) -> DataFrame:
+    """Rows that change ``steady`` (fields never null here) or ``nullable``.
 
-    On a streaming frame this is :func:`homestream.streaming.changes.stream_changes`.
+    Several nullable fields go to :func:`homestream.operators.sticky.sticky_changes`. A stream is filtered micro-batch by
+    micro-batch, see :class:`homestream.streaming.changes.ChangeFilter`.
     """
     if df.isStreaming:
-        from homestream.streaming.changes import stream_changes
-        return stream_changes(df, key, [*cols(steady), *([nullable] if nullable else [])], order,
-                              null_mode)
+        raise ValueError("on a stream, apply streaming.changes.ChangeFilter to its micro-batches")
+    watch = [*cols(steady), *(cols(nullable) if nullable else [])]
     if null_mode == "ignore":
-        return _changes_of_known(df, key, [*cols(steady), *([nullable] if nullable else [])], order, chunk)
+        return changes_of_known(df, key, watch, order, chunk)
+    if nullable and len(cols(nullable)) > 1:
+        return sticky_changes(df, key, watch, order, chunk)[0]
+    nullable = cols(nullable)[0] if nullable else None
     if null_mode != "sticky":
         raise ValueError("null_mode must be 'sticky' or 'ignore'")
 
@@ -96,8 +99,12 @@ def _carry(tails: DataFrame, key) -> DataFrame:
     ).filter(F.col("_c_in").isNotNull())
 
 
-def _changes_of_known(df, key, watch, order, chunk):
-    prev = last_known_before(known_keys(df, key), key, order, {f"_known_{c}": F.col(c) for c in watch}, chunk)
+def changes_of_known(df: DataFrame, key, watch, order, chunk, known: DataFrame = None) -> DataFrame:
+    """Rows with a known value that differs from the key's last known one. ``known``: key columns and last known values
+    from before."""
+    if known is not None:
+        known = known_keys(known, key).select(*cols(key), *[F.col(c).alias(f"_known_{c}") for c in watch])
+    prev = last_known_before(known_keys(df, key), key, order, {f"_known_{c}": F.col(c) for c in watch}, chunk, known)
     fresh = F.lit(False)
     for c in watch:
         fresh = fresh | (F.col(c).isNotNull() & ~F.coalesce(F.col(f"_known_{c}") == F.col(c), F.lit(False)))

@@ -37,9 +37,9 @@ def confident_only(df: DataFrame, min_confidence=MIN_CONFIDENCE, unknown=UNKNOWN
     return df.filter((F.col("name") != unknown) & (F.col("confidence") > min_confidence))
 
 
-def carry_forward(df: DataFrame, session, order, values, chunk=DEFAULT_ROWS) -> DataFrame:
-    """Frames that were not looked at show the last result of their session."""
-    return _carry_forward(df, session, order, values, chunk)
+def carry_forward(df: DataFrame, session, order, values, chunk=DEFAULT_ROWS, state: DataFrame = None) -> DataFrame:
+    """Frames that were not looked at show the last result of their session; ``state``: results from before."""
+    return _carry_forward(df, session, order, values, chunk, state)
 
 
 def confirm_runs(df: DataFrame, session="session", order=("frame_no",), n=CONFIRMATIONS,
@@ -48,6 +48,13 @@ def confirm_runs(df: DataFrame, session="session", order=("frame_no",), n=CONFIR
 
     Unknown and unsure frames neither count nor break a run. One row per confirmed session.
     """
+    return confirm_step(df, session, order, n, min_confidence, unknown, chunk)[0]
+
+
+def confirm_step(df: DataFrame, session="session", order=("frame_no",), n=CONFIRMATIONS, min_confidence=MIN_CONFIDENCE,
+                 unknown=UNKNOWN, chunk=DEFAULT_ROWS, state: DataFrame = None):
+    """(:func:`confirm_runs`, the name and run length that each session ends on), from the same in ``state``: session
+    columns, name and length."""
     session, order = cols(session), cols(order)
     rows = with_chunk(known_keys(confident_only(df, min_confidence, unknown), session), order, chunk)
     rows = rows.select(*session, *order, "name", CHUNK)
@@ -67,7 +74,7 @@ def confirm_runs(df: DataFrame, session="session", order=("frame_no",), n=CONFIR
     ws = spec(session, CHUNK)
     last_name = F.lag("name").over(ws)
     tails = (
-        local.filter("_tail").select(*session, CHUNK, "name", "_run", F.col("_len").cast("long").alias("_len"))
+        _with_seed(local.filter("_tail").select(*session, CHUNK, "name", "_run", F.col("_len").cast("long").alias("_len")), session, state)
         .withColumn("_new", (F.col("_run") > 0) | last_name.isNull() | (last_name != F.col("name")))
         .withColumn("_total", F.sum("_len").over(upto(ws)))
         .withColumn("_base", last_known(F.when(F.col("_new"), F.col("_total") - F.col("_len")), upto(ws)))
@@ -82,10 +89,20 @@ def confirm_runs(df: DataFrame, session="session", order=("frame_no",), n=CONFIR
         .withColumn("_count", F.col("_len") + F.when(goes_on, F.col("_in_len")).otherwise(0))
         .filter(F.col("_count") == n)
     )
+    last = F.max_by(F.struct("name", (F.col("_total") - F.col("_base")).alias("length")), F.struct(F.col(CHUNK).isNotNull(), CHUNK))
+    after = tails.groupBy(*session).agg(last.alias("_t")).select(*session, "_t.name", "_t.length")
     return (
         reached.groupBy(*session).agg(F.min(F.struct(*order, "name")).alias("_t"))
         .select(*session, *[F.col(f"_t.{c}").alias(c) for c in [*order, "name"]])
-    )
+    ), after
+
+
+def _with_seed(tails: DataFrame, session, state):
+    """The state of a session as the run of a chunk without number, which comes before all others."""
+    if state is None:
+        return tails
+    return tails.unionByName(state.select(
+        *session, F.lit(None).cast("long").alias(CHUNK), "name", F.lit(0).cast("long").alias("_run"), F.col("length").alias("_len")))
 
 
 def trigger_messages(triggers: DataFrame, session="session", unknown=UNKNOWN) -> DataFrame:

@@ -103,8 +103,11 @@ def last_known(value: Column, w) -> Column:
     return F.last(value, ignorenulls=True).over(w)
 
 
-def last_known_before(df: DataFrame, key, order, values: dict, chunk) -> DataFrame:
-    """Add, per named expression, its last non-null value strictly before the row."""
+def last_known_before(df: DataFrame, key, order, values: dict, chunk, seed: DataFrame = None) -> DataFrame:
+    """Add, per named expression, its last non-null value strictly before the row.
+
+    ``seed``: key columns and, by the same names, the values known before all rows. It needs chunks.
+    """
     order = cols(order)
     rows = with_chunk(with_key(df, key), order, chunk).withColumns({f"_v_{n}": v for n, v in values.items()})
     rows = bundled(rows, df.columns, order, KEY, CHUNK, *[f"_v_{n}" for n in values])
@@ -115,6 +118,10 @@ def last_known_before(df: DataFrame, key, order, values: dict, chunk) -> DataFra
         return local.select(*out)
 
     tails = local.filter(F.col(NEXT).isNull()).select(KEY, CHUNK, *[F.coalesce(f"_v_{n}", n).alias(f"_t_{n}") for n in values])
+    if seed is not None:
+        # a chunk without number comes before all others
+        tails = tails.unionByName(seed.select(F.struct(*cols(key)).alias(KEY), F.lit(None).cast("long").alias(CHUNK),
+                                              *[F.col(n).alias(f"_t_{n}") for n in values]))
     earlier = before(spec(KEY, CHUNK))
     carry = tails.select(KEY, CHUNK, *[
         last_known(F.col(f"_t_{n}"), earlier).alias(f"_in_{n}") for n in values
@@ -126,10 +133,13 @@ def last_known_before(df: DataFrame, key, order, values: dict, chunk) -> DataFra
     )
 
 
-def carry_forward(df: DataFrame, key, order, values, chunk=DEFAULT_ROWS) -> DataFrame:
-    """Fill each null with the key's last non-null value; rows before the first value stay null."""
+def carry_forward(df: DataFrame, key, order, values, chunk=DEFAULT_ROWS, seed: DataFrame = None) -> DataFrame:
+    """Fill each null with the key's last non-null value; rows before the first value stay null. ``seed``: key columns
+    and values known before all rows."""
     named = {f"_prev_{c}": F.col(c) for c in cols(values)}
-    filled = last_known_before(df, key, order, named, chunk)
+    if seed is not None:
+        seed = seed.select(*cols(key), *[F.col(c).alias(f"_prev_{c}") for c in cols(values)])
+    filled = last_known_before(df, key, order, named, chunk, seed)
     return filled.withColumns(
         {c: F.coalesce(c, f"_prev_{c}") for c in cols(values)}
     ).drop(*named)

@@ -276,6 +276,16 @@ BODIES = {
 }
 
 BODIES["stream_light_merge_existing"] = BODIES["light_state_merge_existing"]
+BODIES["stream_confirm_runs"], BODIES["stream_carry_forward"] = BODIES["confirm_runs"], BODIES["carry_forward"]
+# no window says this one: each step looks for the next row that differs from the last kept one
+BODIES["changes_two_nullable"] = BODIES["stream_changes_two_nullable"] = """SELECT * EXCLUDE (event_ts, n) FROM (
+  WITH RECURSIVE doors AS (SELECT *, row_number() OVER (PARTITION BY id_door ORDER BY event_ts, seq) AS n FROM door WHERE id_door IS NOT NULL),
+  kept AS (SELECT id_door, n, bbc_servo, bbc_password FROM doors WHERE n = 1
+    UNION ALL SELECT d.id_door, d.n, d.bbc_servo, d.bbc_password FROM (
+      SELECT k.id_door, min(d.n) AS n FROM kept k JOIN doors d ON d.id_door = k.id_door AND d.n > k.n
+        AND (d.bbc_servo <> k.bbc_servo OR d.bbc_password <> k.bbc_password) GROUP BY k.id_door) x
+      JOIN doors d ON d.id_door = x.id_door AND d.n = x.n)
+  SELECT doors.* FROM doors JOIN kept ON kept.id_door = doors.id_door AND kept.n = doors.n)"""
 
 
 def _needed(sql, found):

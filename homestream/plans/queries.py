@@ -14,7 +14,7 @@ from homestream.operators import (
 )
 from homestream.plans import views
 from homestream.session import cut_lineage, shared_dir
-from homestream.streaming import pipeline
+from homestream.streaming import changes as stream_changes, pipeline
 from homestream.schemas import (
     CONTROL_LOG, DOCUMENT, FAN_STATE, KINDS, LIGHT_STATE, LOCK_STATE, READING_LOG,
 )
@@ -186,12 +186,15 @@ def detection_outcome(s, d):
     return frames.detection_outcome(views.detections(s, d), _confirmed(s, d, n=5))
 
 
-def carry_forward(s, d):
-    """Frames that are not sampled show the result of the last sampled one."""
+def _shown(detections):
     seen = F.col("frame_no") % frames.FRAME_SKIP == 0
-    shown = views.detections(s, d).select(
+    return detections.select(
         "session", "frame_no", F.when(seen, F.col("name")).alias("name"), F.when(seen, F.col("confidence")).alias("confidence"))
-    return frames.carry_forward(shown, "session", "frame_no", ["name", "confidence"])
+
+
+def carry_forward(s, d):
+    """Frames that are not sampled show the result of the last sampled one."""
+    return frames.carry_forward(_shown(views.detections(s, d)), "session", "frame_no", ["name", "confidence"])
 
 
 def sample_frames(s, d):
@@ -330,26 +333,70 @@ def _state_partitions(s, d):
     return max(8, min(splits, int(s.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _run(rows, on_batch, folder, s, d):
+    """Start a query that works off what is there, on its checkpoint in ``folder``."""
+    return pipeline.start(rows, None, on_batch, folder, trigger=None, state_partitions=_state_partitions(s, d))
+
+
+def _batches(s, out):
+    """foreachBatch writer of a plain folder: a replay writes its batch again."""
+    return lambda b, n: b.write.mode("overwrite").parquet(f"{out}/rows/batch_id={n}")
+
+
 def _streamed(kind):
     """The change stream of a device kind, run to the end of its input through a real streaming query."""
     def run(s, d):
         out = shared_dir(s, "runs", uuid.uuid4().hex)
-        changes_ = pipeline.device_output(views.DEVICES[kind](s, d, stream=True), kind)
-        pipeline.start(
-            changes_, None, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/changes/batch_id={n}"),
-            f"{out}/checkpoint", trigger=None, state_partitions=_state_partitions(s, d)).awaitTermination()
-        return s.read.parquet(f"{out}/changes").drop("event_ts", "batch_id")
+        rows = pipeline.device_rows(views.DEVICES[kind](s, d, stream=True), kind)
+        kept = pipeline.Tables(s, f"{out}/tables").changes(kind, rows.schema, "only")
+        kept.table.commits = None     # one table: its own versions suffice
+        _run(rows, stream_changes.each_batch(kept, _batches(s, out)), f"{out}/checkpoint", s, d).awaitTermination()
+        return s.read.parquet(f"{out}/rows").drop("event_ts", "batch_id")
     return run
 
 
+def stream_changes_two_nullable(s, d):
+    """Doors by servo and password as they come, both with nulls."""
+    out = shared_dir(s, "runs", uuid.uuid4().hex)
+    rows = views.door(s, d, stream=True)
+    kept = stream_changes.ChangeFilter(s, f"{out}/state", rows.schema, "id_door", ["bbc_servo", "bbc_password"])
+    _run(rows, stream_changes.each_batch(kept, _batches(s, out)), f"{out}/checkpoint", s, d).awaitTermination()
+    return s.read.parquet(f"{out}/rows").drop("event_ts", "batch_id")
+
+
+def changes_two_nullable(s, d):
+    return changes.changes_only(views.door(s, d), "id_door", (), ["bbc_servo", "bbc_password"]).drop("event_ts")
+
+
+def stream_confirm_runs(s, d):
+    """Confirmation of sessions on a stream of frames, state between micro-batches."""
+    out = shared_dir(s, "runs", uuid.uuid4().hex)
+    rows = views.detection_stream(s, d)
+    state = stream_changes.Confirmation(s, f"{out}/state", rows.schema, n=3, min_confidence=0.1)
+    _run(rows, stream_changes.each_batch(state, _batches(s, out)), f"{out}/checkpoint", s, d).awaitTermination()
+    return s.read.schema("session bigint, frame_no bigint, name string").parquet(f"{out}/rows").drop("batch_id")
+
+
+def stream_carry_forward(s, d):
+    """Skipped frames of a stream show the last result, also from an earlier micro-batch."""
+    out = shared_dir(s, "runs", uuid.uuid4().hex)
+    rows = _shown(views.detection_stream(s, d))
+    state = stream_changes.CarryForward(s, f"{out}/state", rows.schema, "session", "frame_no", ["name", "confidence"])
+    _run(rows, stream_changes.each_batch(state, _batches(s, out)), f"{out}/checkpoint", s, d).awaitTermination()
+    return s.read.parquet(f"{out}/rows").drop("batch_id")
+
+
+def _device_streams(s, d, tables, out, mark=""):
+    return [_run(pipeline.device_rows(views.DEVICES[kind](s, d, stream=True), kind), pipeline.fan_out(tables, kind), f"{out}/{kind}{mark}", s, d)
+            for kind in ("fan", "door", "led")]
+
+
 def stream_control_log(s, d):
     """All three change streams into one Control table, through the whole pipeline."""
     out = shared_dir(s, "runs", uuid.uuid4().hex)
     tables = pipeline.Tables(s, f"{out}/tables")
-    for kind in ("fan", "door", "led"):
-        rows = pipeline.device_output(views.DEVICES[kind](s, d, stream=True), kind)
-        pipeline.start(rows, None, pipeline.fan_out(tables, kind), f"{out}/{kind}", trigger=None,
-                       state_partitions=_state_partitions(s, d)).awaitTermination()
+    for q in _device_streams(s, d, tables, out):
+        q.awaitTermination()
     return tables.control().read()
 
 
@@ -358,9 +405,8 @@ def stream_light_merge_existing(s, d):
     out = shared_dir(s, "runs", uuid.uuid4().hex)
     tables = pipeline.Tables(s, f"{out}/tables")
     tables.state("led").write(views.lights(s, d))
-    rows = pipeline.device_output(views.DEVICES["led"](s, d, stream=True), "led")
-    pipeline.start(rows, None, pipeline.fan_out(tables, "led"), f"{out}/led", trigger=None,
-                   state_partitions=_state_partitions(s, d)).awaitTermination()
+    rows = pipeline.device_rows(views.DEVICES["led"](s, d, stream=True), "led")
+    _run(rows, pipeline.fan_out(tables, "led"), f"{out}/led", s, d).awaitTermination()
     return tables.state("led").read()
 
 
@@ -370,12 +416,7 @@ def stream_control_log_restart(s, d):
     out = shared_dir(s, "runs", uuid.uuid4().hex)
     tables = pipeline.Tables(s, f"{out}/tables")
     for again in range(2):
-        started = [
-            pipeline.start(pipeline.device_output(views.DEVICES[kind](s, d, stream=True), kind), None,
-                           pipeline.fan_out(tables, kind), f"{out}/{kind}-{again}", trigger=None,
-                           state_partitions=_state_partitions(s, d))
-            for kind in ("fan", "door", "led")]
-        for q in started:
+        for q in _device_streams(s, d, tables, out, f"-{again}"):
             q.awaitTermination()
     return tables.control().read()
 
@@ -453,6 +494,10 @@ QUERIES = {
     "frame_schema_id": frame_schema_id,
     "wire_round_trip_fan": _wire_round_trip("fan"),
     "wire_round_trip_temp": _wire_round_trip("temperature"),
+    "changes_two_nullable": changes_two_nullable,
+    "stream_changes_two_nullable": stream_changes_two_nullable,
+    "stream_confirm_runs": stream_confirm_runs,
+    "stream_carry_forward": stream_carry_forward,
     "stream_led_changes": _streamed("led"),
     "stream_fan_changes": _streamed("fan"),
     "stream_door_changes": _streamed("door"),

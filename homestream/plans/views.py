@@ -4,21 +4,40 @@ Each view is a projection of a whole table. The modulo rules only place nulls an
 they remove no row. The same views exist as SQL in :mod:`homestream.plans.oracles`.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from homestream.functions.columns import wire_text
 from homestream.operators.timeline import number_rows
+from homestream.session import shared_dir
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def staged(df, *order, least=4):
+    """The rows as files in ``order``, read back as a stream of one file per micro-batch, the oldest first.
+
+    One range shuffle writes them all; a file's place in the order becomes its modification time, which is what a file
+    source goes by. As many files as the input has splits, so a micro-batch is bounded by the size of a split.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, "staged", uuid.uuid4().hex)
+    n = max(least, df.rdd.getNumPartitions())
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    for i, f in enumerate(files):
+        fs.setTimes(f, 1_700_000_000_000 + 1000 * i, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def event_stream(spark, sf_dir):
-    """The events table as a stream of its files."""
-    schema = table(spark, sf_dir, "events").schema
-    # a pattern, because a file source takes a plain path for a folder
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    """The events table as a stream in time order, in several micro-batches."""
+    return staged(table(spark, sf_dir, "events"), "ts", "event_id")
 
 
 def _events(spark, sf_dir, stream=False):
@@ -102,8 +121,8 @@ def humidity(spark, sf_dir, stream=False):
 DEVICES = {"led": led, "fan": fan, "door": door, "temperature": temperature, "humidity": humidity}
 
 
-def detections(spark, sf_dir):
-    """Recognition results: a session's numbered frames with name and confidence."""
+def detections(spark, sf_dir, times=False):
+    """Recognition results: a session's numbered frames with name and confidence; ``times`` keeps event_ts."""
     error = F.col("event_type") == "error"
     rows = _events(spark, sf_dir).select(
         (F.col("user_id") % 50).alias("session"), F.col("at"), F.col("event_id").alias("seq"),
@@ -114,7 +133,13 @@ def detections(spark, sf_dir):
         (F.floor("value") + 60).cast("int").alias("bottom"),
         (F.col("user_id") % 640).cast("int").alias("left"),
     )
-    return number_rows(rows, "session", ["at", "seq"], "frame_no").drop("at")
+    numbered = number_rows(rows, "session", ["at", "seq"], "frame_no")
+    return numbered.withColumnRenamed("at", "event_ts") if times else numbered.drop("at")
+
+
+def detection_stream(spark, sf_dir):
+    """The same as a stream, in time order."""
+    return staged(detections(spark, sf_dir, times=True), "event_ts", "seq")
 
 
 def transcripts(spark, sf_dir):

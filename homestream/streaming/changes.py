@@ -1,70 +1,99 @@
-"""Streaming change detection: the same rule as the batch operator, with keyed state.
+"""Streaming change detection, confirmation and carried results: the batch operators with a state between micro-batches.
 
-The state of a key is the watched fields of its last kept row, so it has constant size. A micro-batch
-is bounded by the source's trigger limits; rows of one key in it are ordered by ``order``. Rows that
-arrive in a later micro-batch are compared as they arrive and never re-sorted.
+Rows of one micro-batch are ordered by ``order``. Rows that arrive in a later one are compared as they arrive and never
+re-sorted.
 """
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from homestream.functions.columns import duration_micros
-from homestream.operators.timeline import cols
+from homestream.operators import frames
+from homestream.operators.changes import changes_of_known
+from homestream.operators.keyed import coalesce_upsert
+from homestream.operators.sticky import ORDER, sticky_changes
+from homestream.operators.timeline import DEFAULT_ROWS, DEFAULT_WIDTH, cols, known_keys
+from homestream.streaming.state import KeyedState
 
+CHANGED = "_changed_at"
 
-def stream_changes(df: DataFrame, key, watch, order=("event_ts", "seq"), null_mode="sticky",
-                   state_ttl=None, last_change=None, refresh=True, watermark="1 second") -> DataFrame:
-    """Rows that differ from the key's last kept row in any watched field.
 
-    ``last_change`` names an output column with the event time of the key's latest change
-    (``refresh=False``: of its first). ``state_ttl`` forgets a key that stays silent that long in event
-    time, and then rows older than the watermark are late and left out; by default nothing is forgotten.
+class ChangeFilter(KeyedState):
+    """Rows that differ from the key's last kept row in any watched field, all of which may be null.
+
+    The state is that row's watched fields (``null_mode="ignore"``: the last known values). ``last_change`` names an
+    output column with the event time of the key's latest change (``refresh=False``: of its first).
     """
-    if null_mode not in ("sticky", "ignore"):
-        raise ValueError("null_mode must be 'sticky' or 'ignore'")
-    key, watch, order = cols(key), cols(watch), [c for c in cols(order) if c in df.columns]
-    names = df.columns
-    ts = order[0]
-    extra = [T.StructField(last_change, T.TimestampType())] if last_change else []
-    state_schema = T.StructType(
-        [T.StructField(c, df.schema[c].dataType) for c in watch] + [T.StructField("changed_at", T.LongType())])
-    ttl_ms = duration_micros(state_ttl) // 1000 if state_ttl else None
-    if state_ttl:
-        df = df.withWatermark(ts, watermark)
-
-    def run(_, batches, state):
-        import pandas as pd
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-        kept, changed_at, last, at = [], [], None, None
-        if state.exists:
-            *last, at = state.get
-        times = rows[ts].astype("datetime64[us]").astype("int64").tolist()
-        values = zip(*[rows[c].where(rows[c].notna(), None).tolist() for c in watch])
-        for i, new in enumerate(values):
-            if null_mode == "sticky":
-                hit = last is None or any(
-                    a is not None and b is not None and a != b for a, b in zip(last, new))
-                after = new
+
+    def __init__(self, spark, path, rows: T.StructType, key, watch, order=ORDER, null_mode="sticky", chunk=DEFAULT_WIDTH,
+                 last_change=None, refresh=True, **options):
+        if null_mode not in ("sticky", "ignore"):
+            raise ValueError("null_mode must be 'sticky' or 'ignore'")
+        watch, order = cols(watch), [c for c in cols(order) if c in rows.fieldNames()]
+        first = last_change and not refresh
+
+        def step(batch, state):
+            batch = known_keys(batch, key)
+            if null_mode == "ignore":
+                kept = changes_of_known(batch, key, watch, order, chunk, state)
+                after = coalesce_upsert(state.select(*cols(key), *watch), batch, key, watch, order)
             else:
-                last = last or [None] * len(watch)
-                hit = any(b is not None and a != b for a, b in zip(last, new))
-                after = [a if b is None else b for a, b in zip(last, new)]
-            if hit:
-                last = list(after)
-                at = times[i] if refresh or at is None else at
-                kept.append(i)
-                changed_at.append(at)
-        if last is not None:
-            state.update((*last, at))
-            if ttl_ms:
-                state.setTimeoutTimestamp(max(max(times) // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
-        out = rows.iloc[kept][names]
-        if last_change:
-            out = out.assign(**{last_change: pd.to_datetime(pd.Series(changed_at, index=out.index, dtype="int64"), unit="us")})
-        yield out
-
-    return df.groupBy(*key).applyInPandasWithState(
-        run, T.StructType(df.schema.fields + extra), state_schema, "append",
-        "EventTimeTimeout" if state_ttl else "NoTimeout")
+                kept, after = sticky_changes(batch, key, watch, order, chunk, state)
+            if first:
+                # one row for each key: the time from before, else that of the earliest change at hand
+                times = (state.select(*cols(key), CHANGED).unionByName(kept.select(*cols(key), F.col(order[0]).alias(CHANGED)))
+                         .groupBy(*cols(key)).agg(F.min(CHANGED).alias(CHANGED)))
+                after = after.join(times, cols(key), "left")
+                kept = kept.join(times.withColumnRenamed(CHANGED, last_change), cols(key))
+            elif last_change:
+                kept = kept.withColumn(last_change, F.col(order[0]))
+            return kept, after
+
+        fields = [*watch, *([T.StructField(CHANGED, T.TimestampType())] if first else [])]
+        super().__init__(spark, path, rows, key, fields, step, ts=order[0], **options)
+
+
+class Confirmation(KeyedState):
+    """First frame of each session at which the same name was confidently seen ``n`` times in a row.
+
+    The state is the name a session is at, the length of its run, and whether it was confirmed. A confirmed session has
+    ended: its later frames are left out until ``ttl`` of silence removes it, as any silent session.
+    """
+
+    def __init__(self, spark, path, rows: T.StructType, session="session", order=("frame_no",), n=frames.CONFIRMATIONS,
+                 min_confidence=frames.MIN_CONFIDENCE, unknown=frames.UNKNOWN, chunk=DEFAULT_ROWS, **options):
+        key = cols(session)
+
+        def step(batch, state):
+            batch = known_keys(batch, key)
+            done, going = state.filter("done"), state.filter("not done")
+            rows = batch.join(done.select(*key), key, "left_anti").select(batch.columns)
+            found, after = frames.confirm_step(rows, key, order, n, min_confidence, unknown, chunk, going)
+            after = (after.join(found.select(*key, F.lit(True).alias("_found")), key, "left")
+                     .select(*key, "name", "length", F.col("_found").isNotNull().alias("done")))
+            return found, after.unionByName(done.select(after.columns))
+
+        fields = [T.StructField("name", T.StringType()), T.StructField("length", T.LongType()), T.StructField("done", T.BooleanType())]
+        super().__init__(spark, path, rows, key, fields, step, **options)
+
+
+class CarryForward(KeyedState):
+    """Rows with each null filled with the session's last known value, also from earlier micro-batches."""
+
+    def __init__(self, spark, path, rows: T.StructType, session, order, values, chunk=DEFAULT_ROWS, **options):
+        key, values = cols(session), cols(values)
+
+        def step(batch, state):
+            return (frames.carry_forward(batch, key, order, values, chunk, state),
+                    coalesce_upsert(state, known_keys(batch, key), key, values, order))
+
+        super().__init__(spark, path, rows, key, values, step, **options)
+
+
+def each_batch(state: KeyedState, write):
+    """foreachBatch writer: ``write(output, batch_id)`` of each micro-batch, which is persisted meanwhile."""
+    def run(batch: DataFrame, batch_id: int):
+        batch = batch.persist()
+        try:
+            write(state.advance(batch, batch_id), batch_id)
+        finally:
+            batch.unpersist()
+    return run

@@ -1,6 +1,8 @@
 """The device job: one streaming query per device kind, each fanning out to its tables.
 
-source -> event time -> validation -> change filter or sliding average -> foreachBatch(tables)
+source -> event time -> validation -> foreachBatch(change filter -> tables), or -> sliding average -> foreachBatch(tables)
+
+All tables of a root folder share one commit record: a micro-batch counts in all of them or in none.
 """
 
 from collections import Counter
@@ -14,8 +16,9 @@ from homestream.schemas import (
     CONTROL_LOG, DOCUMENT, FAN_STATE, KINDS, LIGHT_STATE, LOCK_STATE, READING_LOG,
 )
 from homestream.session import shared_dir
-from homestream.streaming.changes import stream_changes
-from homestream.streaming.sinks import AppendLog, KeyedTable, run_of
+from homestream.streaming.changes import ChangeFilter
+from homestream.streaming.index import DocumentIndex
+from homestream.streaming.sinks import AppendLog, Commits, KeyedTable, run_of
 
 STATE_TABLES = {
     "fan": ("Fan", FAN_STATE, keyed.fan_rows),
@@ -32,19 +35,26 @@ class Tables:
 
     def __init__(self, spark, root):
         self.spark, self.root = spark, root.rstrip("/")
+        self.commits = Commits(spark, f"{self.root}/_commits")
 
     def state(self, kind):
         name, schema, _ = STATE_TABLES[kind]
-        return KeyedTable(self.spark, f"{self.root}/{name}", schema)
+        return KeyedTable(self.spark, f"{self.root}/{name}", schema, commits=self.commits)
 
     def control(self):
-        return AppendLog(self.spark, f"{self.root}/Control", CONTROL_LOG, "control_time")
+        return AppendLog(self.spark, f"{self.root}/Control", CONTROL_LOG, "control_time", self.commits)
 
     def readings(self, kind):
-        return AppendLog(self.spark, f"{self.root}/{READING_TABLES[kind]}", READING_LOG, "record_time")
+        return AppendLog(self.spark, f"{self.root}/{READING_TABLES[kind]}", READING_LOG, "record_time", self.commits)
 
     def documents(self):
-        return AppendLog(self.spark, f"{self.root}/temperature_index", DOCUMENT, "timestamp")
+        return DocumentIndex(self.spark, f"{self.root}/temperature_index", DOCUMENT, commits=self.commits)
+
+    def changes(self, kind, rows, run, **options):
+        """The change filter of a switchable device; each query (run) has a state of its own."""
+        k = KINDS[kind]
+        return ChangeFilter(self.spark, f"{self.root}/_state/{kind}/{run}", rows, k.key, [*k.steady, k.watched_nullable],
+                            ORDER, commits=self.commits, **options)
 
 
 def validated(df: DataFrame, kind, on_error="drop") -> DataFrame:
@@ -54,47 +64,59 @@ def validated(df: DataFrame, kind, on_error="drop") -> DataFrame:
     return clean.clean_device(df, kind, on_error)
 
 
-def device_output(df: DataFrame, kind, size="2 minutes", slide="1 minute", time="event", state_ttl=None):
-    """Change stream of a switchable device, or window averages of a sensor."""
+def device_rows(df: DataFrame, kind, size="2 minutes", slide="1 minute", time="event"):
+    """Validated rows of a switchable device, or window averages of a sensor."""
     rows = validated(df, kind)
-    k = KINDS[kind]
-    if k.reading:
-        return readings.sliding_average(readings.to_reading(rows, kind), size=size, slide=slide,
-                                        watermark=WATERMARK, time=time)
-    watch = [*k.steady, k.watched_nullable]
-    return stream_changes(rows, k.key, watch, ORDER, state_ttl=state_ttl)
+    if not KINDS[kind].reading:
+        return rows
+    return readings.sliding_average(readings.to_reading(rows, kind), size=size, slide=slide, watermark=WATERMARK, time=time)
 
 
-def fan_out(tables: Tables, kind):
-    """foreachBatch writer: the batch is computed once and feeds every table of its kind.
+def fan_out(tables: Tables, kind, between=None, **options):
+    """foreachBatch writer: a micro-batch of :func:`device_rows` feeds every table of its kind and is then recorded.
 
-    Called outside a stream, every batch counts as a run of its own.
+    ``options`` go to the change filter. ``between(table name)`` is called before each table is written (tests stop a
+    query there). Called outside a stream, every batch counts as a run of its own.
     """
-    k = KINDS[kind]
+    k, at = KINDS[kind], between or (lambda table: None)
 
     def write(batch: DataFrame, batch_id: int):
         run = run_of(batch)
         batch = batch.persist()
         try:
             if k.reading:
+                at(READING_TABLES[kind])
                 tables.readings(kind).insert_if_absent(
                     readings.reading_rows(batch), ["location", "record_time"], batch_id, kind, "window_start", run)
                 if kind == "temperature":
-                    docs = keyed.latest_documents(readings.average_documents(batch))
-                    tables.documents().append(docs, batch_id, kind, run)
+                    at("temperature_index")
+                    tables.documents().write(readings.average_documents(batch), batch_id, run)
             else:
-                _, schema, to_rows = STATE_TABLES[kind]
-                values = [c for c in schema.fieldNames() if c != "device_id"]
-                order = [c for c in ORDER if c in batch.columns]
-                tables.state(kind).upsert(to_rows(batch), "device_id", values, batch_id, order, run)
-                tables.control().insert_if_absent(
-                    keyed.control_rows(batch, k.key), CONTROL_LOG.fieldNames(), batch_id, kind, run=run)
+                at("state")
+                kept = tables.changes(kind, batch.schema, run, **options).advance(batch, batch_id, run).persist()
+                try:
+                    _write_changes(tables, kind, kept, batch_id, run, at)
+                finally:
+                    kept.unpersist()
+            at("commit")
+            tables.commits.record(run, batch_id)
         finally:
             batch.unpersist()
 
     return write
 
 
+def _write_changes(tables, kind, kept, batch_id, run, at):
+    name, schema, to_rows = STATE_TABLES[kind]
+    values = [c for c in schema.fieldNames() if c != "device_id"]
+    order = [c for c in ORDER if c in kept.columns]
+    at(name)
+    tables.state(kind).upsert(to_rows(kept), "device_id", values, batch_id, order, run)
+    at("Control")
+    tables.control().insert_if_absent(
+        keyed.control_rows(kept, KINDS[kind].key), CONTROL_LOG.fieldNames(), batch_id, kind, run=run)
+
+
 def start(df: DataFrame, name, on_batch, checkpoint=None, trigger=CHECKPOINT_EVERY, output_mode="append",
           state_partitions=None):
     """Start a query. ``trigger=None`` works off what is there and stops.
@@ -117,8 +139,9 @@ def start(df: DataFrame, name, on_batch, checkpoint=None, trigger=CHECKPOINT_EVE
 
 
 def start_device(df: DataFrame, kind, tables: Tables, checkpoint=None, trigger=CHECKPOINT_EVERY,
-                 state_partitions=None, **options):
-    return start(device_output(df, kind, **options), kind, fan_out(tables, kind), checkpoint, trigger,
+                 state_partitions=None, between=None, state_ttl=None, **options):
+    ttl = {} if KINDS[kind].reading or not state_ttl else {"ttl": state_ttl, "watermark": WATERMARK}
+    return start(device_rows(df, kind, **options), kind, fan_out(tables, kind, between, **ttl), checkpoint, trigger,
                  state_partitions=state_partitions)
 
 

@@ -29,24 +29,63 @@ def run_of(batch: DataFrame):
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or uuid.uuid4().hex
 
 
+class Commits:
+    """Which micro-batches count, for several tables at once.
+
+    A micro-batch writes its part of every table under its run and batch id and is recorded here at the end, by one new
+    name in the run's folder. The tables' readers and merges see what is recorded and nothing else, so a query that
+    fails between two tables shows neither. Batches of a run follow each other: the newest one stands for all before.
+    """
+
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def last(self) -> dict:
+        """Run -> its last recorded batch id."""
+        done = {run: _children(self.spark, f"{self.path}/{run}") for run in _children(self.spark, self.path)}
+        return {run: max(map(int, names)) for run, names in done.items() if names}
+
+    def record(self, run, batch_id):
+        p, fs = _fs(self.spark, f"{self.path}/{run}/{batch_id:012d}")
+        fs.mkdirs(p)
+        for name in _children(self.spark, f"{self.path}/{run}"):
+            if int(name) < batch_id:
+                old, _ = _fs(self.spark, f"{self.path}/{run}/{name}")
+                fs.delete(old, True)
+
+
 class KeyedTable:
-    """One row per key, kept as complete versions; a version counts once its _SUCCESS marker exists.
+    """One row per key, kept as complete versions; a version counts once its _SUCCESS marker exists and, where there are
+    ``commits``, its micro-batch is recorded.
 
     Meant for tables whose size follows the number of devices or people, not the number of events.
     Versions grow by one; a version that a micro-batch wrote carries its run and batch id in its name. The
     last ``keep`` versions stay, for readers that opened one and for replays, which need two.
     """
 
-    def __init__(self, spark, path, schema, keep=10):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, max(keep, 1)
+    def __init__(self, spark, path, schema, keep=10, commits: Commits = None):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, max(keep, 2)
+        self.commits = commits
 
     def _done(self):
         """Number -> folder name of every complete version."""
         names = [n for n in _children(self.spark, self.path) if n.startswith("v=")]
         return {int(n[2:14]): n for n in names if "_SUCCESS" in _children(self.spark, f"{self.path}/{n}")}
 
+    def _seen(self):
+        """Complete versions whose micro-batch is recorded, or that no micro-batch wrote."""
+        done = self._done()
+        if self.commits is None:
+            return done
+        last = self.commits.last()
+
+        def counts(name):
+            run, _, batch = name[15:].rpartition("-")
+            return not run or int(batch) <= last.get(run, -1)
+        return {v: n for v, n in done.items() if counts(n)}
+
     def versions(self):
-        return sorted(self._done())
+        return sorted(self._seen())
 
     def _read(self, name):
         if name is None:
@@ -54,8 +93,19 @@ class KeyedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
 
     def read(self) -> DataFrame:
-        done = self._done()
-        return self._read(done[max(done)] if done else None)
+        seen = self._seen()
+        return self._read(seen[max(seen)] if seen else None)
+
+    def turn(self, run, batch_id):
+        """(name of the version that a micro-batch writes, the rows it starts from). A replay repeats its own version and
+        starts from the one before."""
+        done, seen, mark = self._done(), self._seen(), f"-{run}-{batch_id}"
+        newest = max(done, default=-1)
+        if newest >= 0 and done[newest][14:] == mark:
+            name, before = done[newest], [v for v in seen if v < newest]
+        else:
+            name, before = f"v={newest + 1:012d}{mark}", seen
+        return name, self._read(seen[max(before)] if before else None)
 
     def write(self, df: DataFrame, name=None):
         """A new version with these rows; ``name`` repeats a version that a replay writes again."""
@@ -68,18 +118,14 @@ class KeyedTable:
             fs.delete(p, True)
 
     def upsert(self, rows: DataFrame, key, values, batch_id, order=("event_ts", "seq"), run="stream"):
-        """Merge a micro-batch into the newest version; a replay starts from the version before its own."""
-        done, mark = self._done(), f"-{run}-{batch_id}"
-        newest = max(done, default=-1)
-        if newest >= 0 and done[newest][14:] == mark:
-            name, base = done[newest], done[max([v for v in done if v < newest])] if len(done) > 1 else None
-        else:
-            name, base = f"v={newest + 1:012d}{mark}", done.get(newest)
-        self.write(coalesce_upsert(self._read(base), rows, key, values, order), name)
+        """Merge a micro-batch into the newest version."""
+        name, base = self.turn(run, batch_id)
+        self.write(coalesce_upsert(base, rows, key, values, order), name)
 
 
 class AppendLog:
-    """Rows that are only ever added, partitioned by day, source, run and micro-batch.
+    """Rows that are only ever added, partitioned by day, source, run and micro-batch; with ``commits`` only recorded
+    micro-batches are read.
 
     Insert-if-absent lists and reads only the days its own rows fall on, so its cost follows the batch
     and those days and not the whole history. Runs are numbered in the order in which they first wrote.
@@ -87,8 +133,9 @@ class AppendLog:
 
     PARTITIONS = ("day", "source", "run")
 
-    def __init__(self, spark, path, schema, time_col):
+    def __init__(self, spark, path, schema, time_col, commits: Commits = None):
         self.spark, self.path, self.schema, self.time_col = spark, path.rstrip("/"), schema, time_col
+        self.commits = commits
         self._stored = T.StructType(schema.fields + [T.StructField(c, T.StringType()) for c in self.PARTITIONS] + [
             T.StructField("batch_id", T.LongType())])
 
@@ -112,8 +159,15 @@ class AppendLog:
             names = [n for n in names if n[4:] in days]
         if not names:
             return self.spark.createDataFrame([], self._stored)
-        return (self.spark.read.schema(self._stored).option("basePath", self.path)
+        rows = (self.spark.read.schema(self._stored).option("basePath", self.path)
                 .parquet(*[f"{self.path}/{n}" for n in names]))
+        if self.commits is None:
+            return rows
+        last, counts = self.commits.last(), F.lit(False)
+        for name in _children(self.spark, f"{self.path}/_runs"):
+            if name[7:] in last:
+                counts = counts | ((F.col("run") == name) & (F.col("batch_id") <= last[name[7:]]))
+        return rows.filter(counts)
 
     def read(self) -> DataFrame:
         return self.stored().select(*self.schema.fieldNames())

@@ -3,15 +3,17 @@ import random
 import time
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F, types as T
 
 from homestream.operators import clean, readings
 from homestream.operators.changes import changes_only, device_changes
+from homestream.operators.timeline import with_chunk
 from homestream.plans import views
 from homestream.schemas import KINDS
 from homestream.sources.devices import read_device_stream, read_device_table
 from homestream.streaming import pipeline, sinks
-from homestream.streaming.changes import stream_changes
+from homestream.streaming.changes import CarryForward, ChangeFilter, Confirmation, each_batch
 from tests import folds
 
 SF = "/root/testdata/sf0.001"
@@ -45,40 +47,146 @@ def drain(df, name, checkpoint, mode="append"):
     return out
 
 
+def filtered(df, name, tmp_path, state):
+    """All rows that a state operator puts out over the micro-batches of a stream."""
+    out = []
+    pipeline.start(df, name, each_batch(state, lambda b, _: out.extend(b.collect())), str(tmp_path / f"cp_{name}"), trigger=None).awaitTermination()
+    return out
+
+
 @pytest.mark.parametrize("kind", ["led", "fan", "door"])
 def test_stream_equals_batch(spark, tmp_path, kind):
     path = feed(spark, tmp_path, kind, 4)
-    got = drain(pipeline.device_output(source(spark, kind, path), kind), f"eq_{kind}", tmp_path / "cp")
+    rows = pipeline.device_rows(source(spark, kind, path), kind)
+    k = KINDS[kind]
+    got = filtered(rows, f"eq_{kind}", tmp_path, ChangeFilter(spark, str(tmp_path / "state"), rows.schema, k.key, [*k.steady, k.watched_nullable]))
     batch = device_changes(pipeline.validated(read_device_table(spark, kind, path, SEQ), kind), kind)
     assert sorted(map(str, got)) == sorted(map(str, batch.select(*got[0].__fields__).collect()))
 
 
+def keyed_stream(spark, tmp_path, rows, parts, schema="id string, c string, f string, seq long"):
+    path = str(tmp_path / "in")
+    for i in range(parts):
+        spark.createDataFrame(rows[len(rows) * i // parts:len(rows) * (i + 1) // parts], schema).coalesce(1).write.mode("append").parquet(path)
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+            .withColumn("event_ts", F.timestamp_seconds(F.col("seq") + 1704067200)))
+
+
 @pytest.mark.parametrize("mode", ["sticky", "ignore"])
 def test_stream_fold_and_last_change(spark, tmp_path, mode):
     rnd = random.Random(4)
     rows = [(rnd.choice("kkq"), rnd.choice(["a", "b", None]), rnd.choice(["x", "y", None]), i) for i in range(300)]
-    schema = "id string, c string, f string, seq long"
-    path = str(tmp_path / "in")
-    for i in range(0, 300, 100):
-        spark.createDataFrame(rows[i:i + 100], schema).coalesce(1).write.mode("append").parquet(path)
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-              .withColumn("event_ts", F.timestamp_seconds(F.col("seq") + 1704067200)))
-    out = drain(stream_changes(stream, "id", ["c", "f"], null_mode=mode, last_change="at", refresh=False,
-                               state_ttl="1 hour"), f"fold_{mode}", tmp_path / "cp")
-    kept = folds.changes([dict(zip(("id", "c", "f", "seq"), r)) for r in rows], "id", ["c", "f"], mode)
-    assert sorted(r.seq for r in out) == [r["seq"] for r in kept]
-    first = {}
-    for r in kept:
-        first.setdefault(r["id"], r["seq"])
-    assert all(r["at"].minute * 60 + r["at"].second == first[r.id] for r in out)
-
-
-def test_changes_only_dispatches(spark, tmp_path):
+    stream = keyed_stream(spark, tmp_path, rows, 3)
+    for refresh in (False, True):
+        state = ChangeFilter(spark, str(tmp_path / f"state{refresh}"), stream.schema, "id", ["c", "f"], null_mode=mode, chunk="20 seconds",
+                             last_change="at", refresh=refresh, ttl="1 hour")
+        out = filtered(stream, f"fold_{mode}_{refresh}", tmp_path, state)
+        kept = folds.changes([dict(zip(("id", "c", "f", "seq"), r)) for r in rows], "id", ["c", "f"], mode)
+        assert sorted(r.seq for r in out) == [r["seq"] for r in kept]
+        first = {}
+        for r in kept:
+            first.setdefault(r["id"], r["seq"])
+        assert all(r["at"].minute * 60 + r["at"].second == (r.seq if refresh else first[r.id]) for r in out)
+
+
+def test_hot_key_spreads(spark, tmp_path):
+    """A key with a third of the rows is worked off in chunks: no Python worker sees more than one at a time."""
+    rows = [("hot" if i % 3 == 0 else f"k{i % 40}", "ab"[i // 3 % 2], None if i % 7 == 0 else "xy"[i // 5 % 2], i) for i in range(3000)]
+    stream = keyed_stream(spark, tmp_path, rows, 2)
+    state = ChangeFilter(spark, str(tmp_path / "state"), stream.schema, "id", ["c", "f"], chunk="30 seconds")
+    batch = spark.read.schema("id string, c string, f string, seq long").parquet(str(tmp_path / "in")).withColumn(
+        "event_ts", F.timestamp_seconds(F.col("seq") + 1704067200))
+    chunks = with_chunk(batch, ["event_ts"], "30 seconds").groupBy("id", "_chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] <= 10
+    kept = folds.changes([dict(zip(("id", "c", "f", "seq"), r)) for r in rows], "id", ["c", "f"])
+    assert sorted(r.seq for r in filtered(stream, "hot", tmp_path, state)) == [r["seq"] for r in kept]
+    assert state.table.read().count() == len({r[0] for r in rows})
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    """A key that was silent for longer than the state lives emits again; a row behind the watermark is late."""
+    schema = "id string, c string, seq long"
+    rows = [("a", "on", 0), ("b", "on", 10), ("b", "off", 400), ("c", "on", 401), ("a", "on", 402), ("c", "on", 390), ("b", "off", 410)]
+    stream = keyed_stream(spark, tmp_path, rows, 7, schema)
+    state = ChangeFilter(spark, str(tmp_path / "state"), stream.schema, "id", ["c"], ttl="1 minute", watermark="1 second")
+    out = [(r.id, r.seq) for r in filtered(stream, "ttl", tmp_path, state)]
+    # a is forgotten once 400 was seen, so it emits at 402; 390 is late; b goes on from its own state
+    assert out == [("a", 0), ("b", 10), ("b", 400), ("c", 401), ("a", 402)]
+    forever = ChangeFilter(spark, str(tmp_path / "state2"), stream.schema, "id", ["c"])
+    assert [(r.id, r.seq) for r in filtered(stream, "no_ttl", tmp_path, forever)] == [("a", 0), ("b", 10), ("b", 400), ("c", 401)]
+
+
+def test_changes_only_refuses_streams(spark, tmp_path):
     path = feed(spark, tmp_path, "led", 1)
-    stream = pipeline.validated(source(spark, "led", path), "led")
-    out = drain(changes_only(stream, "id_led", (), "bbc_led"), "dispatch", tmp_path / "cp")
-    table = pipeline.validated(read_device_table(spark, "led", path, SEQ), "led")
-    assert len(out) == changes_only(table, "id_led", (), "bbc_led").count()
+    with pytest.raises(ValueError):
+        changes_only(pipeline.validated(source(spark, "led", path), "led"), "id_led", (), "bbc_led")
+
+
+def frames_stream(spark, tmp_path, rows, parts):
+    return keyed_stream(spark, tmp_path, rows, parts, "session string, frame_no long, name string, confidence double, seq long")
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_confirmation_stream(spark, tmp_path, chunk):
+    r = random.Random(2)
+    rows = [(r.choice("aabc"), i, r.choice(["ann", "ann", "bob", "Unknown"]), r.choice([0.9, 0.2]), i) for i in range(240)]
+    stream = frames_stream(spark, tmp_path, rows, 6)
+    state = Confirmation(spark, str(tmp_path / "state"), stream.schema, n=4, chunk=chunk)
+    got = {x.session: (x.frame_no, x.name) for x in filtered(stream, f"confirm{chunk}", tmp_path, state)}
+    assert got == folds.confirm([(s, n, name, name != "Unknown" and c > 0.5) for s, n, name, c, _ in rows], 4) and got
+    assert {x.session for x in state.table.read().filter("done").collect()} == {*got}
+
+
+def test_ended_sessions_are_removed(spark, tmp_path):
+    """An ended session stays ended until it was silent for the time to live; then its name may be confirmed anew."""
+    rows = [("s", i, "ann", 0.9, i) for i in (0, 1, 2, 3)] + [("t", 9, "bob", 0.9, 500), ("s", 600, "ann", 0.9, 600), ("s", 601, "ann", 0.9, 601)]
+    stream = frames_stream(spark, tmp_path, rows, 7)
+    state = Confirmation(spark, str(tmp_path / "state"), stream.schema, n=2, ttl="2 minutes")
+    assert [(x.session, x.frame_no) for x in filtered(stream, "ended", tmp_path, state)] == [("s", 1), ("s", 601)]
+
+
+def test_carry_forward_stream(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(r.choice("ab"), i, r.choice(["ann", "bob", None, None]), r.choice([None, i / 10]), i) for i in range(200)]
+    stream = frames_stream(spark, tmp_path, rows, 5)
+    state = CarryForward(spark, str(tmp_path / "state"), stream.schema, "session", "frame_no", ["name", "confidence"], chunk=11)
+    got = {x.frame_no: (x.name, x.confidence) for x in filtered(stream, "carry", tmp_path, state)}
+    last, want = {}, {}
+    for s, n, name, c, _ in rows:
+        old = last.get(s, (None, None))
+        last[s] = want[n] = (old[0] if name is None else name, old[1] if c is None else c)
+    assert got == want
+
+
+@pytest.mark.parametrize("stop_at", ["state", "Fan", "Control", "commit"])
+def test_one_commit_for_all_tables(spark, tmp_path, stop_at):
+    """A query that fails between two tables shows neither; resumed on its own checkpoint it ends where a batch does."""
+    tables, path = pipeline.Tables(spark, str(tmp_path / "tables")), feed(spark, tmp_path, "fan", 3)
+    calls = []
+
+    def fail(table):
+        calls.append(table)
+        if table == stop_at and calls.count(stop_at) == 2:
+            raise RuntimeError("stopped between two tables")
+
+    def run(between):
+        q = pipeline.start_device(source(spark, "fan", path), "fan", tables, str(tmp_path / "cp"), None, between=between)
+        q.awaitTermination()
+
+    with pytest.raises(StreamingQueryException):
+        run(fail)
+    first = device_changes(pipeline.validated(read_device_table(spark, "fan", path, SEQ).filter(f"seq < {spark.read.parquet(path).count() // 3}"), "fan"), "fan")
+    log = lambda: sorted(map(tuple, tables.control().read().collect()))
+    rows = lambda df: sorted({tuple(r) for r in df.select("id_fan", "bbc_name", "timestamp").collect()})
+    assert log() == rows(first)
+    assert {r.device_id for r in tables.state("fan").read().collect()} == {r.id_fan for r in first.collect()}
+    run(None)
+    every = device_changes(pipeline.validated(read_device_table(spark, "fan", path, SEQ), "fan"), "fan")
+    assert log() == rows(every)
+    from homestream.operators.keyed import coalesce_upsert, fan_rows
+    _, schema, _ = pipeline.STATE_TABLES["fan"]
+    want = coalesce_upsert(spark.createDataFrame([], schema), fan_rows(every), "device_id", [c for c in schema.fieldNames() if c != "device_id"])
+    assert sorted(map(str, tables.state("fan").read().collect())) == sorted(map(str, want.collect()))
 
 
 def test_pipeline_tables(spark, tmp_path):
@@ -115,7 +223,7 @@ def test_pipeline_tables(spark, tmp_path):
         assert len(first) - 2 <= len(got) <= len(first)
         assert all(first[k] == v for k, v in got.items())
         if kind == "temperature":
-            docs = {(r.id, r.timestamp): r.value for r in tables.documents().latest("doc_id").collect()}
+            docs = {(r.id, r.timestamp): r.value for r in tables.documents().read().collect()}
             assert len(docs) == len(got)
             assert sum(last[k] != v for k, v in docs.items()) <= 2
 
