@@ -1,18 +1,21 @@
 """Secrets: an incremental ledger of blobs.
 
-Every version of a text is addressed by the SHA-256 of its UTF-8 bytes. The ledger holds, per (blob, rule
-version), what a scan found. A run scans the blobs that have no entry for the current rules, each once
-however many paths hold it, appends the entries as one batch folder, and joins findings back to all paths.
+Every version of a text is addressed by the SHA-256 of its UTF-8 bytes. The ledger has two tables. ``versions`` says
+which paths held which blob in which run, for all runs; ``entries`` holds, per (blob, rule version), what a scan
+found. A run writes its versions, scans the blobs that have no entry under the current rules, each once however many
+paths hold it, and joins findings back to all paths, of this run or of all runs (:meth:`Ledger.history`).
 
-Addressing and choosing read two narrow columns (hash, identifier), and the choice of one row per blob
-combines map-side. A cheap literal test runs with the addressing; blobs that fail it can't match and get
-an empty entry, so only texts with a keyword travel to meet the choice. The scan is built-in functions.
+Texts are read twice: once whole to be addressed, with a cheap literal test along the way, and once more for those
+that pass it. Blobs that fail the test can't match and get an empty entry. Everything else reads the narrow versions
+table, and the choice of one path per blob combines map-side. The scan is built-in functions.
 
-Null counts as the empty text. A null or repeated identifier is an ordinary path. Other columns pass by.
+Null counts as the empty text. A null or repeated identifier is an ordinary path. Other columns aren't read. An empty
+table adds a run without versions and gives an empty result.
 """
 
 import hashlib
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,55 +70,79 @@ def addressed(df: DataFrame, text="text") -> DataFrame:
     return df.withColumns({"blob": F.unhex(F.sha2(t.cast("binary"), 256)), "suspect": t.rlike(KEYWORDS)})
 
 
+def _clean():
+    return F.expr(f"cast(array() as {FINDINGS})")
+
+
 class Ledger:
-    """Entries as Parquet batches in a shared folder; a batch counts once its job has committed."""
+    """The two tables as Parquet batches in a shared folder.
+
+    A run is a folder below each of ``versions`` and ``entries``, numbered in order. It counts once its entries, written
+    last, have committed: a run that fails half-way leaves nothing that a reader sees.
+    """
 
     def __init__(self, spark, path=None):
         self.spark, self.path = spark, path or shared_folder(spark, "blob-ledger")
 
-    def _batches(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
+    def runs(self):
+        """Folder names of the committed runs, oldest first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(f"{self.path}/entries")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
             return []
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return [s.getPath().toString() for s in fs.listStatus(p)
-                if fs.exists(done(s.getPath().toString() + "/_SUCCESS"))]
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(n for n in names if fs.exists(path(f"{self.path}/entries/{n}/_SUCCESS")))
 
     def entries(self, rules=RULES) -> DataFrame:
-        """One entry per blob; a batch repeated after a failure changes nothing."""
-        batches = self._batches()
-        if not batches:
-            return self.spark.createDataFrame([], ENTRY)
-        return (self.spark.read.schema(ENTRY).parquet(*batches).filter(F.col("rules") == rules)
-                .select("blob", "findings"))
-
-    def update(self, df: DataFrame, path="doc_id", text="text", rules=RULES) -> DataFrame:
-        """Scan what the ledger doesn't know and append it. Returns this run's new entries."""
-        versions = df.select(F.col(path).alias("path"), F.col(text).alias("text")).transform(addressed)
-        chosen = versions.groupBy("blob").agg(F.min("path").alias("path"), F.first("suspect").alias("suspect"))
-        if self._batches():
+        """(blob, findings), one row for each blob that was scanned under the rules."""
+        runs = self.runs()
+        if not runs:
+            return self.spark.createDataFrame([], ENTRY).select("blob", "findings")
+        return (self.spark.read.schema(ENTRY).parquet(*[f"{self.path}/entries/{r}" for r in runs])
+                .filter(F.col("rules") == rules).select("blob", "findings"))
+
+    def versions(self, runs=None) -> DataFrame:
+        """(path, blob, run), one row for each row of the runs' tables, by default of all runs."""
+        parts = [self.spark.read.parquet(f"{self.path}/versions/{r}").select("path", "blob", F.lit(int(r[:8])).alias("run"))
+                 for r in (self.runs() if runs is None else runs)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def update(self, df: DataFrame, path="doc_id", text="text", rules=RULES) -> str:
+        """Record every row's version, scan what the ledger doesn't know, commit. Returns the run's name."""
+        before = self.runs()
+        run = f"{int(before[-1][:8]) + 1 if before else 1:08d}-{uuid.uuid4().hex}"
+        rows = df.select(F.col(path).alias("path"), F.col(text).alias("text"))
+        rows.transform(addressed).select("path", "blob", "suspect").write.parquet(f"{self.path}/versions/{run}")
+        narrow = self.spark.read.parquet(f"{self.path}/versions/{run}")
+        chosen = narrow.groupBy("blob").agg(F.min("path").alias("path"), F.first("suspect").alias("suspect"))
+        if before:
             chosen = chosen.join(self.entries(rules).select("blob"), "blob", "left_anti")
         one = chosen.filter("suspect").select(F.col("blob").alias("_blob"), F.col("path").alias("_path"))
-        texts = versions.filter("suspect").select("blob", "path", "text")
-        picked = texts.join(one, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path"))).select(
-            "blob", "text")
-        found = (scan(picked).filter(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings")))
-        clean = F.expr(f"cast(array() as {FINDINGS})")
+        # the literal test first: only texts that pass it are hashed again and travel
+        texts = rows.filter(text_of("text").rlike(KEYWORDS)).transform(addressed).select("blob", "path", "text")
+        picked = texts.join(one, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path"))).select("blob", "text")
+        found = scan(picked).filter(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
         new = chosen.select("blob").join(found, "blob", "left").select(
-            "blob", F.lit(rules).alias("rules"), F.coalesce("findings", clean).alias("findings"))
-        new.write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
-        return self.entries(rules)
+            "blob", F.lit(rules).alias("rules"), F.coalesce("findings", _clean()).alias("findings"))
+        new.write.parquet(f"{self.path}/entries/{run}")
+        return run
+
+    def history(self, rules=RULES) -> DataFrame:
+        """(path, run, blob, findings) of every version in every run: a secret stays with the run that held it, whatever
+        the path holds now. ``findings`` is null where no run has scanned the blob under the rules."""
+        known = self.entries(rules).select(F.col("blob").alias("_blob"), "findings")
+        return self.versions().join(known, F.col("blob") == F.col("_blob"), "left").select("path", "run", "blob", "findings")
 
 
 def find_secrets(df: DataFrame, path="doc_id", text="text", ledger: Ledger = None) -> DataFrame:
     """Rows of (path, findings): every row of ``df`` with what its blob holds."""
     ledger = ledger or Ledger(df.sparkSession)
-    known = ledger.update(df, path, text).filter(F.size("findings") > 0)
-    rows = df.select(F.col(path).alias(path), F.col(text).alias("_sec_t")).select(
-        path, F.unhex(F.sha2(text_of("_sec_t").cast("binary"), 256)).alias("blob"))
-    clean = F.expr(f"cast(array() as {FINDINGS})")
-    return rows.join(known, "blob", "left").select(path, F.coalesce("findings", clean).alias("findings"))
+    run = ledger.update(df, path, text)
+    # after the run every blob of it has an entry: only those with findings need to meet their versions
+    dirty = ledger.entries().filter(F.size("findings") > 0)
+    return ledger.versions([run]).join(dirty, "blob", "left").select(
+        F.col("path").alias(path), F.coalesce("findings", _clean()).alias("findings"))
 
 
 def digest(found: DataFrame, path="doc_id") -> DataFrame:
