@@ -1,29 +1,34 @@
 """Language identification by cross-parsing against suffix automata.
 
-Per language, a suffix automaton of sampled labelled text accepts every substring of it. A document is
-parsed into phrases, each the longest match from where the last one ended; the language that needs fewest
-phrases, normalised by the logarithm of its automaton's text over the document's length, wins. Text is
-lower-cased and cut into words (runs of letters, a space on either side, at most ``PIECE`` letters), and
-phrases end with the word: so a task parses each word once per language and remembers the counts.
-
-The sample holds, per language, the ``DOCS`` labelled rows with the smallest hash of the identifier, their
-words up to ``CHARS`` characters: the automata have a fixed size and travel as plain text. Everything
-else sees all rows and whole texts. A null text or one without a letter is ``und`` with score 0, as is
-every text if there is nothing to learn from. Ties go to the smaller language name. Labelled rows with a
-null identifier can teach. Columns named like an output are replaced; an empty table gives an empty result.
+Per language, a suffix automaton of sampled labelled text accepts every substring of it. A document is parsed
+into phrases, each the longest match from where the last one ended; the language that needs fewest phrases,
+normalised by the logarithm of its automaton's text over the document's length, wins. Text is lower-cased, runs of
+letters and their marks stay, whatever lies between them becomes one space, and phrases run across spaces.
+
+Longest matches from left to right need no going back: the automaton is a table of (state, sign) -> (next state,
+phrases ended). So a task parses many documents side by side in numpy, one sign of each at a step, and what is left
+of the few longest ones sign by sign. Tables beyond ``TABLE`` cells (samples with thousands of different signs) stay
+dictionaries; the counts are the same.
+
+The sample holds, per language, the ``DOCS`` labelled rows with the smallest hash of identifier and text, of whose
+signs ``CHARS`` are dealt out evenly: no document takes more than its share while others have text left. The automata
+have a fixed size and travel as plain text. Everything else sees all rows and whole texts. A null text or one
+without a letter is ``und`` with score 0, as is every text if there is nothing to learn from. Ties go to the smaller
+language name. Labelled rows with a null or repeated identifier can teach; rows repeated whole teach once. Columns
+named like an output are replaced; an empty table gives an empty result.
 """
 
-import re
 from functools import lru_cache
 
+import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from homestream.llm.common import folds_of
 
-DOCS, CHARS, PIECE, NONE = 48, 40_000, 48, "und"
-#: Words whose counts a task remembers; a full memory starts anew.
-REMEMBERED = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+DOCS, CHARS, NONE = 48, 40_000, "und"
+#: Cells of a language's table at most; documents below which a step isn't worth numpy; texts parsed side by side.
+TABLE, FEW, BESIDE = 1 << 24, 24, 2000
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class SuffixAutomaton:
@@ -59,11 +64,26 @@ class SuffixAutomaton:
         for state, out in enumerate(moves):
             for c, to in out.items():
                 step[state << 21 | ord(c)] = to
-        self.step = step
+        self.step, self.states = step, len(moves)
 
-    def phrases(self, text) -> int:
+    def table(self, signs):
+        """Next state * 4 + phrases ended, by state and number of the sign; 0 is any sign not in ``signs``."""
+        import numpy as np
+        out = np.empty((self.states, len(signs) + 1), np.int32)
+        open_ = np.arange(self.states) > 0
+        out[:] = (open_ + 1)[:, None]
+        for n, c in enumerate(signs, 1):
+            if (to := self.step.get(ord(c))) is not None:
+                out[:, n] = to * 4 + open_
+        number = {ord(c): n for n, c in enumerate(signs, 1)}
+        keys = np.fromiter(self.step, np.int64, len(self.step))
+        at = np.fromiter(map(number.__getitem__, (keys & (1 << 21) - 1).tolist()), np.int64, len(keys))
+        out[keys >> 21, at] = np.fromiter(self.step.values(), np.int64, len(keys)) * 4
+        return out
+
+    def phrases(self, text, state=0) -> int:
         """Number of longest matches that cover the text; an unknown character is a phrase of its own."""
-        get, state, count = self.step.get, 0, 0
+        get, count = self.step.get, 0
         for c in map(ord, text):
             to = get(state << 21 | c)
             if to is None:
@@ -76,78 +96,109 @@ class SuffixAutomaton:
         return count + (state > 0)
 
 
-def words_of(text):
-    """Lower-case letter runs, cut to at most PIECE letters, a space on either side."""
-    for w in WORD.findall(text.lower()):
-        if len(w) <= PIECE:
-            yield f" {w} "
-        else:
-            for i in range(0, len(w), PIECE):
-                yield f" {w[i:i + PIECE]} "
+def plain(text):
+    """Letters and marks, lower case, a space between their runs and at either end; empty without a letter."""
+    words = WORD.findall(text.lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 class Parser:
+    """``samples``: ((language, text), ...)."""
+
     def __init__(self, samples):
         import numpy as np
         self.langs = [lang for lang, _ in samples]
         self.automata = [SuffixAutomaton(text) for _, text in samples]
         self.bits = np.log2([max(2, len(text)) for _, text in samples])
-        # word -> its row of phrase counts, one per language
-        self.number, self.counts = {}, np.zeros((REMEMBERED, len(samples)), np.int32)
-
-    def totals(self, words):
-        """Phrases of each language over the words."""
+        signs = sorted({c for _, text in samples for c in text})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        self.width = len(signs) + 1
+        self.tables = [a.table(signs).reshape(-1) if a.states * self.width <= TABLE else None for a in self.automata]
+
+    def counts(self, texts):
+        """Phrases of each text (rows) by each language's automaton."""
         import numpy as np
-        new = {*words}.difference(self.number)
-        if len(self.number) + len(new) > REMEMBERED:
-            self.number.clear()
-            new = {*words}
-        for i, w in enumerate(new, len(self.number)):
-            self.number[w] = i
-            self.counts[i] = [a.phrases(w) for a in self.automata]
-        return self.counts[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.int64)
-
-    def parse(self, text):
-        """(language, score) of a text."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        sizes = np.array([len(texts[i]) for i in order], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        signs = self.number[np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le"), "<u4")]
+        quick = [k for k, t in enumerate(self.tables) if t is not None]
+        state, count = np.zeros((len(self.langs), len(texts)), np.int64), np.zeros((len(self.langs), len(texts)), np.int64)
+        t, active = 0, int((sizes > 0).sum())
+        while active >= FEW:
+            sign = signs[starts[:active] + t]
+            for k in quick:
+                to = self.tables[k][state[k, :active] * self.width + sign]
+                state[k, :active] = to >> 2
+                count[k, :active] += to & 3
+            t += 1
+            while active and sizes[active - 1] <= t:
+                active -= 1
+        for k in quick:
+            ended = sizes <= t
+            count[k, ended] += state[k, ended] > 0
+            for i in range(active):
+                count[k, i] += self.automata[k].phrases(texts[order[i]][t:], int(state[k, i]))
+        for k in {*range(len(self.langs))}.difference(quick):
+            count[k] = [self.automata[k].phrases(texts[i]) for i in order]
+        out = np.empty((len(texts), len(self.langs)), np.int64)
+        out[order] = count.T
+        return out
+
+    def parse(self, texts):
+        """(language, score) of each text."""
         import numpy as np
-        words = list(words_of(text))
-        if not words or not self.langs:
-            return NONE, 0.0
-        total = sum(self.totals(words[lo:lo + 50_000]) for lo in range(0, len(words), 50_000))
-        bits = total * self.bits / sum(map(len, words))
-        best = min(range(len(bits)), key=lambda i: (bits[i], self.langs[i]))
-        return self.langs[best], float(1 / np.exp2(2 * (bits[best] - bits)).sum())
+        made = [plain(t or "") for t in texts]
+        if not self.langs:
+            return [(NONE, 0.0)] * len(texts)
+        out = []
+        for text, total in zip(made, self.counts(made)):
+            if not text:
+                out.append((NONE, 0.0))
+                continue
+            bits = total * self.bits / len(text)
+            best = min(range(len(bits)), key=lambda i: (bits[i], self.langs[i]))
+            out.append((self.langs[best], float(1 / np.exp2(2 * (bits[best] - bits)).sum())))
+        return out
 
 
 @lru_cache(maxsize=1)
 def parser(samples):
-    """One per Python worker: automata are built once, words stay remembered."""
+    """One per Python worker: automata are built once."""
     return Parser(samples)
 
 
+def dealt(texts, room=CHARS):
+    """The texts in their order, cut so that they fill ``room`` together and none exceeds an even share while another
+    is cut."""
+    take = {}
+    for left, i in zip(range(len(texts), 0, -1), sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        take[i] = min(len(texts[i]), room // left)
+        room -= take[i]
+    return [t[:take[i]] for i, t in enumerate(texts)]
+
+
 def sample_texts(df: DataFrame, doc_id="doc_id", text="text", lang="lang", fold=None):
-    """((language, sample), ...) from DOCS rows of each language."""
+    """((language, sample), ...) from DOCS rows of each language. A line feed, which no parsed text holds, parts them."""
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if fold is not None:
         rows = rows.filter(fold)
-    key = rows.select(F.col(lang).cast("string").alias("_lang"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(doc_id)).alias("_h"))
-    # the smallest hashes: first of each language's 64 slices, then of these; a third of the rows may be one language
-    sliced = Window.partitionBy("_lang", F.pmod("_h", F.lit(64))).orderBy("_h", "_id")
-    whole = Window.partitionBy("_lang").orderBy("_h", "_id")
+    language, digest = F.col(lang).cast("string").alias("_lang"), F.xxhash64(doc_id, text).alias("_h")
+    # rows repeated whole fold first, then the smallest hashes: of each language's 64 slices, and of these
+    key = rows.select(language, digest).distinct()
+    sliced = Window.partitionBy("_lang", F.pmod("_h", F.lit(64))).orderBy("_h")
+    whole = Window.partitionBy("_lang").orderBy("_h")
     few = (key.withColumn("_n", F.row_number().over(sliced)).filter(F.col("_n") <= DOCS)
-           .withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") <= DOCS))
-    picked = rows.select(F.col(lang).cast("string").alias("l"), F.col(doc_id).alias("i"), F.col(text).alias("t")).join(
-        F.broadcast(few.select("_lang", "_id").distinct()), (F.col("l") == F.col("_lang")) & F.col("i").eqNullSafe(F.col("_id")), "left_semi")
+           .withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") <= DOCS).drop("_n"))
+    # CHARS code points of a text are as many as its language's sample can take; DOCS rows of a language come back
+    picked = (rows.select(language, digest, F.substring(text, 1, CHARS).alias("_t"))
+              .join(F.broadcast(few), ["_lang", "_h"]).groupBy("_lang", "_h").agg(F.min("_t").alias("_t")).collect())
     texts = {}
-    # CHARS code points of a text are as many as its language's sample can take
-    for row in picked.select("l", F.xxhash64("i").alias("h"), F.substring("t", 1, CHARS).alias("t")).orderBy("l", "h", "t").toLocalIterator():
-        held = texts.setdefault(row.l, [[], 0])
-        for w in words_of(row.t):
-            if held[1] >= CHARS:
-                break
-            held[0].append(w[1:])
-            held[1] += len(w) - 1
-    return tuple((k, " " + "".join(v[0])) for k, v in sorted(texts.items()) if v[0])
+    for row in sorted(picked, key=lambda r: (r["_lang"], r["_h"])):
+        if made := plain(row["_t"]):
+            texts.setdefault(row["_lang"], []).append(made)
+    return tuple((k, "\n".join(dealt(v))) for k, v in sorted(texts.items()))
 
 
 def identify(df: DataFrame, samples, text="text", keep=None) -> DataFrame:
@@ -159,11 +210,13 @@ def identify(df: DataFrame, samples, text="text", keep=None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         parse = parser(shared.value).parse
-        for b in batches:
-            found = [parse(t or "") for t in b.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*names, "lang_pred", "score"])
+        for big in batches:
+            for lo in range(0, big.num_rows, BESIDE):
+                b = big.slice(lo, BESIDE)
+                found = parse(b.column(len(names)).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                    [*names, "lang_pred", "score"])
 
     return rows.mapInArrow(run, T.StructType([
         *rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
