@@ -1,6 +1,7 @@
 """Helpers shared by the operators: shared folder, written intermediates, text columns, Arrow batches."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,6 +29,31 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept_rows(df: DataFrame, decided: DataFrame, keys: dict, best: Column) -> DataFrame:
+    """The rows of ``df`` that stay, one for each key that does.
+
+    ``decided`` holds every key of ``df`` once, with ``stays`` and the number ``n`` of its rows; ``keys`` gives a key's
+    columns as expressions over ``df``. Of several rows under a key that stays, the one with the greatest ``best``
+    does; of rows alike in that, any one. Rows under a key of their own are never grouped: they pass an anti join.
+    """
+    def told(rows):
+        return rows.select(*[F.col(k).alias(f"_decided_{k}") for k in keys])
+
+    def same(other):
+        return reduce(lambda a, b: a & b, [c.eqNullSafe(other[f"_decided_{k}"]) for k, c in keys.items()])
+
+    off = told(decided.filter(~F.col("stays") | (F.col("n") > 1)))
+    alone = df.join(off, same(off), "left_anti")
+    again = told(decided.filter(F.col("stays") & (F.col("n") > 1)))
+    if again.isEmpty():
+        return alone
+    # folds map-side, so that a row repeated in a third of the table is no single group of rows
+    folded = (df.join(again, same(again), "left_semi")
+              .select(*[c.alias(f"_decided_{k}") for k, c in keys.items()], best.alias("_best"), F.struct(*df.columns).alias("_row"))
+              .groupBy(*[f"_decided_{k}" for k in keys]).agg(F.max_by("_row", "_best").alias("_row")))
+    return alone.unionByName(folded.select(*[F.col("_row")[c].alias(c) for c in df.columns]))
+
+
 def text_of(name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -15,7 +15,7 @@ columns, whatever their names, aren't read. An empty table gives an empty result
 
 from pyspark.sql import DataFrame, functions as F
 
-from homestream.llm.common import utf8, written
+from homestream.llm.common import kept_rows, text_of, utf8, written
 
 #: Fixed value: the deleted characters.
 WHITE = bytes(range(9, 14)) + b" "
@@ -111,6 +111,16 @@ def exact_duplicates(df: DataFrame, doc_id="doc_id", text="text", partitions=Non
 
 
 def drop_duplicates(df: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """The rows of ``df`` that stay, all columns. Of rows that repeat the kept identifier all stay."""
-    kept = exact_duplicates(df, doc_id, text).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return df.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows of ``df`` that stay, one of each group of equal texts, all columns.
+
+    Decided by identifier and text, so neither a repeated identifier nor a row repeated whole keeps a copy or loses a
+    text. Of rows that share the kept identifier the one with the most code points stays, then the greatest text.
+    """
+    found = exact_duplicates(df, doc_id, text)
+    decided = written(found.groupBy("doc_id", "text_sha256").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("kept").alias("stays")), "exact-decisions")
+    whole = text_of(text)
+    # the same normalised bytes as above, by built-in functions
+    sha = F.sha2(F.translate(whole, WHITE.decode(), "").cast("binary"), 256)
+    return kept_rows(df, decided, {"doc_id": F.col(doc_id).cast("long"), "text_sha256": sha},
+                     F.struct(F.char_length(whole), whole))

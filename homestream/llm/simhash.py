@@ -32,7 +32,7 @@ component's name unless its whole component has none. Repeated rows fold; other
 
 from pyspark.sql import DataFrame, functions as F
 
-from homestream.llm.common import drop_written, utf8, written
+from homestream.llm.common import drop_written, kept_rows, utf8, written
 from homestream.llm.components import components
 
 SEED = 42
@@ -438,19 +438,19 @@ def _confirmed(df: DataFrame, text, words, classes: DataFrame, roots: DataFrame,
     return first.unionByName(_cells(as_rest.select(*out).unionByName(as_any.select(*out)), similarity, agree))
 
 
-def near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=4, limit=4, agree=0, prints=1, similarity=0) -> DataFrame:
-    """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id (smallest reachable).
-
-    With ``similarity``, which needs ``agree``, links are confirmed by the shingle sets of the texts.
-    """
+def _labelled(df: DataFrame, doc_id, text, words, limit, agree, prints, similarity, hashed) -> DataFrame:
+    """One row per row of ``df``: doc_id, h if ``hashed``, fp, and of its component the smallest identifier (``none``:
+    there is none) with, if ``hashed``, the smallest text hash under it (``first``)."""
     if similarity and not agree:
         raise ValueError("similarity needs agree")
-    found = written(fingerprints(df, doc_id, text, words, agree > 0, prints, similarity > 0), "fingerprints")
+    hashed = hashed or similarity > 0
+    found = written(fingerprints(df, doc_id, text, words, agree > 0, prints, hashed), "fingerprints")
     # texts of one fingerprint are one class; where links are checked, those with all fingerprints, sketch and set equal
     same = [c for c in found.columns[1:] if c != "h"] if agree else ["fp"]
     more = [c for c in found.columns[1:] if c not in same]
     one = [F.min(F.struct(*more)).alias("one")] if more else []
-    classes = found.groupBy(*same).agg(F.min("doc_id").alias("first"), *one)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *["h"] * hashed)
+    classes = found.groupBy(*same).agg(F.min(first).alias("first"), *one)
     node = F.monotonically_increasing_id() if agree else F.col("fp")
     # written, so that a number stays with its class
     classes = written(classes.select(node.alias("node"), *same, "first", *(f"one.{c}" for c in more)), "fingerprint-classes")
@@ -460,21 +460,33 @@ def near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=4, limit=
         roots = components(sure).withColumnRenamed("node", "_node")
     named = classes.join(roots, F.col("node") == F.col("_node"), "left").select(
         *same, F.coalesce("root", "node").alias("root"), "first")
-    low = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(low, "root").select(*same, "component_id")
-    return found.join(label, same).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    low = named.groupBy("root").agg(F.min("first").alias("first"))
+    label = named.drop("first").join(low, "root").select(*same, "first")
+    return found.join(label, same).select("doc_id", *["h"] * hashed, "fp", "first")
+
+
+def near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=4, limit=4, agree=0, prints=1, similarity=0) -> DataFrame:
+    """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id (smallest reachable).
+
+    With ``similarity``, which needs ``agree``, links are confirmed by the shingle sets of the texts.
+    """
+    return _labelled(df, doc_id, text, words, limit, agree, prints, similarity, False).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, doc_id="doc_id", text="text", words=5, limit=9, agree=AGREE, prints=4,
                          similarity=0.8) -> DataFrame:
-    """One document of each component stays, the one with the smallest identifier; all columns.
+    """One document of each component stays, the one with the smallest identifier (null last); all columns.
 
     Five-word shingles; ``limit`` 9 of 64 bits in one of ``prints`` fingerprints proposes pairs, sketches leave out
     those far below, and the shingle sets decide: no pair below ``similarity`` links. Of pairs at 0.8 about nine in
     ten are proposed, at 0.85 and more nearly all. A component may hold pairs below it that a chain of links joins.
-    Rows without an identifier stay.
+    Decided by identifier and text (its hash), so another text under the identifier of a near copy stays, and of near
+    copies under one identifier, or of a row repeated whole, one does.
     """
-    found = near_duplicates(df, doc_id, text, words, limit, agree, prints, similarity)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    found = _labelled(df, doc_id, text, words, limit, agree, prints, similarity, True)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    decided = written(found.groupBy("doc_id", "h").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value(stays).alias("stays")), "near-decisions")
+    whole = F.col(text).cast("string")
+    return kept_rows(df, decided, {"doc_id": F.col(doc_id).cast("long"), "h": F.xxhash64(whole)}, whole)
