@@ -75,9 +75,17 @@ def latest_documents(docs: DataFrame, doc_id="doc_id", order=("window_start",))
 
 
 def index_latest(target: DataFrame, docs: DataFrame, doc_id="doc_id", order=("window_start",)) -> DataFrame:
-    """Last write wins per document id; incoming documents replace stored ones."""
-    new = latest_documents(docs, doc_id, order)
-    return target.join(new.select(doc_id), doc_id, "left_anti").unionByName(new)
+    """Last write wins per document id; incoming documents replace stored ones.
+
+    One fold over both: a stored document is older than any incoming one, so the incoming rows are worked out once.
+    """
+    order = cols(order)
+    body = [c for c in target.columns if c != doc_id]
+    stored = target.select(doc_id, F.lit(False).alias("_new"), *[F.lit(None).cast(docs.schema[o].dataType).alias(f"_o_{o}") for o in order], *body)
+    new = docs.select(doc_id, F.lit(True).alias("_new"), *[F.col(o).alias(f"_o_{o}") for o in order], *body)
+    latest = stored.unionByName(new).groupBy(doc_id).agg(
+        F.max_by(F.struct(*body), F.struct("_new", *[f"_o_{o}" for o in order])).alias("_d"))
+    return latest.select(*[F.col(c) if c == doc_id else F.col(f"_d.{c}").alias(c) for c in target.columns])
 
 
 def fan_rows(changes: DataFrame) -> DataFrame:

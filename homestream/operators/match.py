@@ -8,7 +8,8 @@ Two exact plans with the same answer:
   pivot, ring of distance to it. By the triangle inequality a probe can only match in blocks whose
   ring reaches within the tolerance of the probe's own pivot distance, so only these (probe, block)
   meetings are shuffled. Each meeting yields at most one row per probe, its best in that block, and
-  the best of all blocks is an aggregate that combines map-side.
+  the best of all blocks is an aggregate that combines map-side. A block travels once; only one that a sample
+  of the probes shows to attract very many gets copies, over which its visitors are dealt.
 """
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -23,6 +24,7 @@ UNKNOWN = "Unknown"
 BROADCAST_BYTES = 64 << 20 # vectors and names of a gallery that travels whole
 BLOCK_ROWS = 8_192         # gallery vectors per block
 PROBE_ROWS = 65_536        # probes that meet one copy of a block
+SAMPLE = 64                # one in so many probes tells how many visit each block
 PIVOTS = 128
 RINGS = 8
 _SLACK = 1e-9              # covers rounding in the bounds; never decides a match
@@ -103,7 +105,7 @@ def _hits(batch, keys, vector, gallery, names, idx, tolerance, keep_all):
 
 def nearest_match(probes: DataFrame, gallery: DataFrame, keys="probe_id", tolerance=TOLERANCE,
                   unknown=UNKNOWN, vector="encoding", broadcast_bytes=BROADCAST_BYTES,
-                  block_rows=BLOCK_ROWS, probe_rows=PROBE_ROWS) -> DataFrame:
+                  block_rows=BLOCK_ROWS, probe_rows=PROBE_ROWS, sample=SAMPLE) -> DataFrame:
     """(keys, name, gallery_idx, distance, confidence): one row per probe.
 
     The nearest gallery row wins, ties go to the lowest ``gallery_idx``. Farther than ``tolerance``,
@@ -116,7 +118,7 @@ def nearest_match(probes: DataFrame, gallery: DataFrame, keys="probe_id", tolera
     if broadcast_bytes and _size(gallery) <= broadcast_bytes:
         found = _against_broadcast(probes, gallery.toArrow(), keys, tolerance)
     else:
-        found = _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows)
+        found = _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows, sample)
     return found.select(
         *keys, F.coalesce("name", F.lit(unknown)).alias("name"), "gallery_idx", "distance",
         F.when(F.col("distance").isNotNull(), 1 - F.col("distance")).otherwise(0.0).alias("confidence"),
@@ -153,7 +155,9 @@ def _against_broadcast(probes, head, keys, tolerance):
     return probes.mapInArrow(run, _schema(probes, keys))
 
 
-def _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows):
+def _meetings(probes, gallery, keys, tolerance, block_rows, probe_rows, sample):
+    """(probes by the blocks they visit, gallery rows by block), both with _block, _split and _slot; None for an empty
+    gallery."""
     import numpy as np
     # copies of a vector fold into the one with the lowest index before anything else
     distinct = gallery.groupBy("_vec").agg(F.min(F.struct("gallery_idx", "name")).alias("_g")).select(
@@ -163,9 +167,7 @@ def _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows):
     pivots = _matrix(distinct.orderBy(F.xxhash64("gallery_idx"), "gallery_idx").limit(PIVOTS).select("_vec")
                      .toArrow().column("_vec"))
     if not len(pivots):
-        return probes.select(*keys, F.lit(None).cast("string").alias("name"),
-                             F.lit(None).cast("long").alias("gallery_idx"),
-                             F.lit(None).cast("double").alias("distance"))
+        return None
 
     def to_cell(batches):
         import pyarrow as pa
@@ -196,13 +198,6 @@ def _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows):
     ids = F.create_map(*[x for i, r in enumerate(stats)
                          for x in (F.lit(r["_cell"] * RINGS + r["_ring"]), F.array(F.lit(i), F.lit(int(splits[i]))))])
     entry = ids[F.col("_cell") * RINGS + F.col("_ring")]
-    slots = max(1, -(-probes.count() // probe_rows))
-    blocks = (
-        ringed.withColumn("_e", entry)
-        .select(F.col("_e")[0].alias("_block"), F.expr("cast(pmod(xxhash64(gallery_idx), _e[1]) as int)").alias("_split"),
-                "gallery_idx", "name", "_vec",
-                F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("_slot"))
-    )
 
     def to_blocks(batches):
         import pyarrow as pa
@@ -225,9 +220,33 @@ def _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows):
                          pa.array(split[s:s + 8192].astype(np.int32))],
                         names=[*take.schema.names, "_block", "_split"])
 
-    visits = probes.withColumn("_slot", F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {slots}) as int)")).mapInArrow(
-        to_blocks, T.StructType([*probes.schema.fields, T.StructField("_slot", T.IntegerType()),
-                                 T.StructField("_block", T.IntegerType()), T.StructField("_split", T.IntegerType())]))
+    layout = T.StructType([*probes.schema.fields, T.StructField("_block", T.IntegerType()), T.StructField("_split", T.IntegerType())])
+    # how many probes visit each block, at most PIVOTS x RINGS rows; it only decides where rows go
+    counted = (probes.filter(F.pmod(F.xxhash64(*keys), F.lit(sample)) == 0).mapInArrow(to_blocks, layout)
+               .filter("_split = 0").groupBy("_block").count().collect())
+    busy = {r["_block"]: -(-r["count"] * sample // probe_rows) for r in counted}
+    busy = {b: n for b, n in busy.items() if n > 1}
+    slots = F.lit(1)
+    if busy:
+        table = F.create_map(*[x for b, n in sorted(busy.items()) for x in (F.lit(b), F.lit(n))])
+        slots = F.coalesce(F.try_element_at(table, F.col("_block")), F.lit(1))
+    visits = probes.mapInArrow(to_blocks, layout).withColumn("_slot", F.pmod(F.xxhash64(*keys, F.lit(1)), slots).cast("int"))
+    blocks = (
+        ringed.withColumn("_e", entry)
+        .select(F.col("_e")[0].alias("_block"), F.expr("cast(pmod(xxhash64(gallery_idx), _e[1]) as int)").alias("_split"),
+                "gallery_idx", "name", "_vec")
+        .withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+    )
+    return visits, blocks
+
+
+def _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows, sample):
+    none = probes.select(*keys, F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("gallery_idx"),
+                         F.lit(None).cast("double").alias("distance"))
+    met = _meetings(probes, gallery, keys, tolerance, block_rows, probe_rows, sample)
+    if met is None:
+        return none
+    visits, blocks = met
 
     def meet(left, right):
         import pyarrow as pa
@@ -244,9 +263,7 @@ def _against_blocks(probes, gallery, keys, tolerance, block_rows, probe_rows):
     schema = _schema(probes, keys)
     matches = visits.groupBy(*group).cogroup(blocks.groupBy(*group)).applyInArrow(meet, schema)
     # a probe without any match keeps its row: the placeholder sorts behind every match
-    every = matches.unionByName(probes.select(
-        *keys, F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("gallery_idx"),
-        F.lit(None).cast("double").alias("distance")))
+    every = matches.unionByName(none)
     best = F.min_by(F.struct("name", "gallery_idx", "distance"),
                     F.struct(F.coalesce("distance", F.lit(float("inf"))), "gallery_idx"))
     return every.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.name", "_b.gallery_idx", "_b.distance")

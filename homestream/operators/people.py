@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from homestream.operators.timeline import number_all
 from homestream.schemas import GALLERY
 
 IMAGES_PER_PERSON = 5
@@ -73,13 +74,27 @@ def encode_images(images: DataFrame, encode_fn) -> DataFrame:
         run, "path string, name string, face_no long, encoding array<float>, error string")
 
 
-def rebuild_gallery(encoded: DataFrame) -> DataFrame:
-    """Gallery rows of all encoded faces, numbered in path order (the order that settles ties).
+def unseen_images(images: DataFrame, seen: DataFrame) -> DataFrame:
+    """One image (digest, path, content) of each content that ``seen`` (digest) doesn't hold.
 
-    The number only has to be increasing: it is the rank prefix of a range sort, so nothing is
-    gathered into one task.
+    Which image stands for a content is settled on narrow rows; only what is left is read with its content.
     """
-    faces = encoded.filter("error IS NULL").repartitionByRange("path", "face_no").sortWithinPartitions("path", "face_no")
-    return faces.select(
-        "name", F.monotonically_increasing_id().alias("gallery_idx"), "encoding"
-    ).to(GALLERY)
+    known = with_digest(images)
+    chosen = known.groupBy("digest").agg(F.min("path").alias("path")).join(seen.select("digest"), "digest", "left_anti")
+    return known.join(chosen, ["digest", "path"], "left_semi").dropDuplicates(["digest"])
+
+
+def with_digest(images: DataFrame) -> DataFrame:
+    return images.withColumn("digest", F.unhex(F.sha2(F.coalesce("content", F.lit(b"")), 256)))
+
+
+def encodings_of(images: DataFrame, encodings: DataFrame) -> DataFrame:
+    """(path, name, face_no, encoding, error) of every image by its content's encodings (digest, face_no, encoding, error)."""
+    rows = with_digest(with_label(images)).select("path", "name", "digest")
+    return rows.join(encodings, "digest").select("path", "name", "face_no", "encoding", "error")
+
+
+def rebuild_gallery(encoded: DataFrame) -> DataFrame:
+    """Gallery rows of all encoded faces, numbered in path order (the order that settles ties)."""
+    faces = encoded.filter("error IS NULL").select("path", "face_no", "name", "encoding")
+    return number_all(faces, ["path", "face_no"], "gallery_idx").select("name", "gallery_idx", "encoding").to(GALLERY)

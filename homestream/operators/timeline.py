@@ -18,6 +18,7 @@ no use for them; :func:`with_key` wraps the key in a struct, which is never null
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from homestream.functions.columns import duration_micros
+from homestream.session import cut_lineage
 
 CHUNK = "_chunk"
 KEY = "_key"
@@ -159,3 +160,17 @@ def number_rows(df: DataFrame, key, order, out, chunk=DEFAULT_WIDTH) -> DataFram
         .withColumn(out, F.col(out) + F.coalesce("_skip", F.lit(0)))
         .select(*df.columns, out)
     )
+
+
+def number_all(df: DataFrame, order, out) -> DataFrame:
+    """0-based position of each row in the whole table by ``order``, which must be unique.
+
+    A range shuffle sorts, rows are numbered inside their parts, and each part adds the sizes of those before it: a
+    table with one row for each partition.
+    """
+    at, part = "_at", F.shiftright("_at", 33)
+    rows = cut_lineage(df.repartitionByRange(*cols(order)).sortWithinPartitions(*cols(order)).withColumn(at, F.monotonically_increasing_id()))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    place = F.col("_first") + F.col(at) - F.shiftleft(part, 33)
+    return rows.join(F.broadcast(first), part == F.col("_part")).select(*df.columns, place.alias(out))

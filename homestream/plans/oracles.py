@@ -277,6 +277,21 @@ BODIES = {
 
 BODIES["stream_light_merge_existing"] = BODIES["light_state_merge_existing"]
 BODIES["stream_confirm_runs"], BODIES["stream_carry_forward"] = BODIES["confirm_runs"], BODIES["carry_forward"]
+BODIES["temp_window_user_avg"] = BODIES["temp_window_avg"]
+BODIES["temp_window_extremes"] = f"""SELECT id, {_time('ws', 'window_start')}, min(v) AS low, max(v) AS high,
+  arg_min("timestamp", (-v, "timestamp")) AS high_at FROM temp_avg2h_w GROUP BY id, ws"""
+BODIES["gallery_retrained"] = """SELECT name, row_number() OVER (ORDER BY path, face) - 1 AS gallery_idx,
+  CAST(length(part) - length(replace(part, 'a', '')) AS DOUBLE) AS n_a, CAST(length(part) - length(replace(part, 'e', '')) AS DOUBLE) AS n_e,
+  CAST(length(part) AS DOUBLE) AS size
+  FROM (SELECT name, path, face, substr(text, 2000 * face + 1, 2000) AS part FROM (
+    SELECT lang AS name, 'dataset/' || lang || '/' || doc_id || '.jpg' AS path, text,
+      unnest(range(0, (length(text) + 1999) // 2000)) AS face FROM documents WHERE lang <> 'fr'))"""
+BODIES["stream_routed_records"] = """SELECT 'led_schema' AS topic, device, f_click AS "first", CAST(NULL AS DOUBLE) AS "second", usr AS name, "timestamp" AS stamp
+  FROM snapshot WHERE f_click IS NOT NULL
+  UNION ALL SELECT 'fan_schema', device, f_click, f_view, usr, "timestamp" FROM snapshot WHERE f_click IS NOT NULL AND f_view IS NOT NULL
+  UNION ALL SELECT 'door_schema', device, f_purchase, f_signup, usr, "timestamp" FROM snapshot WHERE f_purchase IS NOT NULL AND f_signup IS NOT NULL
+  UNION ALL SELECT 'tem_schema', device, CAST(CAST(f_error AS FLOAT) AS DOUBLE), NULL, usr, "timestamp" FROM snapshot WHERE f_error IS NOT NULL
+  UNION ALL SELECT 'hum_schema', device, CAST(CAST(f_view AS FLOAT) AS DOUBLE), NULL, usr, "timestamp" FROM snapshot WHERE f_view IS NOT NULL"""
 # no window says this one: each step looks for the next row that differs from the last kept one
 BODIES["changes_two_nullable"] = BODIES["stream_changes_two_nullable"] = """SELECT * EXCLUDE (event_ts, n) FROM (
   WITH RECURSIVE doors AS (SELECT *, row_number() OVER (PARTITION BY id_door ORDER BY event_ts, seq) AS n FROM door WHERE id_door IS NOT NULL),

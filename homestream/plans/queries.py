@@ -5,16 +5,18 @@ inside the operators.
 """
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from homestream.functions.columns import speed_value, status_flag, zip_to_map
 from homestream.operators import (
-    changes, clean, commands, documents, feeds, frames, keyed, match, people, readings, timeline, wire,
+    aggregate, changes, clean, commands, documents, feeds, frames, keyed, match, people, readings, timeline, wire,
 )
 from homestream.plans import views
 from homestream.session import cut_lineage, shared_dir
-from homestream.streaming import changes as stream_changes, pipeline
+from homestream.sources import people as gallery
+from homestream.streaming import changes as stream_changes, pipeline, sinks
 from homestream.schemas import (
     CONTROL_LOG, DOCUMENT, FAN_STATE, KINDS, LIGHT_STATE, LOCK_STATE, READING_LOG,
 )
@@ -263,11 +265,18 @@ def _snapshot(s, d):
     names = ("click", "view", "purchase", "signup", "error")
     pairs = feeds.pair_feeds(feeds.latest_per_feed(rows), feeds=names, names=[f"f_{n}" for n in names])
     seen = rows.groupBy("key").agg(F.max("ts").alias("ts"))
-    return pairs.join(seen, "key").withColumns({
+    return pairs.join(seen, "key").withColumns(_users())
+
+
+def _users():
+    return {
         "device": F.concat(F.lit("dev-"), F.col("key").cast("string")),
         "user": F.concat(F.lit("user-"), F.col("key").cast("string")),
         "pass": F.concat(F.lit("pw-"), (F.col("key") % 3).cast("string")),
-    })
+    }
+
+
+RECORD_FEEDS = {"led": ["click"], "fan": ["click", "view"], "door": ["purchase", "signup"], "temperature": ["error"], "humidity": ["view"]}
 
 
 def _record(kind, *fields):
@@ -316,6 +325,70 @@ def _documents(kind):
     return run
 
 
+def _user_average(s, d):
+    a = aggregate.sliding_aggregate(readings.to_reading(cleaned("temperature")(s, d), "temperature"), aggregate.average())
+    return a.select("id", _text("window_start"), _text("window_end"), "avg_value", "readings", "name", "password", "timestamp")
+
+
+def temp_window_extremes(s, d):
+    """An aggregate that the library doesn't have: lowest, highest and the highest's wire time, by window."""
+    def add(acc, r):
+        if r["value"] is None:
+            return acc
+        v, at = r["value"], r["timestamp"]
+        return merge(acc, (v, v, at))
+
+    def merge(a, b):
+        if a is None or b is None:
+            return a or b
+        # of equal highest values the one with the smaller time
+        return (min(a[0], b[0]), *min(a[1:], b[1:], key=lambda x: (-x[0], x[1])))
+
+    extremes = aggregate.Aggregate(
+        create=lambda: None, add=add, merge=merge,
+        result=lambda a: dict(zip(("low", "high", "high_at"), a or (None, None, None))), schema="low double, high double, high_at string")
+    a = aggregate.sliding_aggregate(readings.to_reading(cleaned("temperature")(s, d), "temperature"), extremes, size="2 hours", slide="1 hour")
+    return a.select("id", _text("window_start"), "low", "high", "high_at")
+
+
+def _letters(content):
+    """A stand-in model: one face for each 2,000 characters begun, with counts of two letters and the size."""
+    text = bytes(content).decode()
+    parts = [text[i:i + 2000] for i in range(0, len(text), 2000)]
+    return [[float(p.count("a")), float(p.count("e")), float(len(p))] for p in parts]
+
+
+def gallery_retrained(s, d):
+    """From images to the gallery: all people, then without those of one language; nothing is encoded twice."""
+    out = shared_dir(s, "runs", uuid.uuid4().hex)
+    pictures = views.images(s, d, content=True)
+    store = gallery.EncodingStore(s, f"{out}/encodings")
+    gallery.retrain(pictures, _letters, store, f"{out}/gallery")
+    left = gallery.remove_people(pictures, ["fr"], _letters, store, f"{out}/gallery")
+    return left.select("name", "gallery_idx", *[F.col("encoding")[i].cast("double").alias(c) for i, c in enumerate(("n_a", "n_e", "size"))])
+
+
+def stream_routed_records(s, d):
+    """Feed values as a stream: latest, pairs, complete records, topics. The last record of each device and topic."""
+    out = shared_dir(s, "runs", uuid.uuid4().hex)
+    rows = views.feed_stream(s, d)
+    commits = sinks.Commits(s, f"{out}/_commits")
+    log = sinks.RoutedLog(s, f"{out}/topics", commits)
+    state = pipeline.device_records(s, out, rows.schema, {"feeds": RECORD_FEEDS, "columns": _users()}, commits)
+    _run(rows, pipeline.route(state, log, commits), f"{out}/checkpoint", s, d).awaitTermination()
+    parts = []
+    for kind, wanted in RECORD_FEEDS.items():
+        k = KINDS[kind]
+        r = log.read(k.topic).select("topic", "batch_id", F.from_json("value", k.schema).alias("r"))
+        second = {"fan": "bbc_control_fan", "door": "bbc_password"}.get(kind)
+        values = [c for c in k.schema.fieldNames() if c not in (k.key, "bbc_name", "bbc_password", "timestamp", second)]
+        parts.append(r.select("topic", "batch_id", F.col(f"r.{k.key}").alias("device"), F.col(f"r.{values[0]}").cast("double").alias("first"),
+                              (F.col(f"r.{second}").cast("double") if second else F.lit(None).cast("double")).alias("second"),
+                              F.col("r.bbc_name").alias("name"), F.col("r.timestamp").alias("stamp")))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    return every.groupBy("topic", "device").agg(F.max_by(F.struct("first", "second", "name", "stamp"), "batch_id").alias("r")).select("topic", "device", "r.*")
+
+
 def training_run(s, d):
     """Every document taken as a person's picture; the stand-in model sees its bytes."""
     def encode(content):
@@ -494,6 +567,10 @@ QUERIES = {
     "frame_schema_id": frame_schema_id,
     "wire_round_trip_fan": _wire_round_trip("fan"),
     "wire_round_trip_temp": _wire_round_trip("temperature"),
+    "temp_window_user_avg": _user_average,
+    "temp_window_extremes": temp_window_extremes,
+    "gallery_retrained": gallery_retrained,
+    "stream_routed_records": stream_routed_records,
     "changes_two_nullable": changes_two_nullable,
     "stream_changes_two_nullable": stream_changes_two_nullable,
     "stream_confirm_runs": stream_confirm_runs,

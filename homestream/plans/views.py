@@ -161,6 +161,10 @@ def feeds(spark, sf_dir):
     )
 
 
+def feed_stream(spark, sf_dir):
+    return staged(feeds(spark, sf_dir), "ts", "seq")
+
+
 def uploads(spark, sf_dir):
     """One upload request per user and day, so request sizes vary."""
     return _events(spark, sf_dir).select(

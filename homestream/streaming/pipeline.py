@@ -7,10 +7,10 @@ All tables of a root folder share one commit record: a micro-batch counts in all
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from homestream.operators import clean, keyed, readings
+from homestream.operators import clean, feeds, keyed, readings
 from homestream.operators.changes import ORDER
 from homestream.schemas import (
     CONTROL_LOG, DOCUMENT, FAN_STATE, KINDS, LIGHT_STATE, LOCK_STATE, READING_LOG,
@@ -18,7 +18,8 @@ from homestream.schemas import (
 from homestream.session import shared_dir
 from homestream.streaming.changes import ChangeFilter
 from homestream.streaming.index import DocumentIndex
-from homestream.streaming.sinks import AppendLog, Commits, KeyedTable, run_of
+from homestream.streaming.sinks import AppendLog, Commits, KeyedTable, RoutedLog, run_of
+from homestream.streaming.state import KeyedState
 
 STATE_TABLES = {
     "fan": ("Fan", FAN_STATE, keyed.fan_rows),
@@ -145,6 +146,52 @@ def start_device(df: DataFrame, kind, tables: Tables, checkpoint=None, trigger=C
                  state_partitions=state_partitions)
 
 
+def start_external(df: DataFrame, name, write, options, checkpoint=None, trigger=None):
+    """A stream into an external sink, by the sink's options: a micro-batch each ``interval``, written by ``write(batch)``
+    with at most ``parallelism`` tasks. Every batch is offered once more after a failure, so the sink must be keyed."""
+    return start(df, name, lambda batch, _: write(batch.coalesce(options.parallelism)), checkpoint, trigger or options.interval)
+
+
+def device_records(spark, root, rows, users, commits=None):
+    """Feed values -> latest of each feed -> pairs -> complete records -> topics, micro-batch by micro-batch.
+
+    The state is the latest value of each (key, feed). A micro-batch's output is a record (topic, value as JSON) of each
+    kind for the keys it touched whose feeds are all known. ``rows``: schema of (key, feed, value, ts, seq); ``users``:
+    kind -> feeds in order, and the columns of device, name and password as expressions over the key.
+    """
+    key, order = ["key", "feed"], ("ts", "seq")
+
+    def step(batch, state):
+        both = state.unionByName(batch.select(state.columns))
+        after = both.groupBy(*key).agg(F.max_by(F.struct("value", *order), F.struct(*order)).alias("_l")).select(*key, "_l.*")
+        names = sorted({f for feeds_ in users["feeds"].values() for f in feeds_})
+        touched = batch.select("key").distinct()
+        snapshot = feeds.pair_feeds(after.join(touched, "key", "left_semi"), feeds=names, names=[f"f_{n}" for n in names])
+        seen = batch.groupBy("key").agg(F.max("ts").alias("ts"))
+        snapshot = snapshot.join(seen, "key").withColumns(users["columns"])
+        out = None
+        for kind, wanted in users["feeds"].items():
+            record = feeds.assemble_device_record(snapshot, kind, "device", [f"f_{f}" for f in wanted], "user", "pass", "ts")
+            part = feeds.with_topic(record.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*record.columns), {"ignoreNullFields": "false"}).alias("value")))
+            out = part if out is None else out.unionByName(part)
+        return out.select("topic", "value"), after
+
+    return KeyedState(spark, f"{root}/latest", rows, key, ["value", *order], step, ts="ts", commits=commits)
+
+
+def route(state: KeyedState, log: RoutedLog, commits: Commits):
+    """foreachBatch writer of :func:`device_records`: state and records count together."""
+    def write(batch, batch_id):
+        run = run_of(batch)
+        batch = batch.persist()
+        try:
+            log.write(state.advance(batch, batch_id, run), batch_id, run)
+            commits.record(run, batch_id)
+        finally:
+            batch.unpersist()
+    return write
+
+
 def start_quarantine(df: DataFrame, kind, path, checkpoint=None, trigger=CHECKPOINT_EVERY):
     """Second reader of a source that files its rejects, row and reason, below ``path``."""
     rejects = clean.rejected(validated(df, kind, on_error="quarantine"))

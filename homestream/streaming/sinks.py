@@ -64,7 +64,7 @@ class KeyedTable:
     """
 
     def __init__(self, spark, path, schema, keep=10, commits: Commits = None):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, max(keep, 2)
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, max(keep, 1)
         self.commits = commits
 
     def _done(self):
@@ -195,9 +195,35 @@ class AppendLog:
         self.append(absent_rows(target, rows, keys, order), batch_id, source, run)
 
 
+class RoutedLog:
+    """Records by topic, a folder tree in place of a broker: ``topic=/run=/batch_id=``. A replay overwrites the parts of
+    its micro-batch and nothing else; with ``commits`` only recorded micro-batches are read."""
+
+    def __init__(self, spark, path, commits: Commits = None):
+        self.spark, self.path, self.commits = spark, path.rstrip("/"), commits
+        self.schema = "value string, topic string, run string, batch_id bigint"
+
+    def write(self, records: DataFrame, batch_id, run="stream"):
+        """``records``: topic and value. Records of no topic have no reader and are left out."""
+        (records.filter("topic IS NOT NULL").select("value", "topic", F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch_id"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("topic", "run", "batch_id").parquet(self.path))
+
+    def read(self, topic=None) -> DataFrame:
+        if not any(n.startswith("topic=") for n in _children(self.spark, self.path)):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        if self.commits is not None:
+            counts = F.lit(False)
+            for run, batch in self.commits.last().items():
+                counts = counts | ((F.col("run") == run) & (F.col("batch_id") <= batch))
+            rows = rows.filter(counts)
+        return rows if topic is None else rows.filter(F.col("topic") == topic)
+
+
 @dataclass(frozen=True)
 class SinkOptions:
-    """Batching of external sinks. Retries are Spark task retries (spark.task.maxFailures)."""
+    """Batching of external sinks. ``interval`` is the trigger of a stream that feeds one, see
+    :func:`homestream.streaming.pipeline.start_external`. Retries are Spark task retries (spark.task.maxFailures)."""
 
     batch_size: int = 1000
     interval: str = "5 seconds"
@@ -210,9 +236,6 @@ class SinkOptions:
     def index(self):
         return {"es.batch.size.entries": str(self.batch_size), "es.batch.write.retry.count": str(self.max_retries)}
 
-    def session(self):
-        return {"spark.task.maxFailures": str(self.max_retries)}
-
 
 # The row-at-a-time database sink and the bulk index sink.
 ROW_SINK = SinkOptions(batch_size=1, interval="0 seconds", max_retries=5, parallelism=1)

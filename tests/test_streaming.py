@@ -286,3 +286,68 @@ def test_sinks(spark, tmp_path, capfd):
 def test_source_arguments(spark):
     with pytest.raises(ValueError):
         read_device_stream(spark, "led")
+
+
+def test_processing_time_windows(spark, tmp_path):
+    """By the wall clock each reading lands in the two windows around the moment it is worked off."""
+    path = feed(spark, tmp_path, "temperature", 3)
+    rows = {}
+
+    def take(batch, _):
+        rows.update({(r.id, r.window_start): r for r in batch.collect()})
+
+    averages = pipeline.device_rows(source(spark, "temperature", path), "temperature", time="processing")
+    before = time.time()
+    pipeline.start(averages, "wall", take, str(tmp_path / "cp"), trigger=None, output_mode="update").awaitTermination()
+    valid = readings.to_reading(pipeline.validated(read_device_table(spark, "temperature", path, SEQ), "temperature"), "temperature")
+    assert sum(r.readings for r in rows.values()) == 2 * valid.count()
+    assert {r.id for r in rows.values()} == {r.id for r in valid.select("id").distinct().collect()}
+    assert all(before - 240 <= r.window_start.timestamp() <= time.time() for r in rows.values())
+
+
+def test_external_sink_goes_by_its_options(spark, tmp_path):
+    path, parts = feed(spark, tmp_path, "led", 1), []
+    options = sinks.SinkOptions(interval="0 seconds", parallelism=2)
+    q = pipeline.start_external(source(spark, "led", path).repartition(5), "external", lambda b: parts.append((b.rdd.getNumPartitions(), b.count())), options, str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert parts == [(2, spark.read.parquet(path).count())]
+
+
+def test_routed_records_survive_a_stop(spark, tmp_path):
+    """Records of a topic count with their state: a query stopped before the commit shows none of the batch, and
+    resumed shows each once."""
+    schema = "key long, feed string, value double, ts timestamp, seq long"
+    path = str(tmp_path / "in")
+    for i, rows in enumerate([[(1, "a", 1.0), (2, "a", 5.0)], [(1, "b", 2.0)], [(1, "a", 3.0), (2, "b", 6.0)]]):
+        spark.createDataFrame([(*r, None, i * 10 + n) for n, r in enumerate(rows)], schema).withColumn(
+            "ts", F.timestamp_seconds(F.col("seq") + 1704067200)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    users = {"feeds": {"led": ["a"], "fan": ["a", "b"]}, "columns": {
+        "device": F.col("key").cast("string"), "user": F.lit("u"), "pass": F.lit("p")}}
+    commits = sinks.Commits(spark, str(tmp_path / "commits"))
+    log = sinks.RoutedLog(spark, str(tmp_path / "topics"), commits)
+    state = pipeline.device_records(spark, str(tmp_path), stream.schema, users, commits)
+    write, failing = pipeline.route(state, log, commits), [True]
+
+    def once(batch, batch_id):
+        if batch_id == 1 and failing:
+            failing.pop()
+            log.write(state.advance(batch, batch_id), batch_id, sinks.run_of(batch))
+            raise RuntimeError("stopped before the commit")
+        write(batch, batch_id)
+
+    def run():
+        pipeline.start(stream, "routed", once, str(tmp_path / "cp"), trigger=None).awaitTermination()
+
+    def shown(kind):
+        k = KINDS[kind]
+        rows = log.read(k.topic).select("batch_id", F.from_json("value", k.schema).alias("r")).select("batch_id", "r.*")
+        return sorted((r.batch_id, r[k.key], r.bbc_fan if kind == "fan" else r.bbc_led) for r in rows.collect())
+
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert shown("led") == [(0, "1", "1.0"), (0, "2", "5.0")] and shown("fan") == []
+    run()
+    assert shown("led") == [(0, "1", "1.0"), (0, "2", "5.0"), (1, "1", "1.0"), (2, "1", "3.0"), (2, "2", "5.0")]
+    assert shown("fan") == [(1, "1", "1.0"), (2, "1", "3.0"), (2, "2", "5.0")]
