@@ -23,7 +23,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from homestream.llm.bytebpe import LONGEST, REMEMBERED
+from homestream.llm.bytebpe import LONGEST, REMEMBERED, plain, words_of
 from homestream.llm.common import shared_folder
 from homestream.llm.token_files import Encoder
 
@@ -80,36 +80,59 @@ class Plain(Encoder):
 
 
 class Words:
-    """B's ids of texts as packed little-endian 32-bit integers. The library sees each word once, many at a time.
+    """The ids of both tokenizers for texts, as packed little-endian 32-bit integers.
 
-    A word is what :func:`homestream.llm.pieces.words_of` cuts; the library puts the space mark in front itself.
+    Texts with single spaces and line feeds as their only white space are cut into words once, for A and B alike: neither
+    joins anything over those. The libraries see each word once, many at a time. Other texts go to each on their own.
     """
 
-    def __init__(self, path):
+    def __init__(self, a_path, b_path):
         from homestream.llm.pieces import Pieces
-        self.pieces, self.known = Pieces(path), {}
+        self.a, self.pieces = Plain(a_path), Pieces(b_path)
+        self.known_a, self.known_b = self.a.known, {}
         self.joins_lines = "\n" in self.pieces.chars
+        library = self.pieces.library
+        self.line, self.skip = self._ids(self.pieces.word("\n")), len(library.encode("\n"))
 
-    def _learn(self, words):
+    @staticmethod
+    def _ids(ids):
         import numpy as np
+        return np.array(ids, "<i4").tobytes()
+
+    def _learn(self, words):
+        """B's ids of words that follow a space or start with a line feed."""
         from homestream.llm.pieces import MARK
-        quick = [w for w in words if w[0] == MARK and len(w) > 1 and MARK not in w[1:] and "\0" not in w]
-        found = zip(quick, self.pieces.library.encode([w[1:] for w in quick]))
-        rest = ((w, self.pieces.word(w)) for w in {*words}.difference(quick))
-        return {w: np.array(ids, "<i4").tobytes() for w, ids in (*found, *rest)}
-
-    def encode(self, texts) -> list:
-        from homestream.llm.pieces import words_of
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [words_of(t, self.joins_lines) for t in texts]
-        new = {w for ws in cut for w in ws}.difference(self.known)
-        extra = self._learn(sorted(new)) if new else {}
-        self.known.update((w, ids) for w, ids in extra.items() if len(w) <= LONGEST)
-        long = {w: ids for w, ids in extra.items() if len(w) > LONGEST}
-        if not long:
-            return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
-        return [b"".join(self.known[w] if w in self.known else long[w] for w in ws) for ws in cut]
+        out = {}
+        spaced = [w for w in words if w[:1] != "\n" and w and MARK not in w and "\0" not in w]
+        out.update(zip(spaced, map(self._ids, self.pieces.library.encode(spaced))))
+        lines = [w for w in words if w[:1] == "\n" and MARK not in w and "\0" not in w]
+        # the library puts a space mark in front of the line feed: both are cut off, the line feed put back
+        out.update((w, self.line + self._ids(ids[self.skip:])) for w, ids in zip(lines, self.pieces.library.encode(lines)))
+        for w in words:
+            if w not in out:
+                out[w] = self.line + self._ids(self.pieces.word(w[1:])) if w[:1] == "\n" else self._ids(self.pieces.word(MARK + w))
+        return out
+
+    def encode(self, texts):
+        """(A's ids of a space and the text, B's ids of the text) of each text."""
+        if len(self.known_a) > REMEMBERED or len(self.known_b) > REMEMBERED:
+            self.known_a.clear()
+            self.known_b.clear()
+        cut = [None if self.joins_lines else words_of(" " + t) for t in texts]
+        new = {w for ws in cut if ws is not None for w in ws[1:]}
+        new_a, new_b = new.difference(self.known_a), new.difference(self.known_b)
+        long = {w for w in new_a | new_b if len(w) > LONGEST}
+        if short := sorted(new_a.difference(long)):
+            self.a._learn(short)
+        b = self._learn(sorted(new_b)) if new_b else {}
+        self.known_b.update((w, ids) for w, ids in b.items() if w not in long)
+        get_a, get_b = self.known_a.__getitem__, self.known_b.__getitem__
+        if long:
+            # worked out for these texts and forgotten
+            long_a = {w: self.a._ids(plain(w)).tobytes() for w in long}
+            get_a, get_b = (lambda w: long_a[w] if w in long else self.known_a[w]), (lambda w: b[w] if w in long else self.known_b[w])
+        return [(b"".join(map(get_a, ws[1:])), b"".join(map(get_b, ws[1:]))) if ws is not None
+                else (self.a._ids(" " + t).tobytes(), self._ids(self.pieces.whole(t))) for ws, t in zip(cut, texts)]
 
 
 class Aligner:
@@ -117,14 +140,14 @@ class Aligner:
         import numpy as np
 
         from homestream.llm.token_counts import byte_symbols
-        self.a, self.b = Plain(a_path), Words(b_path)
+        self.words = Words(a_path, b_path)
         back = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
-        vocab = self.a.library.get_vocab()
+        vocab = self.words.a.library.get_vocab()
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             # the content of a special token stands for itself
             self.a_bytes[i] = b"".join(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode()
-        sp = self.b.pieces.library
+        sp = self.words.pieces.library
         self.b_bytes = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(sp.get_piece_size())]
         self.a_size, self.b_size = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
@@ -138,9 +161,8 @@ class Aligner:
         import numpy as np
         some = [(i, t) for i, t in enumerate(texts) if t]
         whole = [(" " + t).encode() for _, t in some]
-        sides = []
-        for packed, size, every in ((self.a.encode([" " + t for _, t in some]), self.a_size, self.a_all),
-                                    (self.b.encode([t for _, t in some]), self.b_size, self.b_all)):
+        sides, both = [], self.words.encode([t for _, t in some])
+        for packed, size, every in (([a for a, _ in both], self.a_size, self.a_all), ([b for _, b in both], self.b_size, self.b_all)):
             ids = np.frombuffer(b"".join(packed), "<i4").astype(np.int64)
             n = np.array([len(p) // 4 for p in packed], np.int64)
             sides.append((ids, n, size, every))
