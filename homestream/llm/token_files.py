@@ -7,7 +7,7 @@ Spark writes to, and a lost task leaves nothing half-written. A segment decodes
 all ids follows from the sum of the parts before it, a table with one row per part.
 
 Null and empty texts have only the end id. A null identifier comes first; repeated identifiers are
-documents of their own, in the order of their texts' hashes. Other columns aren't read. An empty table
+documents of their own, in the order of a hash of their texts' beginnings, then of the texts. Other columns aren't read. An empty table
 makes a file without segments.
 """
 
@@ -65,24 +65,22 @@ class Encoder:
 
     def encode(self, texts) -> list:
         import numpy as np
-        if len(self.known) > WORDS:
-            self.known.clear()
+        known = self.known
+        if len(known) > WORDS:
+            known.clear()
         cut = [words_of(t) for t in texts]
-        get = self.known.get
-        parts = [None if ws is None else list(map(get, ws)) for ws in cut]
-        both = [(ws, part) for ws, part in zip(cut, parts) if ws is not None]
-        # a first word follows no space
-        for (_, part), e in zip(both, self.library.encode_batch_fast([ws[0] for ws, _ in both], add_special_tokens=False)):
-            part[0] = np.array(e.ids, "<u4").tobytes()
-        gaps = [(ws, part, [i for i, p in enumerate(part) if p is None]) for ws, part in both]
-        new = {ws[i] for ws, _, at in gaps for i in at}
+        both = [ws for ws in cut if ws is not None]
+        # a space at the end of a text follows nothing that could be cut off
+        known.setdefault("", self._ids(" ").tobytes())
+        new = set().union(*both).difference(known)
         long = {w: self._ids(plain(w)).tobytes() for w in new if len(w) > LONGEST}
         if len(new) > len(long):
             self._learn(new.difference(long))
-        for ws, part, at in gaps:
-            for i in at:
-                part[i] = long[ws[i]] if ws[i] in long else get(ws[i])
-        return [self._ids(t).tobytes() if part is None else b"".join(part) for t, part in zip(texts, parts)]
+        get = (lambda w: long[w] if w in long else known[w]) if long else known.__getitem__
+        # a first word follows no space
+        first = iter(self.library.encode_batch_fast([ws[0] for ws in both], add_special_tokens=False))
+        return [self._ids(t).tobytes() if ws is None
+                else b"".join([np.array(next(first).ids, "<u4").tobytes(), *map(get, ws[1:])]) for ws, t in zip(cut, texts)]
 
 
 @lru_cache(maxsize=2)
@@ -126,9 +124,9 @@ def write_ids(df: DataFrame, target: str, tokenizer: str, doc_id="doc_id", text=
         if ids:
             yield segment()
 
-    # ties of an identifier in the order of their texts' hashes, so that a hot identifier is cut and runs agree
+    # ties of an identifier by a hash of their texts' beginnings, then the texts: a hot identifier is cut, and runs agree
     (df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-     .withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+     .withColumn("h", F.xxhash64(F.substring("text", 1, 64))).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
      .select("doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(target))
 
 
