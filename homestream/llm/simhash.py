@@ -50,6 +50,8 @@ SKETCH, AGREE = 128, 102
 PART, PART_HASHES, PIVOTS = 4096, 4_000_000, 32
 #: Segments of at most so many bits are halved in place of turning their bits.
 HALVED = 10
+#: Entries of one key up to which all such keys are worked off side by side.
+FEW = 24
 #: A key's upper bits tell its print and first segment.
 PLACE = 57
 
@@ -229,6 +231,36 @@ def _joined(group, a, b):
         group = root[group]
 
 
+def _meet_small(limit: int, node, fp, key, role, sketches, agree):
+    """Links among entries sorted by key where few share a key: each with the next one of its key, the next but one, ...,
+    all keys side by side."""
+    import numpy as np
+    masks = _masks(limit)
+    m = len(masks)
+    long = max(3, 2 * m // 3)
+    by_size = np.array(masks, np.uint64).T       # [chain length - 1][first segment]
+    first = (key >> np.uint64(PLACE)).astype(np.int64) % m
+    out = []
+    at, step = np.arange(len(key) - 1), 0
+    while len(at):
+        step += 1
+        at = at[:np.searchsorted(at, len(key) - step)]
+        at = at[key[at] == key[at + step]]
+        diff, start = fp[at] ^ fp[at + step], first[at]
+        near = np.bitwise_count(diff & by_size[long - 1][start]) <= long * limit // m
+        near &= (role[at] == 0) | (role[at + step] == 0)
+        i, diff, start = at[near], diff[near], start[near]
+        ok = np.bitwise_count(diff) <= limit
+        for size in range(2, m):
+            ok &= np.bitwise_count(diff & by_size[size - 1][start]) <= size * limit // m
+        i = i[ok]
+        if sketches and len(i):
+            apart = sum(np.bitwise_count(p[i] ^ p[i + step]).astype(int) for p in sketches)
+            i = i[apart <= SKETCH - agree]
+        out += zip(node[i].tolist(), node[i + step].tolist())
+    return out
+
+
 def _meet(limit: int, node, fp, key, role, sketches=(), agree=0):
     """Links among entries sorted by key. Blocks bound the size of a comparison."""
     import numpy as np
@@ -238,8 +270,11 @@ def _meet(limit: int, node, fp, key, role, sketches=(), agree=0):
     cut = np.flatnonzero(np.diff(key.view(np.int64)) != 0) + 1
     starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
     owned = np.add.reduceat((role == 0).astype(np.int64), starts)
-    links = []
-    for s, e in zip(starts[(owned > 0) & (ends - starts > 1)], ends[(owned > 0) & (ends - starts > 1)]):
+    some = (owned > 0) & (ends - starts > 1)
+    few = np.repeat(some & (ends - starts <= FEW), ends - starts)
+    links = _meet_small(limit, node[few], fp[few], key[few], role[few], [p[few] for p in sketches], agree)
+    some &= ends - starts > FEW
+    for s, e in zip(starts[some], ends[some]):
         y, own = fp[s:e], np.flatnonzero(role[s:e] == 0)
         wide = [part[s:e] for part in sketches]
         chains = masks[int(key[s] >> np.uint64(PLACE)) % m]

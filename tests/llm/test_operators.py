@@ -202,8 +202,10 @@ def test_simhash_fingerprint():
         assert simhash.fingerprint(simhash.shingles(t.encode(), 4)) == brute_print(t, 4)
 
 
+@pytest.mark.parametrize("few", [1, 24, 1000])
 @pytest.mark.parametrize("limit", [1, 4, 8])
-def test_simhash_links(spark, limit):
+def test_simhash_links(spark, monkeypatch, limit, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     r = random.Random(limit)
     fps = {0, (1 << 64) - 1}
     for _ in range(30):
