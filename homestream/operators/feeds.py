@@ -1,15 +1,22 @@
 """From feed values to device records: snapshot, pairing, completeness, assembly, routing."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from homestream.functions.columns import wire_text
+from homestream.functions.columns import packed_order, wire_text
 from homestream.operators.timeline import cols
 from homestream.schemas import KINDS
 
 
 def latest_per_feed(df: DataFrame, key="key", feed="feed", value="value", order=("ts", "seq")) -> DataFrame:
-    """Last value of each feed; the aggregate combines map-side, so a busy feed is no hot spot."""
-    return df.groupBy(*cols(key), feed).agg(F.max_by(value, F.struct(*cols(order))).alias(value))
+    """Last value of each feed; the aggregate combines map-side, so a busy feed is no hot spot.
+
+    A time and a number make one fixed-width order: with a fixed-width value nothing is sorted.
+    """
+    order = cols(order)
+    kinds = [df.schema[c].dataType for c in order]
+    packed = len(order) == 2 and isinstance(kinds[0], T.TimestampType) and isinstance(kinds[1], T.IntegralType)
+    at = packed_order(*[F.col(c) for c in order]) if packed else F.struct(*order)
+    return df.groupBy(*cols(key), feed).agg(F.max_by(value, at).alias(value))
 
 
 def pair_feeds(snapshot: DataFrame, key="key", feeds=(), feed="feed", value="value", names=None) -> DataFrame:

@@ -84,3 +84,15 @@ def test_expressions_stay_in_the_jvm(spark):
     for name in ("fan_changes", "door_changes_ignore_nulls", "fan_state", "temp_window_avg", "confirm_runs",
                  "parse_commands", "latest_per_feed", "carry_forward", "event_time_parse"):
         assert not re.search(r"InArrow|InPandas|PythonUDF", plan(queries.QUERIES[name](spark, SF))), name
+
+
+def test_latest_value_is_hashed(spark):
+    """A fixed-width value with a fixed-width order needs no sort before the shuffle."""
+    text = plan(queries.latest_per_feed(spark, SF))
+    assert "SortAggregate" not in text and " Sort " not in text
+
+
+def test_document_index_reads_its_input_once(spark):
+    df = queries.temperature_docs_last_wins(spark, SF)
+    df.collect()
+    assert plan(df).split("== Initial Plan ==")[0].count("FileScan") == 1

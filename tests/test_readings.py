@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from homestream.operators import readings
 
@@ -58,3 +59,14 @@ def test_incomplete_reading(spark):
 def test_json(spark):
     df = spark.createDataFrame([("a", 1.5, None, "p", "t")], "id string, value double, name string, password string, timestamp string")
     assert readings.reading_json(df).first().json == '{"field0":"a","field1":1.5,"field2":null,"field3":"p","field4":"t"}'
+
+
+def test_packed_order(spark):
+    """One number orders like (ts, seq), nulls first, over the whole range of either."""
+    from homestream.functions.columns import packed_order
+    times, numbers = [None, "0001-01-01", "1969-12-31 23:59:59.999999", "2024-01-01", "9999-12-31"], [None, -(1 << 63) + 1, -1, 0, 7, (1 << 63) - 1]
+    rows = [(t, n, i * 10 + j) for i, t in enumerate(times) for j, n in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "t string, n long, want int").withColumn("t", F.col("t").cast("timestamp"))
+    got = [r.want for r in df.orderBy(packed_order(F.col("t"), F.col("n"))).collect()]
+    assert got == sorted(got)
+    assert df.filter(packed_order(F.col("t"), F.col("n")).isNull()).count() == 0
