@@ -1,7 +1,8 @@
 """The corpus pipeline: reject poor documents, fold copies and near copies, drop benchmark leaks, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; the next stage reads it from Parquet. All but the
-last return the columns of ``documents``, for the documents that stay.
+last return the columns of ``documents``, for the documents that stay, also those whose names an operator uses itself.
+Null texts count as empty; a null identifier is an identifier of its own that comes last; an empty table passes as such.
 """
 
 from pyspark.sql import functions as F
@@ -12,21 +13,35 @@ from homestream.llm.queries import PIECE_BPE, tokenizer
 
 
 def quality_classifier(spark, docs, sf_dir):
-    """Documents with a quality score of 0.5 or more; learns from all labels outside the held-out fold."""
+    """Documents with a quality score of 0.5 or more; learns from all labels outside the held-out fold.
+
+    Decided row by row: empty texts by their score like any other, rows repeated whole alike.
+    """
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
     return scored.filter(F.col("predicted") == 1).select(docs.columns)
 
 
 def exact_dedup(spark, docs, sf_dir):
+    """One row of each group of texts that are equal but for white space: the one with the most code points, then the
+    smallest identifier. Decided by identifier and text, so a repeated identifier loses no other text, and of a row
+    repeated whole one stays. All empty texts are one group.
+    """
     return exact.drop_duplicates(docs).select(docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Five-word shingles; one document of each group stays."""
+    """Five-word shingles, a similarity of 0.8 or more; of each group the document with the smallest identifier stays.
+
+    Decided by identifier and text, as above. Texts without words are near each other and nothing else.
+    """
     return simhash.drop_near_duplicates(docs, words=5).select(docs.columns)
 
 
 def decontamination(spark, docs, sf_dir):
+    """Documents without any ten consecutive words of a benchmark item, or a whole shorter item.
+
+    Decided row by row: texts without words stay, copies go alike, ties don't arise.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
