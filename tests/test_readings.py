@@ -67,6 +67,6 @@ def test_packed_order(spark):
     times, numbers = [None, "0001-01-01", "1969-12-31 23:59:59.999999", "2024-01-01", "9999-12-31"], [None, -(1 << 63) + 1, -1, 0, 7, (1 << 63) - 1]
     rows = [(t, n, i * 10 + j) for i, t in enumerate(times) for j, n in enumerate(numbers)]
     df = spark.createDataFrame(rows, "t string, n long, want int").withColumn("t", F.col("t").cast("timestamp"))
-    got = [r.want for r in df.orderBy(packed_order(F.col("t"), F.col("n"))).collect()]
+    got = [r.want for r in df.orderBy(packed_order(F.col("t"), F.col("n"))).select("want").collect()]
     assert got == sorted(got)
     assert df.filter(packed_order(F.col("t"), F.col("n")).isNull()).count() == 0
