@@ -17,8 +17,11 @@ def quality_classifier(spark, docs, sf_dir):
 
     Decided row by row: empty texts by their score like any other, rows repeated whole alike.
     """
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("predicted") == 1).select(docs.columns)
+    # by number, so that no column of the table is taken for one of the classifier's
+    name = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in name.items()])
+    scored = quality.classify(rows, table(spark, sf_dir, "labels"), name["doc_id"], name["text"])
+    return scored.filter(F.col("predicted") == 1).select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def exact_dedup(spark, docs, sf_dir):
