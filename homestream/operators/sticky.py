@@ -90,41 +90,50 @@ def _read_chunks(df: DataFrame, key, watch, order) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
         kinds = to_arrow_schema(schema)
-        held, now = [], None
+        row_type = kinds.field("_row").type
+        as_row = lambda r: dict(zip(watch, r))
 
-        def close():
-            table = pa.Table.from_batches(held)
+        def close(parts, starts):
+            """Whole chunks, all at once: a batch of the rows that some entry keeps, and one of the summaries."""
+            table = pa.Table.from_batches(parts)
             rows = list(zip(*[table.column(c).to_pylist() for c in watch]))
-            places = entries_of(rows)
-            masks, ends = follow(rows, places)
-            at = [i for i, m in enumerate(masks) if m]
-            part = table.take(pa.array(at, pa.int64())).combine_chunks()
-            kept = part.to_batches() or []
-            for b in kept:
-                n = b.num_rows
-                row = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(b.columns, kinds.field("_row").type)], fields=list(kinds.field("_row").type))
-                yield pa.RecordBatch.from_arrays(
-                    [*[b.column(k).cast(kinds.field(k).type) for k in key], b.column(CHUNK), row, pa.array([masks[i] for i in at], pa.int64()),
-                     *[pa.nulls(n, kinds.field(c).type) for c in ("_firsts", "_places", "_ends")]], schema=kinds)
-            firsts = [None if p is None else rows[p][i] for i, p in enumerate(places[1::2])]
-            summary = {**{k: table.column(k)[0].as_py() for k in key}, CHUNK: table.column(CHUNK)[0].as_py(), "_row": None, "_mask": None,
-                       "_firsts": dict(zip(watch, firsts)), "_places": places, "_ends": [None if e is None else dict(zip(watch, rows[e])) for e in ends]}
-            yield pa.RecordBatch.from_pylist([summary], schema=kinds)
-
+            at, marks, told = [], [], {"_firsts": [], "_places": [], "_ends": []}
+            for lo, hi in zip(starts, [*starts[1:], table.num_rows]):
+                chunk = rows[lo:hi]
+                places = entries_of(chunk)
+                masks, ends = follow(chunk, places)
+                at += [i for i, m in enumerate(masks, lo) if m]
+                marks += [m for m in masks if m]
+                told["_firsts"].append(as_row([None if p is None else chunk[p][i] for i, p in enumerate(places[1::2])]))
+                told["_places"].append(places)
+                told["_ends"].append([None if e is None else as_row(chunk[e]) for e in ends])
+            of = [*key, CHUNK]
+            whole = lambda picked, c: picked.column(c).combine_chunks()
+            kept, first = (table.take(pa.array(x, pa.int64())).combine_chunks() for x in (at, starts))
+            row = pa.StructArray.from_arrays([whole(kept, c).cast(f.type) for c, f in zip(names, row_type)], fields=list(row_type))
+            yield pa.RecordBatch.from_arrays(
+                [*[whole(kept, c).cast(kinds.field(c).type) for c in of], row, pa.array(marks, pa.int64()),
+                 *[pa.nulls(len(at), kinds.field(c).type) for c in told]], schema=kinds)
+            yield pa.RecordBatch.from_arrays(
+                [*[whole(first, c).cast(kinds.field(c).type) for c in of], *[pa.nulls(len(starts), kinds.field(c).type) for c in ("_row", "_mask")],
+                 *[pa.array(v, kinds.field(c).type) for c, v in told.items()]], schema=kinds)
+
+        # ``held``: what came so far of the chunks in it, of which only the last may go on
+        held, starts, now, n = [], [], None, 0
         for b in batches:
-            marks = list(zip(*[b.column(c).to_pylist() for c in (*key, CHUNK)]))
-            lo = 0
-            for i, mark in enumerate(marks):
+            new = []
+            for i, mark in enumerate(zip(*[b.column(c).to_pylist() for c in (*key, CHUNK)])):
                 if mark != now:
-                    if lo < i:
-                        held.append(b.slice(lo, i - lo))
-                    if held:
-                        yield from close()
-                    held, now, lo = [], mark, i
-            if lo < b.num_rows:
-                held.append(b.slice(lo))
-        if held:
-            yield from close()
+                    new.append(i)
+                    now = mark
+            if new and n + new[-1]:
+                last = new.pop()
+                yield from close([*held, b.slice(0, last)], [*starts, *[n + i for i in new]])
+                held, starts, n = [b.slice(last)], [0], b.num_rows - last
+            else:
+                held, starts, n = [*held, b], [*starts, *new], n + b.num_rows
+        if n:
+            yield from close(held, starts)
 
     return df.mapInArrow(run, schema)
 
@@ -167,25 +176,27 @@ def _compose(summaries: DataFrame, key, watch, values) -> DataFrame:
     return summaries.mapInArrow(run, schema)
 
 
-def sticky_changes(df: DataFrame, key, watch, order=ORDER, chunk=DEFAULT_WIDTH, state: DataFrame = None):
+def sticky_changes(df: DataFrame, key, watch, order=ORDER, chunk=DEFAULT_WIDTH, state: DataFrame = None, keep=lambda found: found):
     """(kept rows, state of every key after them). Watched fields may all be null.
 
     ``state``: key columns and watched fields of each key's last kept row. The rows are read and shuffled once: both
-    frames come from the same exchange. Rows without a key are left out.
+    frames come from the same exchange. ``keep`` may persist what was found in the chunks, which three readers share.
+    Rows without a key are left out.
     """
     key, watch, order = cols(key), cols(watch), [c for c in cols(order) if c in df.columns]
     names = df.columns
     values = _value_type(df, watch)
     rows = with_chunk(known_keys(df, key), order, chunk)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = _read_chunks(rows.repartition(n, *key, CHUNK).sortWithinPartitions(*key, CHUNK, *order), key, watch, order)
+    found = keep(_read_chunks(rows.repartition(n, *key, CHUNK).sortWithinPartitions(*key, CHUNK, *order), key, watch, order))
     summaries = found.filter(F.col("_places").isNotNull()).select(*key, CHUNK, "_firsts", "_places", "_ends")
     if state is not None:
         summaries = summaries.unionByName(known_keys(state, key).select(
             *key, F.lit(None).cast("long").alias(CHUNK), F.struct(*watch).cast(values).alias("_firsts"),
             F.lit(None).cast("array<bigint>").alias("_places"), F.lit(None).cast(T.ArrayType(values)).alias("_ends")))
     composed = _compose(summaries.repartition(n, *key).sortWithinPartitions(*key, CHUNK), key, watch, values)
-    entry = composed.filter(F.col(CHUNK).isNotNull()).select(*key, CHUNK, "_entry")
+    # one row for each chunk: as many as the time is long, so they are not for a broadcast
+    entry = composed.filter(F.col(CHUNK).isNotNull()).select(*key, CHUNK, "_entry").hint("shuffle_hash")
     kept = (found.filter(F.col("_mask").isNotNull()).select(*key, CHUNK, "_row", "_mask").join(entry, [*key, CHUNK])
             .filter(F.col("_mask").bitwiseAND(F.expr("shiftleft(1L, _entry)")) != 0)
             .select(*[F.col("_row")[c].alias(c) for c in names]))

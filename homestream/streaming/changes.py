@@ -36,7 +36,7 @@ class ChangeFilter(KeyedState):
                 kept = changes_of_known(batch, key, watch, order, chunk, state)
                 after = coalesce_upsert(state.select(*cols(key), *watch), batch, key, watch, order)
             else:
-                kept, after = sticky_changes(batch, key, watch, order, chunk, state)
+                kept, after = sticky_changes(batch, key, watch, order, chunk, state, self.hold)
             if first:
                 # one row for each key: the time from before, else that of the earliest change at hand
                 times = (state.select(*cols(key), CHANGED).unionByName(kept.select(*cols(key), F.col(order[0]).alias(CHANGED)))
@@ -95,5 +95,6 @@ def each_batch(state: KeyedState, write):
         try:
             write(state.advance(batch, batch_id), batch_id)
         finally:
+            state.release()
             batch.unpersist()
     return run

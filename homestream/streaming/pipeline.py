@@ -94,11 +94,15 @@ def fan_out(tables: Tables, kind, between=None, **options):
                     tables.documents().write(readings.average_documents(batch), batch_id, run)
             else:
                 at("state")
-                kept = tables.changes(kind, batch.schema, run, **options).advance(batch, batch_id, run).persist()
+                state = tables.changes(kind, batch.schema, run, **options)
                 try:
-                    _write_changes(tables, kind, kept, batch_id, run, at)
+                    kept = state.advance(batch, batch_id, run).persist()
+                    try:
+                        _write_changes(tables, kind, kept, batch_id, run, at)
+                    finally:
+                        kept.unpersist()
                 finally:
-                    kept.unpersist()
+                    state.release()
             at("commit")
             tables.commits.record(run, batch_id)
         finally:
@@ -188,6 +192,7 @@ def route(state: KeyedState, log: RoutedLog, commits: Commits):
             log.write(state.advance(batch, batch_id, run), batch_id, run)
             commits.record(run, batch_id)
         finally:
+            state.release()
             batch.unpersist()
     return write
 

@@ -31,6 +31,17 @@ class KeyedState:
         self.fields = [f if isinstance(f, T.StructField) else rows[f] for f in fields]
         self.schema = T.StructType([*[rows[k] for k in self.key], *self.fields, *times])
         self.table = KeyedTable(spark, path, T.StructType([T.StructField(f.name, f.dataType) for f in self.schema]), commits=commits)
+        self._held = []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Persist a frame that both the output and the state of a micro-batch are worked out from."""
+        self._held.append(df.persist())
+        return self._held[-1]
+
+    def release(self):
+        """Call when the output of a micro-batch has been used."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def _behind(self, seen: DataFrame, micros):
         """The latest event time in ``seen`` less ``micros``, as a literal; None before the first row."""
@@ -38,7 +49,9 @@ class KeyedState:
         return None if last is None else F.timestamp_micros(F.lit(last - micros))
 
     def advance(self, batch: DataFrame, batch_id, run=None) -> DataFrame:
-        """The output of a micro-batch; the state after it is written. Compute it from a persisted batch."""
+        """The output of a micro-batch; the state after it is written. Compute it from a persisted batch, and
+        :meth:`release` what was held for it afterwards."""
+        self.release()
         name, state = self.table.turn(run or run_of(batch), batch_id)
         names = [*self.key, *[f.name for f in self.fields]]
         if self.ttl:

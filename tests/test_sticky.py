@@ -85,3 +85,22 @@ def test_entries():
             e = sticky.chosen(state, firsts, places)
             assert kept == ([] if e is None else [i for i, m in enumerate(masks) if m >> e & 1])
             assert s == (state if e is None else rows[ends[e]])
+
+
+def test_chunks_across_batches(spark):
+    """Chunks that go on in the next Arrow batch, and several in one, are the same chunks."""
+    rows, old = made(300, 11), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            kept, _ = sticky.sticky_changes(frame(spark, rows), "id", ["f", "g"], chunk="5 seconds")
+            assert sorted(r.seq for r in kept.collect()) == want(rows, ["f", "g"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_entries_are_not_broadcast(spark):
+    """There is one for each key and chunk, so what goes by way of the driver would grow with the time covered."""
+    kept, _ = sticky.sticky_changes(frame(spark, made(100, 1)), "id", ["f", "g"], chunk="5 seconds")
+    kept.collect()
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
