@@ -6,7 +6,9 @@ wrote before, while a query with a new checkpoint adds to what is there, whoever
 """
 
 import uuid
+from bisect import bisect_left
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -123,12 +125,24 @@ class KeyedTable:
         self.write(coalesce_upsert(base, rows, key, values, order), name)
 
 
+#: Folders of days that one micro-batch writes at most: one that brings more days files several of them together.
+SPANS = 16
+
+
+def spans_of(days) -> list:
+    """(first day, last day) of the folders for a micro-batch's days: each day its own, or runs of days alike in number."""
+    days, n = sorted(days), max(1, -(-len(days) // SPANS))
+    return [(days[i], days[min(i + n, len(days)) - 1]) for i in range(0, len(days), n)]
+
+
 class AppendLog:
     """Rows that are only ever added, partitioned by day, source, run and micro-batch; with ``commits`` only recorded
     micro-batches are read.
 
     Insert-if-absent lists and reads only the days its own rows fall on, so its cost follows the batch
-    and those days and not the whole history. Runs are numbered in the order in which they first wrote.
+    and those days and not the whole history. A micro-batch of more than ``SPANS`` days files them in folders
+    ``day=<first>~<last>``, so their number follows the micro-batches and not the length of time. Runs are numbered in
+    the order in which they first wrote.
     """
 
     PARTITIONS = ("day", "source", "run")
@@ -156,7 +170,13 @@ class AppendLog:
         """Stored rows with their partition columns, of all days or of those listed."""
         names = [n for n in _children(self.spark, self.path) if n.startswith("day=")]
         if days is not None:
-            names = [n for n in names if n[4:] in days]
+            days = sorted(days)
+
+            def holds(name):
+                first, _, last = unquote(name[4:]).partition("~")
+                i = bisect_left(days, first)
+                return i < len(days) and days[i] <= (last or first)
+            names = [n for n in names if holds(n)]
         if not names:
             return self.spark.createDataFrame([], self._stored)
         rows = (self.spark.read.schema(self._stored).option("basePath", self.path)
@@ -176,12 +196,17 @@ class AppendLog:
         """Last write wins: the row of the latest micro-batch of the latest run per key."""
         return latest_documents(self.stored().drop("source", "day"), key, ("run", "batch_id"))
 
-    def append(self, rows: DataFrame, batch_id, source="stream", run="stream"):
-        """A replay brings the same rows, so it overwrites exactly the partitions of its first run.
+    def append(self, rows: DataFrame, batch_id, source="stream", run="stream", spans=()):
+        """A replay brings the same rows, so it overwrites exactly the partitions of its first run. ``spans``: see
+        :func:`spans_of`; days in none of them are folders of their own.
 
         Rebalancing by day keeps the file count low and still splits a day that is too large for one task.
         """
-        (rows.select(*self.schema.fieldNames(), self._day().alias("day"), F.lit(source).alias("source"),
+        day = self._day()
+        for first, last in spans:
+            if first < last:
+                day = F.when(self._day().between(first, last), f"{first}~{last}").otherwise(day)
+        (rows.select(*self.schema.fieldNames(), day.alias("day"), F.lit(source).alias("source"),
                      F.lit(self._run(run)).alias("run"), F.lit(batch_id).cast("long").alias("batch_id"))
          .hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*self.PARTITIONS, "batch_id").parquet(self.path))
@@ -191,8 +216,9 @@ class AppendLog:
         # as many days as the micro-batch touches, each once
         days = {r.day for r in rows.select(self._day().alias("day")).dropna().distinct().toLocalIterator()}
         own = (F.col("source") == source) & (F.col("run") == self._run(run)) & (F.col("batch_id") == batch_id)
-        target = self.stored(days).filter(~own).select(*self.schema.fieldNames())
-        self.append(absent_rows(target, rows, keys, order), batch_id, source, run)
+        # what is stored grows with the micro-batches: it meets them in a shuffle, not by way of the driver
+        target = self.stored(days).filter(~own).select(*self.schema.fieldNames()).hint("merge")
+        self.append(absent_rows(target, rows, keys, order), batch_id, source, run, spans_of(days))
 
 
 class RoutedLog:

@@ -1,6 +1,6 @@
 from homestream.operators import keyed
 from homestream.schemas import CONTROL_LOG, DOCUMENT, LOCK_STATE, READING_LOG
-from homestream.streaming.sinks import AppendLog, KeyedTable
+from homestream.streaming.sinks import SPANS, AppendLog, KeyedTable, _children
 
 LOCKS = "device_id string, name string, status boolean, location string, password string, seq long"
 VALUES = ["name", "status", "location", "password"]
@@ -154,3 +154,21 @@ def test_session_without_shared_folder(tmp_path):
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200,
                          env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root, "TMPDIR": str(tmp_path)})
     assert "ROWS" in got.stdout, got.stderr[-2000:]
+
+
+def test_append_log_of_many_days(spark, tmp_path):
+    """A micro-batch of many days makes a bounded number of folders; a later one finds its days in them."""
+    log = AppendLog(spark, str(tmp_path / "Control"), CONTROL_LOG, "control_time")
+    keys, days = CONTROL_LOG.fieldNames(), [f"20{y:02d}-{m:02d}-{d:02d}" for y in range(20, 22) for m in range(1, 13) for d in range(1, 28, 3)]
+    rows = [("a", "u", f"{d}T1") for d in days]
+    first = spark.createDataFrame([*rows, ("b", "u", None)], CONTROL_LOG)
+    for _ in range(2):                                            # and replayed
+        log.insert_if_absent(first, keys, 0, "fan", run="old")
+    assert len([n for n in _children(spark, log.path) if n.startswith("day=")]) <= SPANS + 1
+    assert log.stored([days[0]]).count() < len(days) / 4          # not the whole history
+    new = ("a", "u", "2020-01-02T1")                              # between two stored days
+    again = spark.createDataFrame([*rows[::7], new], CONTROL_LOG)
+    for _ in range(2):
+        log.insert_if_absent(again, keys, 0, "fan", run="new")
+    log.insert_if_absent(spark.createDataFrame([rows[40]], CONTROL_LOG), keys, 1, "fan", run="new")
+    assert sorted(map(str, map(tuple, log.read().collect()))) == sorted(map(str, [*rows, new, ("b", "u", None)]))
