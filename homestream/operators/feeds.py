@@ -19,11 +19,11 @@ def latest_per_feed(df: DataFrame, key="key", feed="feed", value="value", order=
     return df.groupBy(*cols(key), feed).agg(F.max_by(value, at).alias(value))
 
 
-def pair_feeds(snapshot: DataFrame, key="key", feeds=(), feed="feed", value="value", names=None) -> DataFrame:
-    """One row per key with one column per feed, null where a feed has no value."""
+def pair_feeds(snapshot: DataFrame, key="key", feeds=(), feed="feed", value="value", names=None, more=()) -> DataFrame:
+    """One row per key with one column per feed, null where a feed has no value. ``more``: further aggregates."""
     names = names or feeds
     return snapshot.groupBy(*cols(key)).agg(
-        *[F.max(F.when(F.col(feed) == f, F.col(value))).alias(n) for f, n in zip(feeds, names)]
+        *[F.max(F.when(F.col(feed) == f, F.col(value))).alias(n) for f, n in zip(feeds, names)], *more
     )
 
 

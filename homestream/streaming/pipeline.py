@@ -29,6 +29,8 @@ STATE_TABLES = {
 READING_TABLES = {"temperature": "Temperature", "humidity": "Humidity"}
 WATERMARK = "1 second"
 CHECKPOINT_EVERY = "5 seconds"
+#: Tasks that write the records of one kind from one micro-batch.
+RECORD_PARTS = 8
 
 
 class Tables:
@@ -166,13 +168,17 @@ def device_records(spark, root, rows, users, commits=None):
     key, order = ["key", "feed"], ("ts", "seq")
 
     def step(batch, state):
-        both = state.unionByName(batch.select(state.columns))
-        after = both.groupBy(*key).agg(F.max_by(F.struct("value", *order), F.struct(*order)).alias("_l")).select(*key, "_l.*")
+        # what the micro-batch touched and when goes along in the folds, so that nothing is joined by key
+        both = batch.select(state.columns).withColumns({"_touched": F.lit(True), "_seen": F.col("ts")}).unionByName(
+            state.withColumns({"_touched": F.lit(False), "_seen": F.lit(None).cast(rows["ts"].dataType)}))
+        after = made.hold(both.groupBy(*key).agg(
+            F.max_by(F.struct("value", *order), F.struct(*order)).alias("_l"), F.max("_touched").alias("_touched"),
+            F.max("_seen").alias("_seen")).select(*key, "_l.*", "_touched", "_seen"))
         names = sorted({f for feeds_ in users["feeds"].values() for f in feeds_})
-        touched = batch.select("key").distinct()
-        snapshot = feeds.pair_feeds(after.join(touched, "key", "left_semi"), feeds=names, names=[f"f_{n}" for n in names])
-        seen = batch.groupBy("key").agg(F.max("ts").alias("ts"))
-        snapshot = snapshot.join(seen, "key").withColumns(users["columns"])
+        snapshot = feeds.pair_feeds(after.filter("key IS NOT NULL").select("key", "feed", "value", "_touched", "_seen"), feeds=names,
+                                    names=[f"f_{n}" for n in names], more=[F.max("_touched").alias("_touched"), F.max("_seen").alias("ts")])
+        # each kind of record is a reader of it; its rows are those of a micro-batch, whatever the state has grown to
+        snapshot = made.hold(snapshot.filter("_touched").drop("_touched")).coalesce(RECORD_PARTS).withColumns(users["columns"])
         out = None
         for kind, wanted in users["feeds"].items():
             record = feeds.assemble_device_record(snapshot, kind, "device", [f"f_{f}" for f in wanted], "user", "pass", "ts")
@@ -180,7 +186,8 @@ def device_records(spark, root, rows, users, commits=None):
             out = part if out is None else out.unionByName(part)
         return out.select("topic", "value"), after
 
-    return KeyedState(spark, f"{root}/latest", rows, key, ["value", *order], step, ts="ts", commits=commits)
+    made = KeyedState(spark, f"{root}/latest", rows, key, ["value", *order], step, ts="ts", commits=commits)
+    return made
 
 
 def route(state: KeyedState, log: RoutedLog, commits: Commits):

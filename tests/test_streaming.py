@@ -351,3 +351,22 @@ def test_routed_records_survive_a_stop(spark, tmp_path):
     run()
     assert shown("led") == [(0, "1", "1.0"), (0, "2", "5.0"), (1, "1", "1.0"), (2, "1", "3.0"), (2, "2", "5.0")]
     assert shown("fan") == [(1, "1", "1.0"), (2, "1", "3.0"), (2, "2", "5.0")]
+
+
+def test_routed_records_join_nothing_by_key(spark, tmp_path):
+    """Records of a micro-batch's keys without a join, so that no table of keys goes by way of the driver; keys that it
+    doesn't touch, and rows without a key, make none."""
+    schema = "key long, feed string, value double, ts timestamp, seq long"
+    users = {"feeds": {"led": ["a"], "fan": ["a", "b"]}, "columns": {
+        "device": F.col("key").cast("string"), "user": F.lit("u"), "pass": F.lit("p")}}
+    at = lambda rows: spark.createDataFrame([(k, f, v, None, n) for k, f, v, n in rows], schema).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1704067200))
+    first, second = at([(1, "a", 1.0, 0), (2, "a", 5.0, 3), (None, "a", 7.0, 4)]), at([(1, "b", 2.0, 9), (1, "b", 4.0, 8)])
+    state = pipeline.device_records(spark, str(tmp_path), first.schema, users)
+    found = []
+    for n, batch in enumerate((first, second)):
+        out = state.advance(batch, n, "run")
+        found.append(sorted((r.topic == KINDS["led"].topic, r.value) for r in out.collect()))
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    state.release()
+    assert [len(f) for f in found] == [2, 2]
+    assert all('"u"' in v and "09" in v.split("T")[-1] for _, v in found[1])
