@@ -70,5 +70,12 @@ def utf8(column) -> list:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small(batches, rows=1000):
+    """Arrow batches cut to at most ``rows``: a worker keeps what its largest batch took, in lists of Python and in Arrow."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,11 +21,32 @@ from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from homestream.llm.bytebpe import Memory
+from homestream.llm.bytebpe import LONGEST, REMEMBERED, Memory
 
 MARK = "▁"
 
 
+class Lately(dict):
+    """word -> work(word) like :class:`Memory` and as large, but in two halves: when the newer is full the older is
+    forgotten, so that words that keep coming stay."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work, self.older = work, {}
+
+    def __missing__(self, word):
+        found = self.older.get(word)
+        if found is None:
+            found = self.work(word)
+            if len(word) > LONGEST:
+                return found
+        if 2 * len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Pieces:
     def __init__(self, path):
         import ahocorasick
@@ -44,16 +65,18 @@ class Pieces:
         for t, i in self.ids.items():
             self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        self.pairs = Memory(lambda ab: self.merged(self.text[ab[0]] + self.text[ab[1]]) == list(ab))
+        self.pairs = Memory(lambda ab: self.compatible(ab >> 32, ab & 0xFFFFFFFF))     # two ids as one number
         self.alone = Memory(lambda a: self.merged(self.text[a]) == [a])
+        self.spines = {side: Memory(lambda a, side=side: self.spine(self.text[a], side)) for side in (0, 1)}
+        self.splits = {}
         outside = "".join(map(re.escape, sorted(self.chars)))
         self.known = re.compile(f"[{outside}]+|[^{outside}]")
         for probe in ("a", " a  b", "\ta\n", "ﬁ ① Á"):
             if sp.encode(probe) != self.whole(probe):
                 raise ValueError("the model normalises text or adds no dummy prefix")
 
-    def merged(self, text):
-        """Ids of known characters, merged by rank, leftmost first among equals."""
+    def merged(self, text, merges=None):
+        """Ids of known characters, merged by rank, leftmost first among equals. ``merges`` gathers the parts of each merge."""
         part = list(text)
         after, before = [*range(1, len(part)), -1], [*range(-1, len(part) - 1)]
         rank = self.rank
@@ -64,6 +87,8 @@ class Pieces:
             j = after[i]
             if part[i] is None or j < 0 or part[i] + part[j] != joined:
                 continue
+            if merges is not None:
+                merges.append((part[i], part[j]))
             part[i], part[j] = joined, None
             k = after[i] = after[j]
             if k >= 0:
@@ -75,6 +100,58 @@ class Pieces:
                 heappush(heap, (r, h, part[h] + joined))
         return [self.ids[p] for p in part if p is not None]
 
+    def split(self, text):
+        """The two parts that a piece is merged from last; None where its own text isn't merged to it, or where, somewhere
+        in it, a piece ranks before one of its parts, so that ranks don't tell the order of its merges."""
+        if text not in self.splits:
+            merges = []
+            found = self.merged(text, merges)
+            parts = merges[-1] if len(found) == 1 else None
+            if parts and any(len(p) > 1 and (self.rank[p] >= self.rank[text] or self.split(p) is None) for p in parts):
+                parts = None
+            self.splits[text] = parts
+        return self.splits[text]
+
+    def spine(self, text, side):
+        """A piece and, down to a character, the parts on its left (0) or right (1) edge: (text, rank of the merge that
+        made it, -1 for a character); None as in :meth:`split`."""
+        out = []
+        while len(text) > 1:
+            out.append((text, self.rank[text]))
+            parts = self.split(text)
+            if parts is None:
+                return None
+            text = parts[side]
+        return [*out, (text, -1)]
+
+    def compatible(self, a, b):
+        """Whether merging the joined text of two tokens gives just these two.
+
+        It does unless a merge reaches across. The parts at the border are gone through backwards in time, from the whole
+        tokens to characters: two that lie there side by side are merged if their joined text ranks before the merges
+        that use them up (the one on the left goes first among equals).
+        """
+        if not (self.alone[a] and self.alone[b]):
+            return False
+        left, right = self.spines[1][a], self.spines[0][b]
+        if left is None or right is None:
+            return self.merged(self.text[a] + self.text[b]) == [a, b]
+        rank, i, j, n, m = self.rank.get, 0, 0, len(left) - 1, len(right) - 1
+        (x, made_x), (y, made_y) = left[0], right[0]
+        until_x = until_y = float("inf")
+        while True:
+            r = rank(x + y)
+            if r is not None and r < until_x and r <= until_y:
+                return False
+            if i == n and j == m:
+                return True
+            if made_x > made_y:
+                i, until_x = i + 1, made_x
+                x, made_x = left[i]
+            else:
+                j, until_y = j + 1, made_y
+                y, made_y = right[j]
+
     def table(self, text):
         """Ids of known characters by the prefix table."""
         if MARK + MARK in text:
@@ -82,9 +159,12 @@ class Pieces:
         last, size = [0] * (len(text) + 1), [0] * (len(text) + 1)
         pairs, alone = self.pairs, self.alone
         for end, (token, length) in self.automaton.iter(text):
-            at = end + 1 - length
-            if pairs[last[at], token] if at else alone[token]:
-                last[end + 1], size[end + 1] = token, length
+            end += 1
+            if size[end]:
+                continue        # no second one is compatible
+            at = end - length
+            if pairs[last[at] << 32 | token] if at else alone[token]:
+                last[end], size[end] = token, length
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -133,7 +213,7 @@ class Coder:
     def __init__(self, path):
         import numpy as np
         self.pieces = pieces = Pieces(path)
-        self.memory = Memory(lambda w: np.array(pieces.word(w), "<i4").tobytes())
+        self.memory = Lately(lambda w: np.array(pieces.word(w), "<i4").tobytes())
         self.joins_lines = "\n" in pieces.chars
 
     def encode(self, text) -> bytes:

@@ -667,3 +667,32 @@ def test_token_file_order_of_repeated_identifiers(spark, tmp_path):
         token_files.write_ids(df, str(tmp_path / f"ids{n}"), tokenizer(BYTE_BPE), partitions=3)
         starts.append(sorted((r.start, bytes(r.ids)) for r in token_files.read_ids(spark, str(tmp_path / f"ids{n}")).collect()))
     assert starts[0] == starts[1]
+
+
+def test_pieces_pairs_by_their_merges():
+    """Two tokens are told apart by their parts at the border just as by merging their joined text."""
+    coder, r = pieces.Pieces(tokenizer(PIECE_BPE)), random.Random(4)
+    ids = [i for i, t in coder.text.items() if len(t) < 6]
+    for _ in range(20_000):
+        a, b = r.choice(ids), r.choice(ids)
+        if pieces.MARK not in coder.text[b]:
+            assert coder.compatible(a, b) == (coder.merged(coder.text[a] + coder.text[b]) == [a, b])
+
+
+def test_words_that_keep_coming_are_remembered(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 100)
+    seen = []
+    memory = pieces.Lately(lambda w: seen.append(w) or w.encode())
+    for i in range(1000):
+        assert memory[f"w{i}"] == f"w{i}".encode() and memory["often"] == b"often"
+        assert len(memory) + len(memory.older) <= 100
+    assert seen.count("often") == 1
+
+
+def test_small_batches():
+    """What a worker turns into lists at once is bounded by rows, whatever the batches are."""
+    import pyarrow as pa
+    from homestream.llm.common import small
+    batch = pa.RecordBatch.from_pydict({"x": [*range(2500)]})
+    cut = [*small([batch, batch.slice(0, 0), batch.slice(7, 1)])]
+    assert [b.num_rows for b in cut] == [1000, 1000, 500, 1] and [x for b in cut[:3] for x in b["x"].to_pylist()] == [*range(2500)]
