@@ -15,7 +15,7 @@ columns, whatever their names, aren't read. An empty table gives an empty result
 
 from pyspark.sql import DataFrame, functions as F
 
-from homestream.llm.common import kept_rows, text_of, utf8, written
+from homestream.llm.common import kept_rows, small, text_of, utf8, written
 
 #: Fixed value: the deleted characters.
 WHITE = bytes(range(9, 14)) + b" "
@@ -33,7 +33,7 @@ def _normalise(batches):
 
     import pyarrow as pa
     import pyarrow.compute as pc
-    for b in batches:
+    for b in small(batches):
         norm = [t.translate(None, WHITE) for t in utf8(b.column(1))]
         chars = pc.fill_null(pc.utf8_length(b.column(1)), 0).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -70,7 +70,7 @@ def _runs(batches):
         return batch
 
     run, first = None, True
-    for b in batches:
+    for b in small(batches):
         for i, chars, norm, sha in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
                                        b.column(2).to_pylist(), b.column(4).to_pylist()):
             mine = (chars, -(BIG if i is None else i))
