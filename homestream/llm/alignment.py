@@ -20,6 +20,7 @@ their own and count as such. Other columns aren't read. An empty table gives an
 """
 
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -79,113 +80,239 @@ class Plain(Encoder):
         self.library.encode_special_tokens = True
 
 
+class Slots(dict):
+    """word -> its number; ``fresh`` gathers the words that were given one."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.fresh, self.size = [], len(self)
+
+    def __missing__(self, word):
+        slot = self[word] = self.size
+        self.size += 1
+        self.fresh.append(word)
+        return slot
+
+
+def ragged(first, n):
+    """Positions of runs of ``n`` entries that start at ``first``, one run after the other."""
+    import numpy as np
+    stops = np.cumsum(n)
+    return np.arange(stops[-1] if len(n) else 0) + np.repeat(first - (stops - n), n)
+
+
+def per_run(values, n):
+    """Sums of runs of ``n`` values that lie one after the other."""
+    import numpy as np
+    return np.diff(np.concatenate(([0], np.cumsum(values)))[np.concatenate(([0], np.cumsum(n)))])
+
+
+class Side:
+    """One tokenizer's ids of numbered words, gathered in one array."""
+
+    def __init__(self, tokens):
+        import numpy as np
+        # of the vocabulary: bytes of all tokens, their number per token, where each token's start
+        self.every, self.sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array(list(map(len, tokens)), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = self.first = self.n = np.zeros(0, np.int64)
+
+    def of(self, slots):
+        """The ids of words one after the other, and their number per word."""
+        n = self.n[slots]
+        return self.ids[ragged(self.first[slots], n)], n
+
+    def put(self, slots, ids, n):
+        import numpy as np
+        more = np.zeros(max(0, slots.max(initial=-1) + 1 - len(self.n)), np.int64)
+        self.first, self.n = np.concatenate((self.first, more)), np.concatenate((self.n, more))
+        self.first[slots], self.n[slots] = len(self.ids) + np.cumsum(n) - n, n
+        self.ids = np.concatenate((self.ids, ids))
+
+    def keep(self, slots):
+        """Forget all words but these, which are numbered anew in this order."""
+        import numpy as np
+        self.ids, self.n = self.of(slots)
+        self.first = np.cumsum(self.n) - self.n
+
+    def spells(self, ids, n, texts):
+        """Per text, given as bytes, whether its tokens' joined bytes are the text."""
+        import numpy as np
+        sizes, lengths = self.sizes[ids], np.array(list(map(len, texts)), np.int64)
+        same = per_run(sizes, n) == lengths
+        token = np.repeat(same, n)
+        made = self.every[ragged(self.starts[ids[token]], sizes[token])]
+        want = np.frombuffer(b"".join([t for t, ok in zip(texts, same.tolist()) if ok]), np.uint8)
+        at = np.flatnonzero(same)
+        same[at[np.searchsorted(np.cumsum(lengths[at]), np.flatnonzero(made != want), "right")]] = False
+        return same
+
+
 class Words:
-    """The ids of both tokenizers for texts, as packed little-endian 32-bit integers.
+    """The ids of both tokenizers for texts.
 
     Texts with single spaces and line feeds as their only white space are cut into words once, for A and B alike: neither
-    joins anything over those. The libraries see each word once, many at a time. Other texts go to each on their own.
+    joins anything over those. Each word has a number, under which both sides hold its ids: a text's words are looked up
+    once, then all ids are gathered side by side. The libraries see each word once, many at a time; letters with a sign
+    after them are the letters' ids and the sign's, if neither tokenizer joins the two. Other texts go to each library on
+    their own. Beyond ``REMEMBERED`` words the half that was used most stays; long words and whole texts aren't held.
     """
 
     def __init__(self, a_path, b_path):
+        import numpy as np
+
         from homestream.llm.pieces import Pieces
+        from homestream.llm.token_counts import byte_symbols
         self.a, self.pieces = Plain(a_path), Pieces(b_path)
-        self.known_a, self.known_b = self.a.known, {}
         self.joins_lines = "\n" in self.pieces.chars
-        library = self.pieces.library
-        self.line, self.skip = self._ids(self.pieces.word("\n")), len(library.encode("\n"))
+        sp = self.pieces.library
+        self.line, self.skip = self.pieces.word("\n"), len(sp.encode("\n"))
+        back = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
+        vocab = self.a.library.get_vocab()
+        a_bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            # the content of a special token stands for itself
+            a_bytes[i] = b"".join(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode()
+        b_bytes = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+                   for i in range(sp.get_piece_size())]
+        self.sides = [Side(a_bytes), Side(b_bytes)]
+        self.signs = self._signs()
+        self.slots, self.uses, self.spelt = Slots(), np.zeros(0, np.int64), np.zeros(0, bool)
+        for white in ("", "\n"):
+            # each on its own: side by side with others A would join them
+            self.slots[white]
+            self._learn()
+
+    def _signs(self):
+        """sign -> its id of A and of B after letters, for signs that no piece of B joins to a letter before them."""
+        joined = {y for t in self.pieces.ids for x, y in zip(t, t[1:]) if x.isalpha()}
+        out = {}
+        for c in {",", "."}.difference(joined):
+            a, b = self.a._ids(c).tolist(), self.pieces.word(c)
+            if len(a) == len(b) == 1:
+                out[c] = a[0], b[0]
+        return out
 
-    @staticmethod
-    def _ids(ids):
+    def _a(self, words):
+        """A's ids of words that follow a space or start with a line feed, one after the other, and their number per word."""
+        import numpy as np
+        ids = self.a._ids("".join(map(plain, words)))
+        cut = np.flatnonzero(self.a.opens[ids])
+        if len(cut) == len(words):
+            return ids, np.diff(cut, append=len(ids))
+        each = [self.a._ids(plain(w)) for w in words]
+        return np.concatenate(each), np.array(list(map(len, each)), np.int64)
+
+    def _b(self, words):
+        """The same of B."""
         import numpy as np
-        return np.array(ids, "<i4").tobytes()
 
-    def _learn(self, words):
-        """B's ids of words that follow a space or start with a line feed."""
         from homestream.llm.pieces import MARK
-        out = {}
-        spaced = [w for w in words if w[:1] != "\n" and w and MARK not in w and "\0" not in w]
-        out.update(zip(spaced, map(self._ids, self.pieces.library.encode(spaced))))
-        lines = [w for w in words if w[:1] == "\n" and MARK not in w and "\0" not in w]
-        # the library puts a space mark in front of the line feed: both are cut off, the line feed put back
-        out.update((w, self.line + self._ids(ids[self.skip:])) for w, ids in zip(lines, self.pieces.library.encode(lines)))
-        for w in words:
-            if w not in out:
-                out[w] = self.line + self._ids(self.pieces.word(w[1:])) if w[:1] == "\n" else self._ids(self.pieces.word(MARK + w))
-        return out
+        out = [None] * len(words)
+        usual = [i for i, w in enumerate(words) if w and MARK not in w and "\0" not in w]
+        for i, ids in zip(usual, self.pieces.library.encode([words[i] for i in usual])):
+            # the library puts a space mark in front of a line feed: both are cut off, the line feed put back
+            out[i] = self.line + ids[self.skip:] if words[i][0] == "\n" else ids
+        for i, w in enumerate(words):
+            if out[i] is None:
+                out[i] = self.line + self.pieces.word(w[1:]) if w[:1] == "\n" else self.pieces.word(MARK + w)
+        n = np.array(list(map(len, out)), np.int64)
+        return np.fromiter(chain.from_iterable(out), np.int64, n.sum()), n
+
+    def _learn(self):
+        """Both sides' ids of the words that were given numbers, and whether they spell the word."""
+        import numpy as np
+        number = self.slots.__getitem__
+
+        def numbers(words):
+            return np.fromiter(map(number, words), np.int64, len(words))
+
+        signed = [w for w in self.slots.fresh if type(w) is str and w[-1:] in self.signs and w[:-1].isalpha()]
+        stems = numbers([w[:-1] for w in signed])   # may be fresh themselves
+        fresh, self.slots.fresh = self.slots.fresh, []
+        if not fresh:
+            return
+        self.uses, self.spelt = (np.concatenate((x, np.zeros(len(fresh), x.dtype))) for x in (self.uses, self.spelt))
+        apart = {*signed}
+        words = [w for w in fresh if type(w) is str and w not in apart]
+        if words:
+            self._put(numbers(words), [self._a(words), self._b(words)], [plain(w).encode() for w in words])
+        for whole in (w for w in fresh if type(w) is tuple):
+            text = " " + whole[0]
+            made = [(np.array(ids, np.int64), np.array([len(ids)])) for ids in (self.a._ids(text), self.pieces.whole(whole[0]))]
+            self._put(numbers([whole]), made, [text.encode()])
+        if signed:
+            at = numbers(signed)
+            for k, side in enumerate(self.sides):
+                ids, n = side.of(stems)
+                side.put(at, np.insert(ids, np.cumsum(n), [self.signs[w[-1]][k] for w in signed]), n + 1)
+            self.spelt[at] = self.spelt[stems]
+        for w in fresh:
+            if type(w) is tuple or len(w) > LONGEST:
+                del self.slots[w]
+
+    def _put(self, slots, made, texts):
+        self.spelt[slots] = True
+        for side, (ids, n) in zip(self.sides, made):
+            self.spelt[slots] &= side.spells(ids, n, texts)
+            side.put(slots, ids, n)
+
+    def _forget(self):
+        import numpy as np
+        if self.slots.size <= REMEMBERED and max(len(s.ids) for s in self.sides) <= 16 * REMEMBERED:
+            return
+        self.uses[:2] = np.iinfo(np.int64).max   # white space stays, under its numbers
+        held = np.sort(np.fromiter(self.slots.values(), np.int64, len(self.slots)))
+        stay = held[np.argsort(-self.uses[held], kind="stable")[:REMEMBERED // 2]]
+        stay = stay[self.uses[stay] > 1]
+        new = np.full(self.slots.size, -1)
+        new[stay] = np.arange(len(stay))
+        new = new.tolist()
+        self.slots = Slots((w, new[s]) for w, s in self.slots.items() if new[s] >= 0)
+        self.uses, self.spelt = self.uses[stay] // 2, self.spelt[stay]
+        for side in self.sides:
+            side.keep(stay)
 
     def encode(self, texts):
-        """(A's ids of a space and the text, B's ids of the text) of each text."""
-        if len(self.known_a) > REMEMBERED or len(self.known_b) > REMEMBERED:
-            self.known_a.clear()
-            self.known_b.clear()
-        cut = [None if self.joins_lines else words_of(" " + t) for t in texts]
-        new = {w for ws in cut if ws is not None for w in ws[1:]}
-        new_a, new_b = new.difference(self.known_a), new.difference(self.known_b)
-        long = {w for w in new_a | new_b if len(w) > LONGEST}
-        if short := sorted(new_a.difference(long)):
-            self.a._learn(short)
-        b = self._learn(sorted(new_b)) if new_b else {}
-        self.known_b.update((w, ids) for w, ids in b.items() if w not in long)
-        get_a, get_b = self.known_a.__getitem__, self.known_b.__getitem__
-        if long:
-            # worked out for these texts and forgotten
-            long_a = {w: self.a._ids(plain(w)).tobytes() for w in long}
-            get_a, get_b = (lambda w: long_a[w] if w in long else self.known_a[w]), (lambda w: b[w] if w in long else self.known_b[w])
-        return [(b"".join(map(get_a, ws[1:])), b"".join(map(get_b, ws[1:]))) if ws is not None
-                else (self.a._ids(" " + t).tobytes(), self._ids(self.pieces.whole(t))) for ws, t in zip(cut, texts)]
+        """((ids, their number per text) of each side: A's of a space and the text, B's of the text), and whether each
+        of a text's words is spelt by its tokens."""
+        import numpy as np
+        self._forget()
+        words, n = [], []
+        for t in texts:
+            ws = None if self.joins_lines else words_of(" " + t)
+            words += [(t,)] if ws is None else ws[1:]
+            n.append(1 if ws is None else len(ws) - 1)
+        slots, n = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)), np.array(n, np.int64)
+        self._learn()
+        self.uses += np.bincount(slots, minlength=len(self.uses))
+        spelt = per_run(self.spelt[slots], n) == n
+        return [(ids, per_run(k, n)) for ids, k in (side.of(slots) for side in self.sides)], spelt
 
 
 class Aligner:
     def __init__(self, a_path, b_path):
         import numpy as np
-
-        from homestream.llm.token_counts import byte_symbols
         self.words = Words(a_path, b_path)
-        back = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
-        vocab = self.words.a.library.get_vocab()
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            # the content of a special token stands for itself
-            self.a_bytes[i] = b"".join(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode()
-        sp = self.words.pieces.library
-        self.b_bytes = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
-                        for i in range(sp.get_piece_size())]
-        self.a_size, self.b_size = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.a_all, self.b_all = (np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes))
-        # each id as text with what may follow it
-        self.label = [f"{i}{end}" for tokens, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(tokens))]
+        self.a_size, self.b_size = (side.sizes for side in self.words.sides)
+        # each id as text with what may follow it, filled up with zeros
+        self.label = np.array([f"{i}{end}" for tokens, ends in ((self.a_size, ",|"), (self.b_size, ",;")) for end in ends for i in range(len(tokens))], "S")
 
     def tokens(self, texts):
         """(A's ids, their number per text, B's ids, their number per text); none of texts whose joined token bytes
         differ from a space and the text."""
         import numpy as np
-        some = [(i, t) for i, t in enumerate(texts) if t]
-        whole = [(" " + t).encode() for _, t in some]
-        sides, both = [], self.words.encode([t for _, t in some])
-        for packed, size, every in (([a for a, _ in both], self.a_size, self.a_all), ([b for _, b in both], self.b_size, self.b_all)):
-            ids = np.frombuffer(b"".join(packed), "<i4").astype(np.int64)
-            n = np.array([len(p) // 4 for p in packed], np.int64)
-            sides.append((ids, n, size, every))
-        sizes = np.array(list(map(len, whole)), np.int64)
-        same = np.ones(len(some), bool)
-        for ids, n, size, _ in sides:
-            same &= np.diff(np.concatenate(([0], np.cumsum(size[ids])))[np.concatenate(([0], np.cumsum(n)))]) == sizes
-        sides = [(ids[np.repeat(same, n)], n * same, size, every) for ids, n, size, every in sides]
-        want = np.frombuffer(b"".join(w for w, ok in zip(whole, same) if ok), np.uint8)
-        doc = np.flatnonzero(same)
-        stops = np.cumsum(sizes[doc])
-        bad = np.zeros(len(some), bool)
-        for ids, _, size, every in sides:
-            n = size[ids]
-            first = np.cumsum(size) - size
-            # every byte of every token: where its token starts among all tokens' bytes, and how far it is into it
-            made = every[np.arange(len(want)) + np.repeat(first[ids] - (np.cumsum(n) - n), n)]
-            bad[doc[np.searchsorted(stops, np.flatnonzero(made != want), "right")]] = True
+        some = [i for i, t in enumerate(texts) if t]
+        sides, same = self.words.encode([texts[i] for i in some])
+        if len(odd := np.flatnonzero(~same)):
+            # words' bytes may differ and yet join to the text
+            whole, hit = [(" " + texts[some[i]]).encode() for i in odd.tolist()], ~same
+            same[odd] = np.logical_and(*[side.spells(ids[np.repeat(hit, n)], n[odd], whole) for side, (ids, n) in zip(self.words.sides, sides)])
         out = []
-        for ids, n, _, _ in sides:
+        for ids, n in sides:
             total = np.zeros(len(texts), np.int64)
-            total[[i for i, _ in some]] = n * ~bad
-            out += ids[np.repeat(~bad, n)], total
+            total[some] = n * same
+            out += ids if same.all() else ids[np.repeat(same, n)], total
         return out
 
     def chunk(self, texts, groups=False):
@@ -205,15 +332,14 @@ class Aligner:
         coded = np.empty(len(a) + len(b), np.int64)
         close_a, close_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         close_a[last_a] = close_b[last_b] = True
-        coded[np.arange(len(a)) + np.repeat(last_b + 1 - in_b, in_a)] = a + close_a * len(self.a_bytes)
-        coded[np.arange(len(b)) + np.repeat(last_a + 1, in_b)] = 2 * len(self.a_bytes) + b + close_b * len(self.b_bytes)
+        coded[np.arange(len(a)) + np.repeat(last_b + 1 - in_b, in_a)] = a + close_a * len(self.a_size)
+        coded[np.arange(len(b)) + np.repeat(last_a + 1, in_b)] = 2 * len(self.a_size) + b + close_b * len(self.b_size)
         stops = np.cumsum(n_a + n_b)
-        texts_of_groups = ("".join(map(self.label.__getitem__, coded[lo:hi].tolist()))[:-1]
-                           for lo, hi in zip((stops - n_a - n_b).tolist(), stops.tolist()))
         marks, kept = [], []
-        for g in texts_of_groups:
-            marks.append(sha256(g.encode()).hexdigest() if g else "")
-            kept.append(g if groups else None)
+        for lo, hi in zip((stops - n_a - n_b).tolist(), stops.tolist()):
+            g = self.label[coded[lo:hi]].tobytes().translate(None, b"\0")[:-1]
+            marks.append(sha256(g).hexdigest() if g else "")
+            kept.append(g.decode() if groups else None)
 
         pairs, at = np.unique(a[link_a] << 32 | b[link_b], return_inverse=True)
         held, times = np.unique(link_doc * max(1, len(pairs)) + at.reshape(-1), return_counts=True)

@@ -97,6 +97,32 @@ def test_repeated_and_null_identifiers(spark):
     assert alignment.align(empty(spark), tokenizer(BYTE_BPE), tokenizer(PIECE_BPE)).count() == 0
 
 
+def test_frequent_words_stay_known(monkeypatch):
+    """The library sees a word that keeps coming once, however many others fill the memory, and none with a sign after its
+    letters; what is forgotten, learned again or never held gives the same tokens."""
+    monkeypatch.setattr(alignment, "REMEMBERED", 100)
+    made = alignment.Aligner(tokenizer(BYTE_BPE), tokenizer(PIECE_BPE))
+    library, seen = made.words.pieces.library, []
+
+    class Seen:
+        def encode(self, words):
+            seen.extend([words] if isinstance(words, str) else words)
+            return library.encode(words)
+
+    made.words.pieces.library = Seen()
+    texts, got = [], []
+    for n in range(30):
+        rare = " ".join(f"rare{n}x{k}" for k in range(30))
+        some = [f"often often, often.\noften, {rare} {'w' * 70}, é, ſ. ², ,. x▁y", None, f"often {rare} ", f"odd  {n}", f"{rare}, often."]
+        texts += some
+        got += zip(*made.chunk(some, True)[:6])
+    want = brute(texts)
+    for g, w, t in zip(got, want, texts):
+        assert tuple(g) == (*w[:4], *w[6:]), t
+    assert seen.count("often") == 1 and not {"often,", "often."}.intersection(seen)
+    assert len(made.words.slots) < 200 and max(map(len, (w for w in made.words.slots))) <= alignment.LONGEST
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
 def test_pieces_are_independent(size):
     """Any cut by diagonals gives the links and groups of the uncut merge."""
